@@ -64,7 +64,7 @@ def word_edit_distance(ref_words: Column, hyp_words: Column, bound: Column | int
             b = encode_words(t["b"], t["v"])
             if bound is None:
                 return F.levenshtein(a, b)
-            return F.levenshtein(a, b, bound if isinstance(bound, int) else p["bound"])
+            return F.call_function("levenshtein", a, b, F.lit(bound) if isinstance(bound, int) else p["bound"])
 
         return _bind(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("v")), inner)
 

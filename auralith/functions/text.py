@@ -129,7 +129,7 @@ def spelled_punctuation(c) -> Column:
 def unquote_sentence(c) -> Column:
     """Strip one pair of surrounding double quotes, then ``""`` -> ``"``."""
     s = _c(c)
-    quoted = s.startswith('"') & s.endswith('"') & (F.length(s) >= 2)
+    quoted = s.startswith('"') & s.endswith('"')
     inner = F.substr(s, F.lit(2), F.length(s) - 2)
     return F.replace(F.when(quoted, inner).otherwise(s), F.lit('""'), F.lit('"'))
 

@@ -127,7 +127,40 @@ def _pct(e: str, n: str) -> str:
     return f"100.0::DOUBLE * sum({e})::DOUBLE / sum({n})::DOUBLE"
 
 
+_BASIC_SCORED = f"""u AS ({D.SQL_UTTERANCES}),
+h AS (SELECT *, {D.SQL_CORRUPT} AS prediction_raw FROM u),
+n AS (SELECT *, {S.basic_normalize('reference_raw')} AS reference_norm,
+                {S.basic_normalize('prediction_raw')} AS prediction_norm FROM h),
+k AS (SELECT *, {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm')} AS b_norm FROM n),
+{S.edit_distance_cte('e', 'k', 'a_norm', 'b_norm', 'd')}"""
+_KEEP = f"(length(reference_norm) > 0 AND prediction_norm IS NOT NULL AND len(a_norm) > 0 AND 100.0 * d < {WER_THRESHOLD} * len(a_norm))"
+
 SQL = {
+    "eval_metrics": f"""WITH {_sql_scored(_sql_norm)},
+k AS (SELECT *, {S.words('reference_raw')} AS a_raw, {S.words('prediction_raw')} AS b_raw,
+                {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm')} AS b_norm,
+                {S.chars('reference_raw')} AS ca_raw, {S.chars('prediction_raw')} AS cb_raw,
+                {S.chars('reference_norm')} AS ca_norm, {S.chars('prediction_norm')} AS cb_norm
+          FROM n WHERE length(reference_norm) > 0),
+{S.edit_distance_cte('e1', 'k', 'a_raw', 'b_raw', 'd_raw')},
+{S.edit_distance_cte('e2', 'e1', 'a_norm', 'b_norm', 'd_norm')},
+{S.edit_distance_cte('e3', 'e2', 'ca_raw', 'cb_raw', 'cd_raw')},
+{S.edit_distance_cte('e4', 'e3', 'ca_norm', 'cb_norm', 'cd_norm')}
+SELECT lang, count(*) AS n_utterances,
+       {_pct('cd_raw', 'len(ca_raw)')} AS cer_raw, {_pct('d_raw', 'len(a_raw)')} AS wer_raw,
+       {_pct('cd_norm', 'len(ca_norm)')} AS cer_norm, {_pct('d_norm', 'len(a_norm)')} AS wer_norm
+FROM e4 GROUP BY lang""",
+    "wer_filter_keep": f"""WITH {_BASIC_SCORED}
+SELECT doc_id, line_no, lang, reference_raw, prediction_raw FROM e WHERE {_KEEP}""",
+    "label_qa_report": f"""WITH {_BASIC_SCORED}
+SELECT lang, CASE WHEN length(reference_norm) = 0 THEN 'empty_reference'
+                  WHEN prediction_norm IS NULL THEN 'null_prediction'
+                  WHEN NOT {_KEEP} THEN 'wer'
+                  WHEN NOT (length(reference_raw) > 0 AND length(reference_raw) < 2000) THEN 'duration'
+                  WHEN NOT (len(string_split(prediction_raw, ' ')) > 0 AND len(string_split(prediction_raw, ' ')) <= 128)
+                       THEN 'label_length'
+                  ELSE 'kept' END AS reason, count(*) AS n_rows
+FROM e GROUP BY ALL""",
     "corpus_wer_by_lang": f"""WITH {_sql_scored(_sql_norm)}, {_WORDS_CTES}
 SELECT lang, count(*) AS n_utterances, sum(len(a_norm)) AS n_ref_words, sum(d_norm) AS word_edits,
        {_pct('d_raw', 'len(a_raw)')} AS wer_raw, {_pct('d_norm', 'len(a_norm)')} AS wer_norm

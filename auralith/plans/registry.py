@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import evaluation
+from auralith.plans import cleaning, evaluation
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -10,8 +10,13 @@ QUERIES = {
     "corpus_cer_by_lang": evaluation.corpus_cer_by_lang,
     "wer_filter_keep": evaluation.wer_filter_keep,
     "label_qa_report": evaluation.label_qa_report,
+    "clean_ted": cleaning.clean_ted,
+    "clean_giga": cleaning.clean_giga,
+    "clean_earnings": cleaning.clean_earnings,
+    "clean_cv": cleaning.clean_cv,
+    "strip_markup_norm": cleaning.strip_markup_norm,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation,):
+for _mod in (evaluation, cleaning):
     ORACLE_SQL.update(_mod.SQL)
