@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation
+from auralith.plans import cleaning, evaluation, shards
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -15,8 +15,19 @@ QUERIES = {
     "clean_earnings": cleaning.clean_earnings,
     "clean_cv": cleaning.clean_cv,
     "strip_markup_norm": cleaning.strip_markup_norm,
+    "chunk_rows": shards.chunk_rows,
+    "merge_groups": shards.merge_groups,
+    "dense_reindex": shards.dense_reindex,
+    "missing_shards": shards.missing_shards,
+    "retention": shards.retention,
+    "latest_snapshot": shards.latest_snapshot,
+    "shard_plan": shards.shard_plan,
+    "seeded_shuffle": shards.seeded_shuffle,
+    "resume_skip": shards.resume_skip,
+    "paired_batches": shards.paired_batches,
+    "step_schedule": shards.step_schedule,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning):
+for _mod in (evaluation, cleaning, shards):
     ORACLE_SQL.update(_mod.SQL)
