@@ -211,3 +211,9 @@ def chunk_id_from_name(c) -> Column:
 
 def hf_link(name) -> Column:
     return F.format_string("[%s](https://huggingface.co/%s)", _c(name), _c(name))
+
+
+def pandas_round(c, digits: int) -> Column:
+    """pandas/numpy ``round``: scale, round half to even on the binary value (``rint``), scale back."""
+    scale = float(10 ** digits)
+    return F.rint(_c(c) * F.lit(scale)) / F.lit(scale)

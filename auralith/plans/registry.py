@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, shards
+from auralith.plans import cleaning, evaluation, leaderboard, manifests, shards
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -26,8 +26,17 @@ QUERIES = {
     "resume_skip": shards.resume_skip,
     "paired_batches": shards.paired_batches,
     "step_schedule": shards.step_schedule,
+    "manifest_join": manifests.manifest_join,
+    "orphans": manifests.orphans,
+    "strict_lookup": manifests.strict_lookup,
+    "split_semi": manifests.split_semi,
+    "metric_dedup": leaderboard.metric_dedup,
+    "leaderboard_pivot": leaderboard.leaderboard_pivot,
+    "trial_stats": leaderboard.trial_stats,
+    "runtime_pivot": leaderboard.runtime_pivot,
+    "optional_eq": leaderboard.optional_eq,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard):
     ORACLE_SQL.update(_mod.SQL)
