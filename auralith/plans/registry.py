@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, leaderboard, manifests, shards
+from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, shards
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -35,8 +35,12 @@ QUERIES = {
     "trial_stats": leaderboard.trial_stats,
     "runtime_pivot": leaderboard.runtime_pivot,
     "optional_eq": leaderboard.optional_eq,
+    "prompt_labels": labelling.prompt_labels,
+    "drop_timestamps": labelling.drop_timestamps,
+    "batch_pad": labelling.batch_pad,
+    "packed_labels": labelling.packed_labels,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling):
     ORACLE_SQL.update(_mod.SQL)
