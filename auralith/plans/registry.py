@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, shards
+from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, shards, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -39,8 +39,11 @@ QUERIES = {
     "drop_timestamps": labelling.drop_timestamps,
     "batch_pad": labelling.batch_pad,
     "packed_labels": labelling.packed_labels,
+    "fill_timestamps": timing.fill_timestamps,
+    "regroup_segments": timing.regroup_segments,
+    "silence_overlap": timing.silence_overlap,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing):
     ORACLE_SQL.update(_mod.SQL)
