@@ -119,11 +119,12 @@ def mask_prompt(targets) -> Column:
     return F.transform(t, lambda x, i: F.when((k > 0) & (i <= k), F.lit(PAD_LABEL)).otherwise(x))
 
 
-def spaced_index(n: Column, k: Column) -> Column:
-    """``linspace(0, n-1, k)`` truncated to int with the last forced to n-1 (k = 1 -> [0])."""
+def spaced_index(n: Column, k: Column, start: Column | None = None) -> Column:
+    """``linspace(start, n-1, k)`` cast to int with the last forced to ``n-1`` (numpy arithmetic:
+    ``i * ((stop - start) / (k - 1)) + start``); ``start`` defaults to 0, the layer-map variant uses ``n // k - 1``."""
+    start = F.lit(0) if start is None else start
+    step = (n - 1 - start).cast("double") / F.greatest(k - 1, F.lit(1)).cast("double")
     return F.transform(
         F.sequence(F.lit(0), k - 1),
-        lambda i: F.when(i == k - 1, n - 1).otherwise(
-            F.floor(i.cast("double") * (n - 1).cast("double") / F.greatest(k - 1, F.lit(1)).cast("double"))
-        ).cast("int"),
+        lambda i: F.when(i == k - 1, n - 1).otherwise(F.floor(i.cast("double") * step + start.cast("double"))).cast("int"),
     )

@@ -171,16 +171,16 @@ def is_bracketed(c) -> Column:
     return c.startswith("[") & c.endswith("]")
 
 
-def punct_repair(c, mark: str = "。", unknown: str = "unk") -> Column:
-    """Raw text when it contains ``unk``; with more than one ``mark``, delete all and re-insert one at the
-    0-based index of the last one, counted in the shortened string (clamped to its end)."""
-    s = _c(c)
+def punct_repair(raw, punctuated, mark: str = "。", unknown: str = "unk") -> Column:
+    """The raw text when the punctuated one contains ``unk``; with more than one ``mark``, delete all and
+    re-insert one at the 0-based index of the last one, counted in the shortened string (clamped to its end)."""
+    s = _c(punctuated)
     n_marks = F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
     last_idx = F.length(s) - F.locate(mark, F.reverse(s))  # 0-based index of the last mark
     bare = F.replace(s, F.lit(mark), F.lit(""))
     cut = F.least(last_idx, F.length(bare))
     rebuilt = F.concat(F.substr(bare, F.lit(1), cut), F.lit(mark), F.substr(bare, cut + 1, F.lit(1 << 30)))
-    return F.when(s.contains(unknown), s).when(n_marks > 1, rebuilt).otherwise(s)
+    return F.when(s.contains(unknown), _c(raw)).when(n_marks > 1, rebuilt).otherwise(s)
 
 
 def basename(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, shards, timing
+from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, profile, shards, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -42,8 +42,14 @@ QUERIES = {
     "fill_timestamps": timing.fill_timestamps,
     "regroup_segments": timing.regroup_segments,
     "silence_overlap": timing.silence_overlap,
+    "corpus_profile": profile.corpus_profile,
+    "slice_by_seconds": profile.slice_by_seconds,
+    "chunk_explode": profile.chunk_explode,
+    "spaced_index": profile.spaced_index,
+    "punct_repair": profile.punct_repair,
+    "model_ratio": profile.model_ratio,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile):
     ORACLE_SQL.update(_mod.SQL)
