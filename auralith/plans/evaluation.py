@@ -75,7 +75,11 @@ def corpus_cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wer_filter_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 at threshold 20 on basic-normalised text (the filter stage uses T1 for every language)."""
-    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    return wer_keep_from(table(spark, sf_dir, "documents"))
+
+
+def wer_keep_from(documents: DataFrame) -> DataFrame:
+    utts = D.with_hypothesis(D.utterances(documents))
     df = utts.withColumn("reference_norm", T.basic_normalize("reference_raw")).withColumn(
         "prediction_norm", T.basic_normalize("prediction_raw")
     )

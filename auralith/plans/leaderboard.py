@@ -23,7 +23,10 @@ NLLB = "facebook/nllb-200-3.3B"
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return metric_log_from(table(spark, sf_dir, "events"))
+
+
+def metric_log_from(ev: DataFrame) -> DataFrame:
     u, e = F.col("user_id"), F.col("event_id")
     return ev.select(
         F.col("event_type").alias("model"),

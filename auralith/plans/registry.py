@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, profile, shards, timing
+from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -48,8 +48,14 @@ QUERIES = {
     "spaced_index": profile.spaced_index,
     "punct_repair": profile.punct_repair,
     "model_ratio": profile.model_ratio,
+    "pseudo_label_scores": scoring.pseudo_label_scores,
+    "cascade": scoring.cascade,
+    "logmel": scoring.logmel,
+    "incremental_ingest": streams.incremental_ingest,
+    "stream_join": streams.stream_join,
+    "stream_metrics": streams.stream_metrics,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams):
     ORACLE_SQL.update(_mod.SQL)
