@@ -7,3 +7,18 @@ registered queries over the driver tables in ``auralith.plans``.
 """
 
 __all__ = ["functions", "operators", "sources", "plans", "streaming", "session"]
+
+
+def _pickle_by_value() -> None:
+    """Ship this package's functions to Python workers by value, so executors do not need it installed."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: workers then import the package normally
+        pass
+
+
+_pickle_by_value()

@@ -46,6 +46,16 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "row_idx",
     return out.withColumn(name, idx.cast("long")).drop("_pid", "_mid", "_off")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition on a unique key before CPU-heavy per-row work (edit distance, scoring, features).
+
+    Input splits follow file layout, so one large file or one huge document can put most of the quadratic work in a
+    single task; hashing the unique row key spreads it evenly, is deterministic on retry (no round-robin sort), and
+    uses an explicit partition count so AQE does not coalesce the small-but-expensive partitions back together."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def chunk_ids(row_idx: Column, n_rows: Column | int, num_chunks: int) -> Column:
     """``size // num_chunks`` rows per chunk, remainder spills into extra chunks; fewer rows than chunks is an
     error (step 0), as in the reference."""

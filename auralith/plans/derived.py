@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def utterances(documents: DataFrame) -> DataFrame:
-    return documents.select(
+def utterances(documents: DataFrame, spread: bool = False) -> DataFrame:
+    """One row per line of every document; ``spread`` re-distributes lines for CPU-heavy consumers."""
+    utts = documents.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "reference_raw")
     )
+    if spread:
+        from auralith.operators.ordering import spread as _spread
+
+        utts = _spread(utts, "doc_id", "line_no")
+    return utts
 
 
 def corrupt_line(line: Column, doc_id: Column, line_no: Column) -> Column:

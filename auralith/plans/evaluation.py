@@ -19,7 +19,7 @@ WER_THRESHOLD = 20.0
 
 
 def scored_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
     normed = utts.withColumn("reference_norm", T.normalize_for_language("reference_raw", "lang")).withColumn(
         "prediction_norm", T.normalize_for_language("prediction_raw", "lang")
     )
@@ -79,7 +79,7 @@ def wer_filter_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wer_keep_from(documents: DataFrame) -> DataFrame:
-    utts = D.with_hypothesis(D.utterances(documents))
+    utts = D.with_hypothesis(D.utterances(documents, spread=True))
     df = utts.withColumn("reference_norm", T.basic_normalize("reference_raw")).withColumn(
         "prediction_norm", T.basic_normalize("prediction_raw")
     )
@@ -90,7 +90,7 @@ def wer_keep_from(documents: DataFrame) -> DataFrame:
 def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: kept vs dropped per reason, per language. Duration = characters of the line standing in for samples
     (window 0 < n < 2000), label length = words of the hypothesis (at most 128)."""
-    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
     df = utts.withColumn("reference_norm", T.basic_normalize("reference_raw")).withColumn(
         "prediction_norm", T.basic_normalize("prediction_raw")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralith.operators import scoring as SC
+from auralith.operators.ordering import spread
 from auralith.plans import derived as D
 from auralith.plans.tables import table
 
@@ -14,19 +15,19 @@ RATE, N_FFT, HOP, N_MELS = 16, 16, 8, 4
 
 
 def pseudo_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.utterances(table(spark, sf_dir, "documents"))
+    utts = D.utterances(table(spark, sf_dir, "documents"), spread=True)
     keys = ["doc_id", "line_no"]
     labelled = SC.score_heads(utts, keys, {"whisper_transcript": (["reference_raw"], SC.corrupting_predictor)})
     return labelled.select("doc_id", "line_no", "lang", "whisper_transcript")
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.utterances(table(spark, sf_dir, "documents"))
+    utts = D.utterances(table(spark, sf_dir, "documents"), spread=True)
     return SC.cascade(utts, ["doc_id", "line_no"], ["reference_raw"], SC.corrupting_predictor, SC.reversing_translator)
 
 
 def logmel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings")
+    emb = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     return SC.log_mel(emb, ["vec_id"], "embedding", RATE, N_FFT, HOP, N_MELS)
 
 
