@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auralith.functions import text as T
+from auralith.operators.ordering import compute_once
 
 
 def _c(c) -> Column:
@@ -23,32 +24,32 @@ def not_ignored(c) -> Column:
 
 def parse_stm(df: DataFrame, value: str = "value") -> DataFrame:
     """``fn channel speaker start end label transcript`` (line stripped, split on the first six spaces)."""
-    parts = F.split(T.strip_ws(_c(value)), " ", 7)
     names = ["fn", "channel", "speaker", "start", "end", "label", "transcript"]
-    return df.select("*", *[parts.getItem(i).alias(n) for i, n in enumerate(names)])
+    df = compute_once(df, _parts=F.split(T.strip_ws(_c(value)), " ", 7))
+    return df.select(*[c for c in df.columns if c != "_parts"], *[F.col("_parts").getItem(i).alias(n) for i, n in enumerate(names)])
 
 
 def clean_tedlium(df: DataFrame, transcript: str = "transcript", out: str = "text") -> DataFrame:
-    t = F.lower(T.trim_paren_suffix(_c(transcript)))
-    df = df.withColumn(out, t).where(not_ignored(out))
-    t = T.join_spaced_contractions(F.replace(F.col(out), F.lit(T.TEDLIUM_UNK), F.lit("")))
-    return df.withColumn(out, T.jiwer_clean(t)).where(F.col(out).isNotNull() & (F.length(out) > 0))
+    df = compute_once(df, _t0=F.lower(T.trim_paren_suffix(_c(transcript)))).where(not_ignored("_t0"))
+    t = T.join_spaced_contractions(F.replace(F.col("_t0"), F.lit(T.TEDLIUM_UNK), F.lit("")))
+    df = compute_once(df.drop(out) if out in df.columns else df, **{out: T.jiwer_clean(t)})
+    return df.where(F.col(out).isNotNull() & (F.length(out) > 0)).drop("_t0")
 
 
 def clean_gigaspeech(df: DataFrame, text: str = "text_tn", out: str = "text") -> DataFrame:
-    df = df.withColumn(out, F.lower(_c(text))).where(not_ignored(out))
-    t = T.spelled_punctuation(T.remove_tokens(F.col(out), T.GIGASPEECH_JUNK_TOKENS))
-    return df.withColumn(out, T.jiwer_clean(t)).where(F.length(out) > 0)
+    df = df.where(not_ignored(text))
+    t = T.spelled_punctuation(T.remove_tokens(F.lower(_c(text)), T.GIGASPEECH_JUNK_TOKENS))
+    return compute_once(df.drop(out) if out in df.columns else df, **{out: T.jiwer_clean(t)}).where(F.length(out) > 0)
 
 
 def clean_earnings(df: DataFrame, text: str = "sentence", out: str = "text") -> DataFrame:
     df = df.where(not_ignored(text))
     t = T.remove_tokens(_c(text), T.EARNINGS_JUNK_TOKENS)
-    return df.withColumn(out, T.jiwer_clean(t)).where(F.length(out) > 0)
+    return compute_once(df.drop(out) if out in df.columns else df, **{out: T.jiwer_clean(t)}).where(F.length(out) > 0)
 
 
 def clean_common_voice(df: DataFrame, text: str = "sentence", out: str = "text") -> DataFrame:
-    return df.withColumn(out, T.unquote_sentence(_c(text))).where(F.length(out) > 0)
+    return compute_once(df.drop(out) if out in df.columns else df, **{out: T.unquote_sentence(_c(text))}).where(F.length(out) > 0)
 
 
 def common_voice_path(path, clips_dir: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auralith.functions import edit as E
+from auralith.operators.ordering import compute_once
 
 
 def _c(c) -> Column:
@@ -20,9 +21,8 @@ def with_pair_counts(df: DataFrame, ref, hyp, suffix: str, chars: bool = True) -
     """Add ``n_ref_words_<s>``, ``word_edits_<s>`` and (optionally) ``n_ref_chars_<s>``, ``char_edits_<s>``."""
     ref, hyp = _c(ref), _c(hyp)
     rw, hw = E.words(ref), E.words(hyp)
-    out = df.withColumn(f"n_ref_words_{suffix}", F.size(rw)).withColumn(
-        f"word_edits_{suffix}", E.word_edit_distance(rw, hw)
-    )
+    cols = {f"n_ref_words_{suffix}": F.size(rw), f"word_edits_{suffix}": E.word_edit_distance(rw, hw)}
+    out = compute_once(df, **cols)
     if chars:
         out = out.withColumn(f"n_ref_chars_{suffix}", E.char_count(ref)).withColumn(
             f"char_edits_{suffix}", E.char_edit_distance(ref, hyp)
@@ -48,7 +48,7 @@ def wer_filter(df: DataFrame, ref_norm, hyp_norm, threshold: float) -> DataFrame
     n = F.size(rw)
     d = E.word_edit_distance(rw, hw, E.wer_bound(n, threshold))
     keep = (F.length(ref_norm) > 0) & hyp_norm.isNotNull() & E.wer_below(d, n, threshold)
-    return df.where(F.coalesce(keep, F.lit(False)))
+    return compute_once(df, _keep=F.coalesce(keep, F.lit(False))).where(F.col("_keep")).drop("_keep")
 
 
 def rejection_reason(ref_norm, hyp_norm, threshold: float, n_samples=None, min_samples=None, max_samples=None,

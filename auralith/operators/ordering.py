@@ -56,6 +56,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add expensive columns so that they are evaluated exactly once per row, where they appear in the plan.
+
+    Filters on an ordinary computed column are pushed below projections and exchanges with the expression inlined,
+    so a normaliser or an edit distance would run before a repartition (in the few input tasks) and again after it.
+    Columns produced by a generator cannot be inlined into a pushed-down filter, so emitting them through
+    ``inline(array(struct(...)))`` (one output row per input row) pins the evaluation here."""
+    packed = F.array(F.struct(*[c.alias(name) for name, c in cols.items()]))
+    return df.select("*", F.inline(packed))
+
+
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition only when the input has fewer partitions than the cluster can run at once (for example a
+    single-row-group file); a large scan already arrives in many splits and is left as it is (no extra shuffle)."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism, *keys)
+
+
 def chunk_ids(row_idx: Column, n_rows: Column | int, num_chunks: int) -> Column:
     """``size // num_chunks`` rows per chunk, remainder spills into extra chunks; fewer rows than chunks is an
     error (step 0), as in the reference."""

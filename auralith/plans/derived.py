@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 
 def utterances(documents: DataFrame, spread: bool = False) -> DataFrame:
-    """One row per line of every document; ``spread`` re-distributes lines for CPU-heavy consumers."""
+    """One row per line of every document. ``spread`` always re-distributes lines by key (quadratic consumers:
+    one huge document must not sit in one task); otherwise lines are only re-balanced when the scan has fewer
+    splits than the cluster's parallelism."""
     utts = documents.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "reference_raw")
     )
-    if spread:
-        from auralith.operators.ordering import spread as _spread
+    from auralith.operators.ordering import balance, spread as _spread
 
-        utts = _spread(utts, "doc_id", "line_no")
-    return utts
+    return _spread(utts, "doc_id", "line_no") if spread else balance(utts, "doc_id", "line_no")
 
 
 def corrupt_line(line: Column, doc_id: Column, line_no: Column) -> Column:

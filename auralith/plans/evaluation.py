@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auralith.functions import text as T
 from auralith.operators import metrics as M
+from auralith.operators.ordering import compute_once
 from auralith.plans import derived as D
 from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
@@ -20,9 +21,8 @@ WER_THRESHOLD = 20.0
 
 def scored_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
-    normed = utts.withColumn("reference_norm", T.normalize_for_language("reference_raw", "lang")).withColumn(
-        "prediction_norm", T.normalize_for_language("prediction_raw", "lang")
-    )
+    normed = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang"),
+                          prediction_norm=T.normalize_for_language("prediction_raw", "lang"))
     return M.drop_empty_references(normed)
 
 
@@ -80,9 +80,8 @@ def wer_filter_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wer_keep_from(documents: DataFrame) -> DataFrame:
     utts = D.with_hypothesis(D.utterances(documents, spread=True))
-    df = utts.withColumn("reference_norm", T.basic_normalize("reference_raw")).withColumn(
-        "prediction_norm", T.basic_normalize("prediction_raw")
-    )
+    df = compute_once(utts, reference_norm=T.basic_normalize("reference_raw"),
+                      prediction_norm=T.basic_normalize("prediction_raw"))
     kept = M.wer_filter(df, "reference_norm", "prediction_norm", WER_THRESHOLD)
     return kept.select("doc_id", "line_no", "lang", "reference_raw", "prediction_raw")
 
@@ -91,9 +90,8 @@ def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: kept vs dropped per reason, per language. Duration = characters of the line standing in for samples
     (window 0 < n < 2000), label length = words of the hypothesis (at most 128)."""
     utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
-    df = utts.withColumn("reference_norm", T.basic_normalize("reference_raw")).withColumn(
-        "prediction_norm", T.basic_normalize("prediction_raw")
-    )
+    df = compute_once(utts, reference_norm=T.basic_normalize("reference_raw"),
+                      prediction_norm=T.basic_normalize("prediction_raw"))
     reason = M.rejection_reason(
         "reference_norm", "prediction_norm", WER_THRESHOLD,
         n_samples=F.char_length("reference_raw"), min_samples=0, max_samples=2000,
