@@ -96,7 +96,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per epoch, shuffle the ja subsets (parts) and the en subsets (suppliers) with a seeded key, cut each into
+    """Per epoch, shuffle the ja subsets (parts) and the en subsets (customers) with a seeded key, cut each into
     groups of ``n // 40``, keep the first 40 groups; slot i of ja pairs with slot i of en (long form, no pairs)."""
 
     def side(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -112,7 +112,7 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.where(F.col("slot") < PLAN_GROUPS).select(F.lit(label).alias("side"), "epoch", "slot", "rank_in_slot", "member")
 
     ja = side(table(spark, sf_dir, "part"), "p_partkey", "ja")
-    en = side(table(spark, sf_dir, "supplier"), "s_suppkey", "en")
+    en = side(table(spark, sf_dir, "customer"), "c_custkey", "en")
     return ja.unionByName(en)
 
 
@@ -190,12 +190,12 @@ SELECT name, step FROM ck2 WHERE step < (SELECT min(step) FROM (SELECT step FROM
   AND (SELECT count(*) FROM ck2) >= {KEEP_NEWEST}""",
     "latest_snapshot": f"""WITH {_CK} SELECT arg_max(name, step) AS name, max(step) AS step FROM ck2""",
     "shard_plan": f"""WITH ja AS (SELECT p_partkey AS member, e.epoch FROM part, (SELECT range AS epoch FROM range({EPOCHS})) e),
-en AS (SELECT s_suppkey AS member, e.epoch FROM supplier, (SELECT range AS epoch FROM range({EPOCHS})) e),
+en AS (SELECT c_custkey AS member, e.epoch FROM customer, (SELECT range AS epoch FROM range({EPOCHS})) e),
 r AS (SELECT 'ja' AS side, epoch, member, row_number() OVER (PARTITION BY epoch ORDER BY md5(member || ':' || epoch || ':{SEED}'), member) - 1 AS pos,
              (SELECT count(*) FROM part) // {PLAN_GROUPS} AS size FROM ja
       UNION ALL
       SELECT 'en', epoch, member, row_number() OVER (PARTITION BY epoch ORDER BY md5(member || ':' || epoch || ':{SEED}'), member) - 1,
-             (SELECT count(*) FROM supplier) // {PLAN_GROUPS} FROM en)
+             (SELECT count(*) FROM customer) // {PLAN_GROUPS} FROM en)
 SELECT side, epoch, (pos // size)::BIGINT AS slot, (pos % size)::BIGINT AS rank_in_slot, member FROM r WHERE pos // size < {PLAN_GROUPS}""",
     "seeded_shuffle": f"""SELECT e.epoch, row_number() OVER (PARTITION BY e.epoch ORDER BY md5(c_custkey || ':' || e.epoch || ':{SEED}'), c_custkey) - 1 AS position,
        c_custkey AS member FROM customer, (SELECT range AS epoch FROM range({EPOCHS})) e""",
