@@ -119,3 +119,10 @@ def chunk_explode(df: DataFrame, samples: str, rate: int, chunk_s: float) -> Dat
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(per))).otherwise(F.array().cast("array<int>"))
     out = df.select("*", F.posexplode(starts).alias("chunk_idx", "_from"))
     return out.withColumn("chunk", F.slice(samples, F.col("_from") + 1, F.lit(per))).drop("_from")
+
+
+def segment_audio(segments: DataFrame, audio: DataFrame, key: str, samples: str, rate: int) -> DataFrame:
+    """Segments (``key``, ``start``, ``end`` seconds) joined to their recording on ``key``, then each segment's
+    samples cut out (L10). The join is on the recording id, so only one recording's samples meet its segments."""
+    j = segments.join(audio.select(key, samples), key)
+    return j.withColumn("segment", slice_seconds(F.col(samples), rate, F.col("start"), F.col("end"))).drop(samples)

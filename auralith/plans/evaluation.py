@@ -164,11 +164,11 @@ SELECT lang, CASE WHEN length(reference_norm) = 0 THEN 'empty_reference'
                   ELSE 'kept' END AS reason, count(*) AS n_rows
 FROM e GROUP BY ALL""",
     "corpus_wer_by_lang": f"""WITH {_sql_scored(_sql_norm)}, {_WORDS_CTES}
-SELECT lang, count(*) AS n_utterances, sum(len(a_norm)) AS n_ref_words, sum(d_norm) AS word_edits,
+SELECT lang, count(*) AS n_utterances, sum(len(a_norm))::BIGINT AS n_ref_words, sum(d_norm)::BIGINT AS word_edits,
        {_pct('d_raw', 'len(a_raw)')} AS wer_raw, {_pct('d_norm', 'len(a_norm)')} AS wer_norm
 FROM e2 GROUP BY lang""",
     "corpus_cer_by_lang": f"""WITH {_sql_scored(_sql_norm)}, {_CHAR_CTES}
-SELECT lang, sum(len(a_norm)) AS n_ref_chars, sum(d_norm) AS char_edits,
+SELECT lang, sum(len(a_norm))::BIGINT AS n_ref_chars, sum(d_norm)::BIGINT AS char_edits,
        {_pct('d_raw', 'len(a_raw)')} AS cer_raw, {_pct('d_norm', 'len(a_norm)')} AS cer_norm
 FROM e2 GROUP BY lang""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, timing
+from auralith.plans import audit, cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -54,8 +54,10 @@ QUERIES = {
     "incremental_ingest": streams.incremental_ingest,
     "stream_join": streams.stream_join,
     "stream_metrics": streams.stream_metrics,
+    "missing_chunks": audit.missing_chunks,
+    "segment_audio": audit.segment_audio,
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit):
     ORACLE_SQL.update(_mod.SQL)
