@@ -94,14 +94,13 @@ def japanese_normalize(c) -> Column:
 
 
 def normalize_for_language(c, lang, stage: str = "eval") -> Column:
-    """T4 routing. ``eval``: ja -> T3, others -> T1. ``filter``: T1 for every language (as the label filter does).
-
-    The English normaliser of the evaluation (T2) needs number and spelling tables; it is not built here, English
-    text is routed to T1 and the difference is documented in the README."""
+    """T4 routing. ``eval``: en -> T2, ja -> T3, others -> T1. ``filter``: en -> T2, every other language -> T1
+    (the label filter uses the basic normaliser for Japanese too)."""
     lang = _c(lang)
+    english = english_normalize(c)
     if stage == "filter":
-        return basic_normalize(c)
-    return F.when(lang == "ja", japanese_normalize(c)).otherwise(basic_normalize(c))
+        return F.when(lang == "en", english).otherwise(basic_normalize(c))
+    return F.when(lang == "en", english).when(lang == "ja", japanese_normalize(c)).otherwise(basic_normalize(c))
 
 
 def replace_all(c, pairs) -> Column:
@@ -217,3 +216,122 @@ def pandas_round(c, digits: int) -> Column:
     """pandas/numpy ``round``: scale, round half to even on the binary value (``rint``), scale back."""
     scale = float(10 ** digits)
     return F.rint(_c(c) * F.lit(scale)) / F.lit(scale)
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# The English normaliser's filler pattern and replacement rules, in their original order.
+# ---------------------------------------------------------------------------------------------------------------
+ENGLISH_FILLERS = r"\b(hmm|mm|mhm|mmm|uh|um)\b"
+ENGLISH_REPLACERS = [
+    (r"\bwon't\b", "will not"),
+    (r"\bcan't\b", "can not"),
+    (r"\blet's\b", "let us"),
+    (r"\bain't\b", "aint"),
+    (r"\by'all\b", "you all"),
+    (r"\bwanna\b", "want to"),
+    (r"\bgotta\b", "got to"),
+    (r"\bgonna\b", "going to"),
+    (r"\bi'ma\b", "i am going to"),
+    (r"\bimma\b", "i am going to"),
+    (r"\bwoulda\b", "would have"),
+    (r"\bcoulda\b", "could have"),
+    (r"\bshoulda\b", "should have"),
+    (r"\bma'am\b", "madam"),
+    (r"\bmr\b", "mister "),
+    (r"\bmrs\b", "missus "),
+    (r"\bst\b", "saint "),
+    (r"\bdr\b", "doctor "),
+    (r"\bprof\b", "professor "),
+    (r"\bcapt\b", "captain "),
+    (r"\bgov\b", "governor "),
+    (r"\bald\b", "alderman "),
+    (r"\bgen\b", "general "),
+    (r"\bsen\b", "senator "),
+    (r"\brep\b", "representative "),
+    (r"\bpres\b", "president "),
+    (r"\brev\b", "reverend "),
+    (r"\bhon\b", "honorable "),
+    (r"\basst\b", "assistant "),
+    (r"\bassoc\b", "associate "),
+    (r"\blt\b", "lieutenant "),
+    (r"\bcol\b", "colonel "),
+    (r"\bjr\b", "junior "),
+    (r"\bsr\b", "senior "),
+    (r"\besq\b", "esquire "),
+    (r"'d been\b", " had been"),
+    (r"'s been\b", " has been"),
+    (r"'d gone\b", " had gone"),
+    (r"'s gone\b", " has gone"),
+    (r"'d done\b", " had done"),
+    (r"'s got\b", " has got"),
+    (r"n't\b", " not"),
+    (r"'re\b", " are"),
+    (r"'s\b", " is"),
+    (r"'d\b", " would"),
+    (r"'ll\b", " will"),
+    (r"'t\b", " not"),
+    (r"'ve\b", " have"),
+    (r"'m\b", " am"),
+]
+ENGLISH_KEEP_SYMBOLS = ".%$¢€£"
+ADDITIONAL_DIACRITICS = [
+    ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"), ("ẞ", "SS"),
+    ("đ", "d"), ("Đ", "D"), ("ð", "d"), ("Ð", "D"), ("þ", "th"), ("Þ", "th"), ("ł", "l"), ("Ł", "L"),
+]
+# ---------------------------------------------------------------------------------------------------------------
+
+WORD_CHAR = "[\\p{L}\\p{N}_]"
+# private-use stand-ins that protect the kept symbols while every other mark/symbol/punctuation becomes a space
+KEEP_STANDINS = "".join(chr(0xE000 + i) for i in range(len(ENGLISH_KEEP_SYMBOLS)))
+
+
+def unicode_boundaries(pattern: str) -> str:
+    """Python's ``\\b`` (Unicode word characters) as Java look-arounds: a leading ``\\b`` before a word character
+    becomes ``(?<!w)``, a trailing one ``(?!w)``."""
+    lead = pattern.startswith("\\b")
+    trail = pattern.endswith("\\b")
+    core = pattern[2 if lead else 0: -2 if trail else None]
+    return (f"(?<!{WORD_CHAR})" if lead else "") + core + (f"(?!{WORD_CHAR})" if trail else "")
+
+
+def nfkd(c) -> Column:
+    """Unicode NFKD through ICU4J (JVM-side); ASCII strings are returned as they are."""
+    c = _c(c)
+    decomposed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True))
+    return F.when(c.rlike(ASCII_ONLY_RE), c).otherwise(decomposed)
+
+
+def remove_symbols_and_diacritics(c, keep: str = ENGLISH_KEEP_SYMBOLS) -> Column:
+    """NFKD; listed ligatures/letters spelled out; combining marks (Mn) dropped; other marks, symbols and punctuation
+    become spaces, except the characters in ``keep``."""
+    standins = KEEP_STANDINS[: len(keep)]
+    s = F.translate(nfkd(c), keep, standins)
+    s = replace_all(s, ADDITIONAL_DIACRITICS)
+    s = F.regexp_replace(s, "\\p{Mn}", "")
+    s = F.regexp_replace(s, MSP_RE, " ")
+    return F.translate(s, standins, keep)
+
+
+def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
+    """T2 (documented subset): lower, drop bracketed/parenthesised words, fillers, apostrophe spacing, the
+    contraction/title rules, commas between digits, periods not followed by digits, symbols and diacritics (keeping
+    ``.%$¢€£``), spelling map per word (pluggable; the word split also normalises whitespace), stray numeric
+    symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built)."""
+    s = F.lower(_c(c))
+    s = F.regexp_replace(s, BRACKETS_RE, "")
+    s = F.regexp_replace(s, PARENS_RE, "")
+    s = F.regexp_replace(s, unicode_boundaries(ENGLISH_FILLERS), "")
+    s = F.regexp_replace(s, f"{WS}+'", "'")
+    for pattern, repl in ENGLISH_REPLACERS:
+        s = F.regexp_replace(s, unicode_boundaries(pattern), repl)
+    s = F.regexp_replace(s, "(\\p{Nd}),(\\p{Nd})", "$1$2")
+    s = F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
+    s = remove_symbols_and_diacritics(s)
+    words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
+    if spelling:
+        m = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
+        words = F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w))
+    s = F.array_join(words, " ")
+    s = F.regexp_replace(s, "[.$¢€£]([^0-9])", " $1")
+    s = F.regexp_replace(s, "([^0-9])%", "$1 ")
+    return F.regexp_replace(s, f"{WS}+", " ")

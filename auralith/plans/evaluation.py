@@ -74,14 +74,14 @@ def corpus_cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wer_filter_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 at threshold 20 on basic-normalised text (the filter stage uses T1 for every language)."""
+    """F1 at threshold 20 on normalised text (filter routing: English normaliser for en, basic for the rest)."""
     return wer_keep_from(table(spark, sf_dir, "documents"))
 
 
 def wer_keep_from(documents: DataFrame) -> DataFrame:
     utts = D.with_hypothesis(D.utterances(documents, spread=True))
-    df = compute_once(utts, reference_norm=T.basic_normalize("reference_raw"),
-                      prediction_norm=T.basic_normalize("prediction_raw"))
+    df = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang", stage="filter"),
+                      prediction_norm=T.normalize_for_language("prediction_raw", "lang", stage="filter"))
     kept = M.wer_filter(df, "reference_norm", "prediction_norm", WER_THRESHOLD)
     return kept.select("doc_id", "line_no", "lang", "reference_raw", "prediction_raw")
 
@@ -90,8 +90,8 @@ def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: kept vs dropped per reason, per language. Duration = characters of the line standing in for samples
     (window 0 < n < 2000), label length = words of the hypothesis (at most 128)."""
     utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
-    df = compute_once(utts, reference_norm=T.basic_normalize("reference_raw"),
-                      prediction_norm=T.basic_normalize("prediction_raw"))
+    df = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang", stage="filter"),
+                      prediction_norm=T.normalize_for_language("prediction_raw", "lang", stage="filter"))
     reason = M.rejection_reason(
         "reference_norm", "prediction_norm", WER_THRESHOLD,
         n_samples=F.char_length("reference_raw"), min_samples=0, max_samples=2000,
@@ -102,8 +102,14 @@ def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- oracles ------------------------------------------------------------------------------------------------------
 def _sql_norm(x: str) -> str:
-    # T4 (eval): ja -> T3, others -> T1; the driver tables hold en/de/fr/es only, so the T1 branch is what runs.
-    return f"CASE WHEN lang = 'ja' THEN replace(replace({S.basic_normalize(x)}, ' ', ''), '。.', '。') ELSE {S.basic_normalize(x)} END"
+    # T4 (eval): en -> T2, ja -> T3, others -> T1
+    return (f"CASE WHEN lang = 'en' THEN {S.english_normalize(x)} "
+            f"WHEN lang = 'ja' THEN replace(replace({S.basic_normalize(x)}, ' ', ''), '。.', '。') ELSE {S.basic_normalize(x)} END")
+
+
+def _sql_filter_norm(x: str) -> str:
+    # T4 (filter): en -> T2, every other language -> T1
+    return f"CASE WHEN lang = 'en' THEN {S.english_normalize(x)} ELSE {S.basic_normalize(x)} END"
 
 
 def _sql_scored(norm) -> str:
@@ -131,8 +137,8 @@ def _pct(e: str, n: str) -> str:
 
 _BASIC_SCORED = f"""u AS ({D.SQL_UTTERANCES}),
 h AS (SELECT *, {D.SQL_CORRUPT} AS prediction_raw FROM u),
-n AS (SELECT *, {S.basic_normalize('reference_raw')} AS reference_norm,
-                {S.basic_normalize('prediction_raw')} AS prediction_norm FROM h),
+n AS (SELECT *, {_sql_filter_norm('reference_raw')} AS reference_norm,
+                {_sql_filter_norm('prediction_raw')} AS prediction_norm FROM h),
 k AS (SELECT *, {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm')} AS b_norm FROM n),
 {S.edit_distance_cte('e', 'k', 'a_norm', 'b_norm', 'd')}"""
 _KEEP = f"(length(reference_norm) > 0 AND prediction_norm IS NOT NULL AND len(a_norm) > 0 AND 100.0 * d < {WER_THRESHOLD} * len(a_norm))"

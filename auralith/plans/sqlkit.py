@@ -78,3 +78,50 @@ def edit_distance_cte(name: str, src: str, a: str, b: str, out: str) -> str:
   UNION ALL
   SELECT * EXCLUDE (__v), {_dp(a, b)} AS {out} FROM {with_v} WHERE len(__v) > 127
 )"""
+
+
+_NOT_WORD = "[^\\p{L}\\p{N}_]"
+
+
+def _bounded_replace(x: str, pattern: str, repl: str, passes: int) -> str:
+    """Python ``\\b`` emulated for RE2 (no look-arounds): the boundary characters are consumed and put back, so
+    adjacent matches need another pass; ``passes`` bounds the run length handled (2**passes - 1)."""
+    lead = pattern.startswith("\\b")
+    trail = pattern.endswith("\\b")
+    core = pattern[2 if lead else 0: -2 if trail else None]
+    rx = (f"(^|{_NOT_WORD})" if lead else "") + core + (f"({_NOT_WORD}|$)" if trail else "")
+    if lead and trail:
+        rep = "\\1" + repl + "\\2"
+    elif lead:
+        rep = "\\1" + repl
+    elif trail:
+        rep = repl + "\\1"
+    else:
+        rep = repl
+    for _ in range(passes):
+        x = rx_replace(x, rx, rep)
+    return x
+
+
+def english_normalize(x: str) -> str:
+    from auralith.functions import text as T
+
+    s = f"lower({x})"
+    s = rx_replace(s, BRACKETS_RE, "")
+    s = rx_replace(s, PARENS_RE, "")
+    s = _bounded_replace(s, T.ENGLISH_FILLERS.replace("(hmm", "(?:hmm"), "", 4)
+    s = rx_replace(s, f"{WS}+'", "'")
+    for pattern, repl in T.ENGLISH_REPLACERS:
+        s = _bounded_replace(s, pattern, repl, 2)
+    s = rx_replace(s, "(\\p{Nd}),(\\p{Nd})", "\\1\\2")
+    s = rx_replace(s, "\\.([^0-9]|$)", " \\1")
+    standins = T.KEEP_STANDINS[: len(T.ENGLISH_KEEP_SYMBOLS)]
+    s = f"translate({s}, {q(T.ENGLISH_KEEP_SYMBOLS)}, {q(standins)})"
+    s = replace_all(s, T.ADDITIONAL_DIACRITICS)
+    s = f"strip_accents({s})"  # NFKD + drop Mn (equal on text without compatibility characters)
+    s = rx_replace(s, MSP_RE, " ")
+    s = f"translate({s}, {q(standins)}, {q(T.ENGLISH_KEEP_SYMBOLS)})"
+    s = f"array_to_string(list_filter(regexp_split_to_array({strip_ws(s)}, {q(WS + '+')}), lambda w: w <> ''), ' ')"
+    s = rx_replace(s, "[.$¢€£]([^0-9])", " \\1")
+    s = rx_replace(s, "([^0-9])%", "\\1 ")
+    return rx_replace(s, f"{WS}+", " ")
