@@ -312,18 +312,37 @@ def remove_symbols_and_diacritics(c, keep: str = ENGLISH_KEEP_SYMBOLS) -> Column
     return F.translate(s, standins, keep)
 
 
+def _rule_core(pattern: str) -> str:
+    return pattern[2 if pattern.startswith("\\b") else 0: -2 if pattern.endswith("\\b") else None]
+
+
+# one pass that tells whether any filler/contraction/title rule can fire at all (most lines: none)
+_ANY_RULE_RE = (f"(?<!{WORD_CHAR})(hmm|mm|mhm|mmm|uh|um|"
+                + "|".join(_rule_core(p) for p, _ in ENGLISH_REPLACERS if p.startswith("\\b")) + f")(?!{WORD_CHAR})|'")
+
+
+def _english_rules(s: Column) -> Column:
+    s = F.regexp_replace(s, unicode_boundaries(ENGLISH_FILLERS), "")
+    s = F.regexp_replace(s, f"{WS}+'", "'")
+    for pattern, repl in ENGLISH_REPLACERS:
+        s = F.regexp_replace(s, unicode_boundaries(pattern), repl)
+    return s
+
+
 def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
     """T2 (documented subset): lower, drop bracketed/parenthesised words, fillers, apostrophe spacing, the
     contraction/title rules, commas between digits, periods not followed by digits, symbols and diacritics (keeping
     ``.%$¢€£``), spelling map per word (pluggable; the word split also normalises whitespace), stray numeric
-    symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built)."""
+    symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built).
+
+    The ~50 rule passes only run on strings where one combined pattern finds a candidate (bound once through a
+    lambda variable so the expression is not duplicated)."""
+    from auralith.functions.edit import _bind
+
     s = F.lower(_c(c))
     s = F.regexp_replace(s, BRACKETS_RE, "")
     s = F.regexp_replace(s, PARENS_RE, "")
-    s = F.regexp_replace(s, unicode_boundaries(ENGLISH_FILLERS), "")
-    s = F.regexp_replace(s, f"{WS}+'", "'")
-    for pattern, repl in ENGLISH_REPLACERS:
-        s = F.regexp_replace(s, unicode_boundaries(pattern), repl)
+    s = _bind(s, lambda v: F.when(v.rlike(_ANY_RULE_RE), _english_rules(v)).otherwise(v))
     s = F.regexp_replace(s, "(\\p{Nd}),(\\p{Nd})", "$1$2")
     s = F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
     s = remove_symbols_and_diacritics(s)

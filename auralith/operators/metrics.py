@@ -22,11 +22,14 @@ def with_pair_counts(df: DataFrame, ref, hyp, suffix: str, chars: bool = True) -
     ref, hyp = _c(ref), _c(hyp)
     rw, hw = E.words(ref), E.words(hyp)
     cols = {f"n_ref_words_{suffix}": F.size(rw), f"word_edits_{suffix}": E.word_edit_distance(rw, hw)}
+    if chars:
+        cols[f"_cr_{suffix}"] = E.jiwer_clean(ref)
+        cols[f"_ch_{suffix}"] = E.jiwer_clean(hyp)
     out = compute_once(df, **cols)
     if chars:
-        out = out.withColumn(f"n_ref_chars_{suffix}", E.char_count(ref)).withColumn(
-            f"char_edits_{suffix}", E.char_edit_distance(ref, hyp)
-        )
+        cr, ch = F.col(f"_cr_{suffix}"), F.col(f"_ch_{suffix}")
+        out = out.withColumn(f"n_ref_chars_{suffix}", F.char_length(cr)).withColumn(
+            f"char_edits_{suffix}", E.char_edit_distance(cr, ch, cleaned=True)).drop(f"_cr_{suffix}", f"_ch_{suffix}")
     return out
 
 

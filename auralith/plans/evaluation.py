@@ -59,11 +59,13 @@ def corpus_cer_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored_utterances(spark, sf_dir)
     from auralith.functions import edit as E
 
+    df = compute_once(df, cr=E.jiwer_clean(F.col("reference_raw")), hr=E.jiwer_clean(F.col("prediction_raw")),
+                      cn=E.jiwer_clean(F.col("reference_norm")), hn=E.jiwer_clean(F.col("prediction_norm")))
     df = (
-        df.withColumn("n_raw", E.char_count(F.col("reference_raw")))
-        .withColumn("e_raw", E.char_edit_distance(F.col("reference_raw"), F.col("prediction_raw")))
-        .withColumn("n_norm", E.char_count(F.col("reference_norm")))
-        .withColumn("e_norm", E.char_edit_distance(F.col("reference_norm"), F.col("prediction_norm")))
+        df.withColumn("n_raw", F.char_length("cr"))
+        .withColumn("e_raw", E.char_edit_distance(F.col("cr"), F.col("hr"), cleaned=True))
+        .withColumn("n_norm", F.char_length("cn"))
+        .withColumn("e_norm", E.char_edit_distance(F.col("cn"), F.col("hn"), cleaned=True))
     )
     return df.groupBy("lang").agg(
         F.sum("n_norm").alias("n_ref_chars"),
