@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from auralith.functions import labels as L
 from auralith.functions.edit import _bind
+from auralith.operators.ordering import compute_once
 
 
 def prompt_with_previous(df: DataFrame, batch: str, row: str, ids: str, condition: Column, max_len: int,
                          position: int = L.MULTILINGUAL_PREFIX) -> DataFrame:
     prev = df.select(F.col(batch).alias("_pb"), (F.col(row) + 1).alias("_pr"), F.col(ids).alias("_prev"))
     j = df.join(prev, (F.col(batch) == F.col("_pb")) & (F.col(row) == F.col("_pr")), "left")
-    return j.withColumn("labels", L.with_prompt(F.col(ids), F.col("_prev"), condition, max_len, position)).drop(
-        "_pb", "_pr", "_prev")
+    labels = L.with_prompt(F.col(ids), F.col("_prev"), condition, max_len, position)
+    return compute_once(j.drop("labels") if "labels" in j.columns else j, labels=labels).drop("_pb", "_pr", "_prev")
 
 
 def timestamp_vocab(spark) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auralith.functions import text as T
 from auralith.operators import cleaning as C
+from auralith.operators.ordering import balance
 from auralith.plans import derived as D
 from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
@@ -106,7 +107,7 @@ def clean_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strip_markup_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 + T16 + F12 over raw web pages: markup flag, normalised text length and word count per page."""
-    pages = table(spark, sf_dir, "pages")
+    pages = balance(table(spark, sf_dir, "pages"), "page_id")
     norm = T.basic_normalize(T.remove_timestamp_tokens(F.col("html")))
     from auralith.functions.edit import words
 
