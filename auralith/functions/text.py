@@ -305,9 +305,10 @@ def remove_symbols_and_diacritics(c, keep: str = ENGLISH_KEEP_SYMBOLS) -> Column
     """NFKD; listed ligatures/letters spelled out; combining marks (Mn) dropped; other marks, symbols and punctuation
     become spaces, except the characters in ``keep``."""
     standins = KEEP_STANDINS[: len(keep)]
-    s = F.translate(nfkd(c), keep, standins)
-    s = replace_all(s, ADDITIONAL_DIACRITICS)
-    s = F.regexp_replace(s, "\\p{Mn}", "")
+    c = _c(c)
+    # ASCII text has nothing to decompose, no ligatures and no combining marks: only the symbol step applies
+    wide = F.regexp_replace(replace_all(F.translate(nfkd(c), keep, standins), ADDITIONAL_DIACRITICS), "\\p{Mn}", "")
+    s = F.when(c.rlike(ASCII_ONLY_RE), F.translate(c, keep, standins)).otherwise(wide)
     s = F.regexp_replace(s, MSP_RE, " ")
     return F.translate(s, standins, keep)
 
@@ -335,22 +336,20 @@ def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
     ``.%$¢€£``), spelling map per word (pluggable; the word split also normalises whitespace), stray numeric
     symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built).
 
-    The ~50 rule passes only run on strings where one combined pattern finds a candidate (bound once through a
-    lambda variable so the expression is not duplicated)."""
-    from auralith.functions.edit import _bind
-
+    The ~50 rule passes only run on strings where one combined pattern finds a candidate."""
     s = F.lower(_c(c))
     s = F.regexp_replace(s, BRACKETS_RE, "")
     s = F.regexp_replace(s, PARENS_RE, "")
-    s = _bind(s, lambda v: F.when(v.rlike(_ANY_RULE_RE), _english_rules(v)).otherwise(v))
+    s = F.when(s.rlike(_ANY_RULE_RE), _english_rules(s)).otherwise(s)
     s = F.regexp_replace(s, "(\\p{Nd}),(\\p{Nd})", "$1$2")
     s = F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
     s = remove_symbols_and_diacritics(s)
-    words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
     if spelling:
+        words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
         m = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
-        words = F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w))
-    s = F.array_join(words, " ")
+        s = F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w)), " ")
+    else:  # " ".join(s.split()) without a mapping is exactly: strip, then whitespace runs -> one space
+        s = F.regexp_replace(strip_ws(s), f"{WS}+", " ")
     s = F.regexp_replace(s, "[.$¢€£]([^0-9])", " $1")
     s = F.regexp_replace(s, "([^0-9])%", "$1 ")
     return F.regexp_replace(s, f"{WS}+", " ")
