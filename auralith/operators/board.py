@@ -96,12 +96,26 @@ def drop_first_trial(runs: DataFrame, keys: list[str], ts: str, tiebreak: str) -
     return runs.join(first.select(tiebreak), tiebreak, "left_anti")
 
 
-def trial_stats(runs: DataFrame, keys: list[str], value: str, ts: str, tiebreak: str) -> DataFrame:
-    """Drop the first trial, then mean and sample standard deviation per configuration."""
+def trial_stats(runs: DataFrame, keys: list[str], value: str, ts: str, tiebreak: str,
+                decimals: int | None = None) -> DataFrame:
+    """Drop the first trial, then count, mean and sample standard deviation per configuration.
+
+    With ``decimals`` the values are fixed-point (``round(v * 10**decimals)`` exact integers): the sums are exact
+    and independent of partitioning and task order, so the result is bit-for-bit reproducible at any scale;
+    mean = S1 / (n * 10**d), std = sqrt((n*S2 - S1^2) / (n * (n - 1))) / 10**d."""
     rest = drop_first_trial(runs, keys, ts, tiebreak)
-    return rest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trials"), F.avg(value).alias("time_mean"), F.stddev_samp(value).alias("time_std"),
-    )
+    if decimals is None:
+        return rest.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_trials"), F.avg(value).alias("time_mean"), F.stddev_samp(value).alias("time_std"),
+        )
+    unit = float(10 ** decimals)
+    q = F.round(F.col(value) * F.lit(unit)).cast("decimal(38,0)")
+    agg = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trials"), F.sum(q).alias("_s1"), F.sum(q * q).alias("_s2"))
+    n = F.col("n_trials")
+    num = n.cast("decimal(38,0)") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    std = F.sqrt(num.cast("double") / (n * (n - 1)).cast("double")) / F.lit(unit)
+    return agg.select(*keys, "n_trials", (F.col("_s1").cast("double") / (n * F.lit(unit))).alias("time_mean"),
+                      F.when(n > 1, std).alias("time_std"))
 
 
 def optional_eq(c: str, value) -> Column:

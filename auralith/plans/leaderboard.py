@@ -74,7 +74,8 @@ def leaderboard_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.trial_stats(runtime_log(spark, sf_dir), ["model", "attention", "duration"], "time", "ts", "event_id")
+    # times are in milliseconds resolution (value / 10 with two decimals): exact fixed-point statistics
+    return B.trial_stats(runtime_log(spark, sf_dir), ["model", "attention", "duration"], "time", "ts", "event_id", decimals=3)
 
 
 def runtime_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +109,10 @@ _RUN = """run AS (SELECT event_type AS model,
   CASE WHEN user_id % 4 = 0 THEN 10 WHEN user_id % 4 = 1 THEN 30 WHEN user_id % 4 = 2 THEN 60 ELSE 300 END AS duration,
   value / 10 AS time, ts, event_id FROM events),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, attention, duration ORDER BY ts, event_id) AS rn FROM run) WHERE rn > 1),
-st AS (SELECT model, attention, duration, count(*) AS n_trials, avg(time) AS time_mean, stddev_samp(time) AS time_std
-       FROM r GROUP BY model, attention, duration)"""
+q AS (SELECT model, attention, duration, count(*) AS n, sum(round(time * 1000)::HUGEINT) AS s1,
+             sum((round(time * 1000)::HUGEINT) * (round(time * 1000)::HUGEINT)) AS s2 FROM r GROUP BY model, attention, duration),
+st AS (SELECT model, attention, duration, n AS n_trials, s1::DOUBLE / (n * 1000.0) AS time_mean,
+              CASE WHEN n > 1 THEN sqrt((n * s2 - s1 * s1)::DOUBLE / (n * (n - 1))::DOUBLE) / 1000.0 END AS time_std FROM q)"""
 
 
 def _model_label_sql() -> str:
