@@ -2,7 +2,7 @@
 
 A predictor is any object with ``__call__(pdf: pandas.DataFrame) -> pandas.Series``; a factory builds it once per
 task (a model would be loaded once per executor task, not per row) and it is applied to Arrow record batches by
-``mapInPandas``. Results are keyed by the input's id columns and joined back by id (never by position), so retries,
+``mapInPandas``. Outputs travel with their row's id columns (never attached by position across tables), so retries,
 speculative tasks and any partitioning give the same table.
 """
 
@@ -34,12 +34,29 @@ def score(df: DataFrame, keys: list[str], inputs: list[str], out: str, factory:
     return src.mapInPandas(run, schema)
 
 
-def score_heads(df: DataFrame, keys: list[str], heads: dict[str, tuple[list[str], PredictorFactory]]) -> DataFrame:
-    """M1 v3: several (inputs, predictor) heads, each scored independently and joined back to ``df`` by id."""
-    out = df
-    for name, (inputs, factory) in heads.items():
-        out = out.join(score(df, keys, inputs, name, factory), keys, "left")
-    return out
+def score_heads(df: DataFrame, keys: list[str], heads: dict[str, tuple[list[str], PredictorFactory]],
+                carry: list[str] | None = None) -> DataFrame:
+    """M1 v3: several (inputs, predictor) heads in one Arrow pass; every predictor is built once per task.
+
+    Rows come back one-for-one with their inputs, so the ``keys`` and ``carry`` columns travel with the batch and
+    no join (and no shuffle) is needed to attach the outputs. Keep heavy columns a predictor does not read (audio
+    bytes) out of ``carry`` and join them back by ``keys`` afterwards if they are needed."""
+    carry = [c for c in (carry or []) if c not in keys]
+    inputs = sorted({c for cols, _ in heads.values() for c in cols} - set(keys) - set(carry))
+    src = df.select(*keys, *carry, *inputs)
+    fields = [src.schema[c] for c in keys + carry] + [T.StructField(h, T.StringType(), True) for h in heads]
+    schema = T.StructType(fields)
+    names = list(heads)
+
+    def run(batches):
+        predictors = {h: f() for h, (_, f) in heads.items()}
+        for pdf in batches:
+            res = pdf[keys + carry].copy()
+            for h in names:
+                res[h] = predictors[h](pdf) if len(pdf) else pd.Series([], dtype=object)
+            yield res
+
+    return src.mapInPandas(run, schema)
 
 
 def cascade(df: DataFrame, keys: list[str], inputs: list[str], asr: PredictorFactory, translate: PredictorFactory,

@@ -17,7 +17,7 @@ RATE, N_FFT, HOP, N_MELS = 16, 16, 8, 4
 def pseudo_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = D.utterances(table(spark, sf_dir, "documents"), spread=True)
     keys = ["doc_id", "line_no"]
-    labelled = SC.score_heads(utts, keys, {"whisper_transcript": (["reference_raw"], SC.corrupting_predictor)})
+    labelled = SC.score_heads(utts, keys, {"whisper_transcript": (["reference_raw"], SC.corrupting_predictor)}, carry=["lang"])
     return labelled.select("doc_id", "line_no", "lang", "whisper_transcript")
 
 

@@ -8,7 +8,9 @@ from auralith.operators import scoring as SC
 
 def test_score_heads_join_by_id(spark):
     df = spark.createDataFrame([(1, 0, "a b c d e f g"), (2, 3, "x y")], "doc_id long, line_no long, reference_raw string")
-    out = SC.score_heads(df.repartition(3), ["doc_id", "line_no"], {"hyp": (["reference_raw"], SC.corrupting_predictor)})
+    out = SC.score_heads(df.repartition(3), ["doc_id", "line_no"], {"hyp": (["reference_raw"], SC.corrupting_predictor)},
+                         carry=["reference_raw"])
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: r.hyp for r in out.collect()}
     assert got == {1: "a b c d e zz g", 2: "x y"}
     c = SC.cascade(df, ["doc_id", "line_no"], ["reference_raw"], SC.corrupting_predictor, SC.reversing_translator)
