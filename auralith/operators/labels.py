@@ -1,9 +1,9 @@
 """DataFrame-level label operators: previous-row conditioning (W1), batch padding (L7/L8/A11), decoder collation
 (L4-L6) and the timestamp vocabulary (T15).
 
-"Previous row in the same batch" is an equi-join on ``(batch, row - 1)`` rather than ``lag`` over a window
-partitioned by batch: the join shuffles on the unique ``(batch, row)`` pair, so one huge batch never lands in a single
-task. Rows must be dense per batch (``0..n-1``); ``auralith.operators.ordering.dense_index`` provides that for any order.
+"Previous row in the same batch" is a group-by on ``(batch, row)`` of each row sent to its own and to the next
+key, rather than ``lag`` over a window partitioned by batch: the shuffle is on the unique ``(batch, row)`` pair, so one
+huge batch never lands in a single task. Rows must be dense per batch (``0..n-1``); ``auralith.operators.ordering.dense_index`` provides that for any order.
 Batch-level values (longest labels, all-start-with-SOT) are partial aggregates joined back on the batch key.
 """
 
@@ -19,10 +19,25 @@ from auralith.operators.ordering import compute_once
 
 def prompt_with_previous(df: DataFrame, batch: str, row: str, ids: str, condition: Column, max_len: int,
                          position: int = L.MULTILINGUAL_PREFIX) -> DataFrame:
-    prev = df.select(F.col(batch).alias("_pb"), (F.col(row) + 1).alias("_pr"), F.col(ids).alias("_prev"))
-    j = df.join(prev, (F.col(batch) == F.col("_pb")) & (F.col(row) == F.col("_pr")), "left")
+    """W1 in one pass: every row is emitted under its own key and under the key of the next row, then grouped by
+    ``(batch, row)``; a key holds at most two rows, so no batch (however large) concentrates in one task, and the
+    input is computed once (a self-join would evaluate it twice)."""
+    cols = df.columns
+    me = F.struct(*[F.col(c) for c in cols])
+    both = df.select(F.explode(F.array(
+        F.struct(F.col(batch).alias("_b"), F.col(row).alias("_r"), me.alias("_me"), F.lit(None).cast(df.schema[ids].dataType).alias("_prev")),
+        F.struct(F.col(batch).alias("_b"), (F.col(row) + 1).alias("_r"), F.lit(None).cast(me_type(df)).alias("_me"), F.col(ids).alias("_prev")),
+    )).alias("_e")).select("_e.*")
+    grouped = both.groupBy("_b", "_r").agg(F.max("_me").alias("_me"), F.max("_prev").alias("_prev"))
+    rows = grouped.where(F.col("_me").isNotNull()).select("_me.*", "_prev")
     labels = L.with_prompt(F.col(ids), F.col("_prev"), condition, max_len, position)
-    return compute_once(j.drop("labels") if "labels" in j.columns else j, labels=labels).drop("_pb", "_pr", "_prev")
+    return compute_once(rows.drop("labels") if "labels" in cols else rows, labels=labels).drop("_prev")
+
+
+def me_type(df: DataFrame):
+    from pyspark.sql import types as T
+
+    return T.StructType(list(df.schema.fields))
 
 
 def timestamp_vocab(spark) -> DataFrame:

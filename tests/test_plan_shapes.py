@@ -21,9 +21,11 @@ def test_no_global_single_partition_window(spark):
                 assert "_pid" in line, (name, line)
 
 
-def test_previous_row_is_a_join(spark):
+def test_previous_row_is_keyed_not_windowed(spark):
+    """Rows meet their predecessor through a group-by on the unique (batch, row) key, never a batch window."""
     p = plan(entry.queries()["prompt_labels"](spark, SF_SMALL))
-    assert "Join" in p and "lag(" not in p
+    assert "lag(" not in p and "Window" not in p
+    assert "keys=[_b" in p and "_r" in p
 
 
 def test_expensive_columns_evaluated_after_spread(spark):
