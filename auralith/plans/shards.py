@@ -153,10 +153,11 @@ def paired_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: steps per epoch = n // (batch * accum), total = steps * epochs, paired size = min(n1, n2) * 2."""
-    n1 = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n1"))
-    n2 = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n2"))
-    j = n1.crossJoin(n2)  # two single-row aggregates
+    """A5: steps per epoch = n // (batch * accum), total = steps * epochs, paired size = min(n1, n2) * 2.
+    Both counts come from one tagged union pivoted into a single row (no join of the two aggregates)."""
+    tagged = table(spark, sf_dir, "customer").select(F.lit("n1").alias("k")).unionByName(
+        table(spark, sf_dir, "supplier").select(F.lit("n2").alias("k")))
+    j = tagged.groupBy().pivot("k", ["n1", "n2"]).count()
     steps = F.floor(F.col("n1") / F.lit(BATCH * ACCUM)).cast("long")
     return j.select(
         "n1", "n2", steps.alias("steps_per_epoch"), (steps * EPOCHS).alias("total_steps"),
