@@ -125,10 +125,6 @@ _UTTS = f"u AS ({D.SQL_UTTERANCES})"
 _KS = "(doc_id + line_no)"
 
 
-def _ws_clean(x: str) -> str:
-    return S.jiwer_clean(x)
-
-
 _IGN = "(" + ", ".join(S.q(t) for t in T.IGNORE_SEGMENTS) + ")"
 
 _TED_TRANSCRIPT = f"""CASE WHEN {_KS} % 5 = 0 THEN reference_raw || ' <unk> it ''s  fine (k1)'

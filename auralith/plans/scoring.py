@@ -4,7 +4,6 @@ and log-mel features (M3). The test predictors are deterministic, so M1/M2 have
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auralith.operators import scoring as SC
 from auralith.operators.ordering import spread

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralith.functions import text as TX
 from auralith.operators import cleaning as C
 from auralith.operators.joins import dedup_last
 
@@ -239,4 +238,4 @@ def is_additional(name: Column) -> Column:
 
 
 __all__ = [n for n in dir() if n.startswith("read_")] + [
-    "audit_shards", "shard_catalog", "cached_or_compute", "config_names", "route_corpus", "is_additional", "TX"]
+    "audit_shards", "shard_catalog", "cached_or_compute", "config_names", "route_corpus", "is_additional"]

@@ -1,7 +1,6 @@
 """Scoring (M1/M2) joined by id, and log-mel features (M3) against a direct per-row computation."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from auralith.operators import scoring as SC
 

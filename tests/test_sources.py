@@ -2,7 +2,6 @@
 
 import io
 import json
-import os
 import tarfile
 
 import pytest
@@ -128,5 +127,5 @@ def test_predictions_cache_and_upsert(spark, tmp_path):
 
 def test_config_names(spark, tmp_path):
     p = _write(tmp_path / "README.md", "use subset_10.0 and subset_2.0\nthen subset_10.0 again, also subset_1.1\n")
-    got = sorted((r.name, r.idx) for r in R.read_config and R.config_names(spark, str(p), r"(subset_\d+\.\d+)").collect())
+    got = sorted((r.name, r.idx) for r in R.config_names(spark, str(p), r"(subset_\d+\.\d+)").collect())
     assert got == [("subset_1.1", 0), ("subset_10.0", 1), ("subset_2.0", 2)]
