@@ -20,17 +20,19 @@ def _c(c) -> Column:
 def with_pair_counts(df: DataFrame, ref, hyp, suffix: str, chars: bool = True) -> DataFrame:
     """Add ``n_ref_words_<s>``, ``word_edits_<s>`` and (optionally) ``n_ref_chars_<s>``, ``char_edits_<s>``."""
     ref, hyp = _c(ref), _c(hyp)
-    rw, hw = E.words(ref), E.words(hyp)
-    cols = {f"n_ref_words_{suffix}": F.size(rw), f"word_edits_{suffix}": E.word_edit_distance(rw, hw)}
+    # cleaned strings and word arrays once per row, then everything else reads those columns
+    cr, ch = f"_cr_{suffix}", f"_ch_{suffix}"
+    out = compute_once(df, **{cr: E.jiwer_clean(ref), ch: E.jiwer_clean(hyp)})
+    rw = F.filter(F.split(F.col(cr), " "), lambda x: x != "")
+    hw = F.filter(F.split(F.col(ch), " "), lambda x: x != "")
+    out = compute_once(out, **{f"_rw_{suffix}": rw, f"_hw_{suffix}": hw})
+    rwc, hwc = F.col(f"_rw_{suffix}"), F.col(f"_hw_{suffix}")
+    out = compute_once(out, **{f"n_ref_words_{suffix}": F.size(rwc), f"word_edits_{suffix}": E.word_edit_distance(rwc, hwc)})
+    out = out.drop(f"_rw_{suffix}", f"_hw_{suffix}")
     if chars:
-        cols[f"_cr_{suffix}"] = E.jiwer_clean(ref)
-        cols[f"_ch_{suffix}"] = E.jiwer_clean(hyp)
-    out = compute_once(df, **cols)
-    if chars:
-        cr, ch = F.col(f"_cr_{suffix}"), F.col(f"_ch_{suffix}")
         out = out.withColumn(f"n_ref_chars_{suffix}", F.char_length(cr)).withColumn(
-            f"char_edits_{suffix}", E.char_edit_distance(cr, ch, cleaned=True)).drop(f"_cr_{suffix}", f"_ch_{suffix}")
-    return out
+            f"char_edits_{suffix}", E.char_edit_distance(F.col(cr), F.col(ch), cleaned=True))
+    return out.drop(cr, ch)
 
 
 def ratio_pct(edits: Column, total: Column) -> Column:
