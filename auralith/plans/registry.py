@@ -42,6 +42,8 @@ QUERIES = {
     "fill_timestamps": timing.fill_timestamps,
     "regroup_segments": timing.regroup_segments,
     "silence_overlap": timing.silence_overlap,
+    "lookahead_times": timing.lookahead_times,
+    "median_durations": timing.median_durations,
     "corpus_profile": profile.corpus_profile,
     "slice_by_seconds": profile.slice_by_seconds,
     "chunk_explode": profile.chunk_explode,

@@ -46,6 +46,26 @@ def fill_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.fill_timestamps(holed)
 
 
+def _holed(spark, sf_dir) -> DataFrame:
+    p = _parts(spark, sf_dir)
+    return p.select(
+        "audio_id", "pos",
+        F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("end")).alias("end"),
+    )
+
+
+def lookahead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 on the holed parts: the time of the first later part of the same audio with a known time (a non-zero
+    start, else its end); NULL when none follows. The window is per audio, a bounded group."""
+    return _holed(spark, sf_dir).select("audio_id", "pos", G.next_known_time().alias("next_time"))
+
+
+def median_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 per audio: twice the median duration of its complete parts, 2.0 when none is complete."""
+    return G.median_duration(_holed(spark, sf_dir))
+
+
 def regroup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.regroup(_parts(spark, sf_dir), MAX_GAP)
 
@@ -96,7 +116,16 @@ f AS (SELECT audio_id, poss, {fold} AS r FROM g)
 SELECT audio_id, unnest(poss) AS pos, unnest(r.s) AS start, unnest(r.e) AS "end" FROM f"""
 
 
+_HOLED = """h AS (SELECT audio_id, pos, CASE WHEN event_id % 5 = 0 THEN NULL ELSE start END AS start,
+             CASE WHEN event_id % 7 = 0 THEN NULL ELSE "end" END AS "end" FROM base)"""
+
 SQL = {
+    "lookahead_times": f"""WITH {_BASE}, {_HOLED}
+SELECT audio_id, pos, first(coalesce(nullif(start, 0.0), "end") IGNORE NULLS) OVER (PARTITION BY audio_id ORDER BY pos
+       ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_time FROM h""",
+    "median_durations": f"""WITH {_BASE}, {_HOLED}
+SELECT audio_id, coalesce(median(CASE WHEN start IS NOT NULL AND "end" IS NOT NULL THEN "end" - start END) * 2, 2.0) AS median_dur
+FROM h GROUP BY audio_id""",
     "fill_timestamps": _fill_sql(),
     "regroup_segments": f"""WITH {_BASE},
 b AS (SELECT *, CASE WHEN start - lag("end") OVER w > {MAX_GAP} OR right(lag(word) OVER w, 1) IN ('.', '?', '!', '。')
