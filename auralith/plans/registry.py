@@ -58,6 +58,9 @@ QUERIES = {
     "stream_metrics": streams.stream_metrics,
     "missing_chunks": audit.missing_chunks,
     "segment_audio": audit.segment_audio,
+    "duration_filter": audit.duration_filter,
+    "multi_column_clean": audit.multi_column_clean,
+    "member_routing": audit.member_routing,
 }
 
 ORACLE_SQL = {}
