@@ -105,3 +105,16 @@ def expand_subsets(spark, subset_dirs: dict[str, list[str]], archives_per_dir: d
     return dims.select("dir", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), prefix.alias("prefix")).select(
         F.lit(subset).alias("subset"), "dir",
         F.concat(F.lit(head), F.col("prefix"), F.lit(before_i), F.col("i").cast("string"), F.lit(after_i)).alias("archive"))
+
+
+def keep_columns(df: DataFrame, keep: set[str] | list[str]) -> DataFrame:
+    """U6 + P2: drop every column outside the keep set (the set difference is taken on the driver, on names only)."""
+    return df.drop(*[c for c in df.columns if c not in set(keep)])
+
+
+def lineage_name(base: str, wer_threshold: float | None = None, vectorized: bool = False, chunk: int | None = None) -> str:
+    """Derived-table naming ``<base>.wer_<t>`` / ``.vectorized`` / ``_<chunk>``; used as the partition path."""
+    name = base if chunk is None else f"{base}_{chunk}"
+    if wer_threshold is not None:
+        name += f".wer_{wer_threshold}"
+    return name + (".vectorized" if vectorized else "")

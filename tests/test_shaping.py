@@ -50,3 +50,9 @@ def test_segment_audio(spark):
     segs = spark.createDataFrame([("talk1", 0.5, 1.0), ("talk1", 4.5, 9.0), ("other", 0.0, 1.0)], "fn string, start double, end double")
     got = sorted((r.start, r.segment) for r in segment_audio(segs, audio, "fn", "samples", 8).collect())
     assert got == [(0.5, [4, 5, 6, 7]), (4.5, [36, 37, 38, 39])]
+
+
+def test_keep_and_lineage(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "id int, text string, extra string")
+    assert SH.keep_columns(df, {"id", "text", "missing"}).columns == ["id", "text"]
+    assert SH.lineage_name("corpus.all", 10.0, vectorized=True, chunk=3) == "corpus.all_3.wer_10.0.vectorized"
