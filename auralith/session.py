@@ -36,8 +36,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     path = tempfile.mkdtemp(prefix="auralith-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
+    try:  # make it visible to later readers of the conf; some deployments reject runtime core-conf changes
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # noqa: BLE001
+        pass
     return path
 
 
