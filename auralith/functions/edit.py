@@ -146,10 +146,27 @@ def batch_levenshtein(pairs, max_words: int = 16, chunk: int = 4096):
     for w, items in buckets.items():
         items.sort(key=lambda t: -len(t[2]))
         for s in range(0, len(items), chunk):
-            part = items[s:s + chunk]
-            out[[t[0] for t in part]] = _run_bucket(part, w)
+            _run_bounded(items[s:s + chunk], w, out)
     return out
 
+MATCH_TABLE_BYTES = 64 << 20
+
+
+def _run_bounded(items, W, out):
+    """Split a chunk until its match table (pairs x alphabet x words x 8 bytes) fits the memory budget; large
+    alphabets (CJK text) get smaller chunks, a single pair always runs."""
+    allc = np.concatenate([a for _, a, _ in items] + [b for _, _, b in items])
+    present = np.zeros(int(allc.max()) + 1, dtype=bool)
+    present[allc] = True
+    alphabet = int(present.sum())
+    if len(items) > 1 and len(items) * (alphabet + 1) * W * 8 > MATCH_TABLE_BYTES:
+        half = len(items) // 2
+        _run_bounded(items[:half], W, out)
+        _run_bounded(items[half:], W, out)
+        return
+    out[[t[0] for t in items]] = _run_bucket(items, W)
+
+
 def _run_bucket(items, W):
     P = len(items)
     ca = [a for _, a, _ in items]

@@ -92,3 +92,13 @@ def test_corpus_wer_is_ratio_of_sums(spark):
     df = M.with_pair_counts(df, "r", "h", "x", chars=False)
     wer = df.agg(M.ratio_pct(F.col("word_edits_x"), F.col("n_ref_words_x")).alias("w")).first().w
     assert wer == pytest.approx(100.0 / 6)
+
+
+def test_vectorised_kernel_large_alphabet(monkeypatch):
+    """A CJK-sized alphabet forces the chunk to split under the match-table budget; results stay exact."""
+    monkeypatch.setattr(E, "MATCH_TABLE_BYTES", 1 << 16)
+    rnd = random.Random(2)
+    alphabet = [chr(0x4E00 + i) for i in range(3000)]
+    pairs = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 150))),
+              "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 150)))) for _ in range(200)]
+    assert list(E.batch_levenshtein(pairs)) == [E.bitparallel_levenshtein(a, b) for a, b in pairs]
