@@ -208,10 +208,6 @@ def chunk_id_from_name(c) -> Column:
     return F.regexp_extract(_c(c), "\\.all_(\\d+)\\.wer_", 1).cast("int")
 
 
-def hf_link(name) -> Column:
-    return F.format_string("[%s](https://huggingface.co/%s)", _c(name), _c(name))
-
-
 def pandas_round(c, digits: int) -> Column:
     """pandas/numpy ``round``: scale, round half to even on the binary value (``rint``), scale back."""
     scale = float(10 ** digits)
