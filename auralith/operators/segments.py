@@ -2,8 +2,8 @@
 second-based slicing (L10) and fixed-length chunk explode (M4).
 
 W6 is truly sequential inside one audio (a filled end becomes the next start, the median duration is taken at the
-first moment it is needed), so it runs as ``applyInPandas`` per audio; an audio is a bounded group (its own word
-list), and nothing crosses audios. Everything else is windows/joins keyed by the audio id.
+first moment it is needed), so it runs per audio in Python over rows shuffled and sorted by (audio, position); an
+audio is a bounded group (its own word list), and nothing crosses audios. Everything else is windows/joins keyed by the audio id.
 """
 
 from __future__ import annotations
@@ -22,13 +22,10 @@ def _none(v):
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
 
 
-def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
+def fill_lists(starts: list, ends: list, total: float) -> tuple[list, list]:
     """Fill missing start/end of one audio's parts, in position order (Python ``or`` treats 0.0 as missing)."""
-    pdf = pdf.sort_values("pos", kind="stable")
-    starts = [_none(v) for v in pdf["start"].tolist()]
-    ends = [_none(v) for v in pdf["end"].tolist()]
+    starts, ends = list(starts), list(ends)
     orig_s, orig_e = list(starts), list(ends)
-    total = float(pdf["total_dur"].iloc[0])
     n = len(starts)
     dur = None
 
@@ -55,13 +52,59 @@ def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
                 ends[i] = cap if new_end > cap else new_end
             else:
                 ends[i] = starts[i + 1]
-    return pd.DataFrame({"audio_id": pdf["audio_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "start": starts, "end": ends})
+    return starts, ends
+
+
+def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One audio as a pandas frame (any row order) -> filled frame."""
+    pdf = pdf.sort_values("pos", kind="stable")
+    s, e = fill_lists([_none(v) for v in pdf["start"].tolist()], [_none(v) for v in pdf["end"].tolist()],
+                      float(pdf["total_dur"].iloc[0]))
+    return pd.DataFrame({"audio_id": pdf["audio_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "start": s, "end": e})
+
+
+def _fill_sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows sorted by (audio, pos): fill every audio with plain lists (no per-group DataFrame)."""
+    audio = pdf["audio_id"].to_numpy()
+    starts = [_none(v) for v in pdf["start"].tolist()]
+    ends = [_none(v) for v in pdf["end"].tolist()]
+    total = pdf["total_dur"].to_numpy()
+    cuts = np.flatnonzero(audio[1:] != audio[:-1]) + 1
+    out_s, out_e = [], []
+    for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(audio)]))):
+        s, e = fill_lists(starts[lo:hi], ends[lo:hi], float(total[lo]))
+        out_s += s
+        out_e += e
+    return pd.DataFrame({"audio_id": audio, "pos": pdf["pos"].to_numpy(), "start": out_s, "end": out_e})
 
 
 def fill_timestamps(parts: DataFrame, audio: str = "audio_id", pos: str = "pos") -> DataFrame:
-    """``parts(audio_id, pos, start, end, total_dur)`` -> filled ``(audio_id, pos, start, end)``."""
+    """``parts(audio_id, pos, start, end, total_dur)`` -> filled ``(audio_id, pos, start, end)``.
+
+    One shuffle puts each audio in one partition, sorted by position; ``mapInPandas`` then walks the audios as
+    contiguous runs with plain lists (no pandas frame per group). An audio that straddles two Arrow batches is held
+    back and completed with the next batch (audios are bounded groups: one recording's parts)."""
     cols = parts.select(F.col(audio).alias("audio_id"), F.col(pos).alias("pos"), "start", "end", "total_dur")
-    return cols.groupBy("audio_id").applyInPandas(fill_group, FILLED_SCHEMA)
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cols.repartition(n, "audio_id").sortWithinPartitions("audio_id", "pos")
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["audio_id"].iloc[-1]
+            tail = (pdf["audio_id"] == last).to_numpy()
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield _fill_sorted(done)
+        if carry is not None and len(carry):
+            yield _fill_sorted(carry)
+
+    return ordered.mapInPandas(run, FILLED_SCHEMA)
 
 
 def median_duration(parts: DataFrame, audio: str = "audio_id") -> DataFrame:

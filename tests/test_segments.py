@@ -49,3 +49,28 @@ def test_slices(spark):
     assert df.select(G.slice_seconds(F.col("a"), 2, F.lit(1.0), F.lit(9.0)).alias("s")).first().s == [2, 3, 4, 5, 6, 7, 8, 9]
     chunks = G.chunk_explode(df, "a", 2, 2.0).orderBy("chunk_idx").collect()
     assert [r.chunk for r in chunks] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+def test_fill_across_arrow_batches(spark):
+    """Audios straddling Arrow batch boundaries are completed with the next batch."""
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for a in range(40):
+        t = 0.0
+        for p in range(rnd.randint(1, 9)):
+            t += rnd.randint(1, 5) / 10
+            s = None if rnd.random() < 0.3 else round(t, 3)
+            e = None if rnd.random() < 0.3 else round(t + 0.4, 3)
+            rows.append((a, p, s, e, 20.0))
+    df = spark.createDataFrame(rows, "audio_id long, pos long, start double, end double, total_dur double")
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in G.fill_timestamps(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+    pdf = pd.DataFrame(rows, columns=["audio_id", "pos", "start", "end", "total_dur"])
+    exp = sorted(tuple(r) for _, g in pdf.groupby("audio_id") for r in G.fill_group(g).itertuples(index=False))
+    assert got == exp
