@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 
 from auralith.functions.text import pandas_round
 
-# Dataset display names of the leaderboard.
+# Display names of the leaderboard's dataset dimension (dataset id -> pretty name); unknown ids show as they are.
 PRETTY_DATASET_NAMES = [
-    ("japanese-asr/ja_asr.jsut_basic5000", "JSUT Basic 5000"),
-    ("japanese-asr/ja_asr.common_voice_8_0", "CommonVoice 8 (Japanese test set)"),
-    ("japanese-asr/ja_asr.reazonspeech_test", "ReazonSpeech (held out test set)"),
-    ("japanese-asr/en_asr.esb_eval", "ESB"),
-    ("japanese-asr/ja2en.s2t_translation", "Translation (Ja->En)"),
-    ("japanese-asr/en2ja.s2t_translation", "Translation (En->Ja)"),
+    ("corpus/ja.jsut_basic5000", "JSUT Basic 5000"),
+    ("corpus/ja.common_voice_8_0", "CommonVoice 8 (Japanese test set)"),
 ]
 SORT_KEYS = ["dataset", "model", "chunk_length_s", "translation_model", "punctuator", "stable_ts"]
 DEDUP_KEYS = ["dataset", "dataset_config", "dataset_split", "model", "chunk_length_s", "translation_model",

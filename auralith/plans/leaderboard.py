@@ -16,7 +16,7 @@ from auralith.functions.text import pandas_round
 from auralith.operators import board as B
 from auralith.plans.tables import table
 
-DATASETS = ["japanese-asr/ja_asr.jsut_basic5000", "japanese-asr/ja_asr.common_voice_8_0", "local/extra_set"]
+DATASETS = ["corpus/ja.jsut_basic5000", "corpus/ja.common_voice_8_0", "local/extra_set"]
 CONFIGS = [None, "cfg0", "cfg1"]
 DURATIONS = [10, 30, 60, 300]
 NLLB = "facebook/nllb-200-3.3B"
