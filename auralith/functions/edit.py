@@ -57,6 +57,11 @@ def encode_words(ws: Column, vocab: Column) -> Column:
     return F.decode(F.unhex(checked), "UTF-16BE")
 
 
+def encode_words_small(ws: Column, vocab: Column) -> Column:
+    """One code point U+0001..U+00FF per word (vocabularies of at most 255 words)."""
+    return F.array_join(F.transform(ws, lambda w: F.char(F.array_position(vocab, w))), "")
+
+
 def word_edit_distance(ref_words: Column, hyp_words: Column, bound: Column | int | None = None,
                        method: str = "native") -> Column:
     """Levenshtein distance over word arrays; with ``bound`` returns -1 when the distance exceeds it.
@@ -73,8 +78,11 @@ def word_edit_distance(ref_words: Column, hyp_words: Column, bound: Column | int
 
     def body(p: Column) -> Column:
         def inner(t: Column) -> Column:
-            a = encode_words(t["a"], t["v"])
-            b = encode_words(t["b"], t["v"])
+            # up to 255 distinct words: one Latin-1 code point per word via char(k) (far fewer string operations);
+            # larger vocabularies use the surrogate-aware hex encoding
+            small = F.size(t["v"]) <= 255
+            a = F.when(small, encode_words_small(t["a"], t["v"])).otherwise(encode_words(t["a"], t["v"]))
+            b = F.when(small, encode_words_small(t["b"], t["v"])).otherwise(encode_words(t["b"], t["v"]))
             if bound is None:
                 return F.levenshtein(a, b)
             return F.call_function("levenshtein", a, b, F.lit(bound) if isinstance(bound, int) else p["bound"])
