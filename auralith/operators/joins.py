@@ -1,8 +1,9 @@
 """Join operators: manifest join (J1), strict lookup (J2), split membership (J5), completeness audit (J6) and
 last-wins manifest de-duplication (A15).
 
-No side is broadcast on faith: the planner (with AQE's runtime sizes) picks broadcast vs shuffle; callers that know a
-side is bounded can wrap it with ``auralith.session.broadcast_if_small``.
+No side is broadcast on faith. Lookup dimensions and split-id sets (J2, J5) are broadcast only after a bounded
+count shows they are small (``broadcast_if_small``); otherwise, and for every data-sized join, the planner and AQE's
+runtime sizes pick the strategy (shuffle hash / sort-merge, skew-join splitting).
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auralith.session import broadcast_if_small
+
+# a side is broadcast only when a bounded count proves it has at most this many (narrow, key-only) rows
+BROADCAST_MAX_ROWS = 1_000_000
+
 
 def dedup_last(df: DataFrame, key: str, order: str, value_cols: list[str]) -> DataFrame:
     """A15 (dict overwrite): one row per ``key`` carrying the values of the row with the largest ``order``.
@@ -34,7 +40,7 @@ def orphans(members: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 
 def strict_lookup(df: DataFrame, dim: DataFrame, key: str, dim_cols: list[str], what: str = "lookup") -> DataFrame:
     """Left join that fails the task on a missing key (the reference raises ``KeyError``)."""
-    found = dim.select(key, F.lit(True).alias("_found"), *dim_cols)
+    found = broadcast_if_small(dim.select(key, F.lit(True).alias("_found"), *dim_cols), BROADCAST_MAX_ROWS)
     j = df.join(found, key, "left")
     guard = F.col("_found").isNotNull()
     out = j
@@ -51,7 +57,8 @@ def quarantine(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 def in_split(df: DataFrame, split_ids: DataFrame, key: str) -> DataFrame:
     """Semi-join on split membership."""
-    return df.join(split_ids.select(key).distinct(), key, "left_semi")
+    ids = broadcast_if_small(split_ids.select(key).distinct(), BROADCAST_MAX_ROWS)
+    return df.join(ids, key, "left_semi")
 
 
 def member_key(path: Column) -> Column:
