@@ -26,8 +26,8 @@ def row_measures(df: DataFrame, samples: str, rate: int, text: str, tokens) -> D
         F.array_max(s).cast("double").alias("amplitude_max"),
         F.array_min(s).cast("double").alias("amplitude_min"),
         (F.aggregate(s, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")) / F.size(s)).alias("amplitude_mean"),
-        F.char_length(F.col(text)).alias("character_length"),
-        F.size(tokens(F.col(text))).alias("token_length"),
+        F.char_length(F.col(text)).cast("long").alias("character_length"),
+        F.size(tokens(F.col(text))).cast("long").alias("token_length"),
     )
 
 

@@ -160,7 +160,7 @@ def chunk_explode(df: DataFrame, samples: str, rate: int, chunk_s: float) -> Dat
     n = F.size(samples)
     per = int(round(chunk_s * rate))
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(per))).otherwise(F.array().cast("array<int>"))
-    out = df.select("*", F.posexplode(starts).alias("chunk_idx", "_from"))
+    out = df.select("*", F.posexplode(starts).alias("chunk_idx", "_from")).withColumn("chunk_idx", F.col("chunk_idx").cast("long"))
     return out.withColumn("chunk", F.slice(samples, F.col("_from") + 1, F.lit(per))).drop("_from")
 
 

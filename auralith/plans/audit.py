@@ -43,7 +43,7 @@ def duration_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``int(min * rate) < n < int(max * rate)`` (both bounds strict)."""
     emb = table(spark, sf_dir, "embeddings")
     cut = F.slice(F.col("embedding"), 1, (F.col("vec_id") % 9 * 8).cast("int"))  # O9 with a per-row length
-    n = F.size(cut)
+    n = F.size(cut).cast("long")
     lo, hi = int(MIN_S * RATE), int(MAX_S * RATE)
     return emb.select("vec_id", n.alias("input_length")).where((F.col("input_length") > lo) & (F.col("input_length") < hi))
 

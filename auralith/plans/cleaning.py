@@ -114,8 +114,8 @@ def strip_markup_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(
         "page_id",
         T.has_markup(F.col("html")).alias("has_markup"),
-        F.char_length(norm).alias("norm_chars"),
-        F.size(words(norm)).alias("norm_words"),
+        F.char_length(norm).cast("long").alias("norm_chars"),
+        F.size(words(norm)).cast("long").alias("norm_words"),
         F.sha2(norm, 256).alias("norm_sha256"),
     )
 

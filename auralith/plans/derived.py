@@ -18,7 +18,7 @@ def utterances(documents: DataFrame, spread: bool = False) -> DataFrame:
     splits than the cluster's parallelism."""
     utts = documents.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "reference_raw")
-    )
+    ).withColumn("line_no", F.col("line_no").cast("long"))
     from auralith.operators.ordering import balance, spread as _spread
 
     return _spread(utts, "doc_id", "line_no") if spread else balance(utts, "doc_id", "line_no")

@@ -107,7 +107,7 @@ i AS (SELECT vec_id, embedding,
    list_transform(range(0, k), lambda j: CASE WHEN j = k - 1 THEN n - 1 ELSE floor(j::DOUBLE * ((n - 1)::DOUBLE / greatest(k - 1, 1)::DOUBLE))::INTEGER END) AS idx,
    list_transform(range(0, k), lambda j: CASE WHEN j = k - 1 THEN n - 1 ELSE floor(j::DOUBLE * ((n - 1 - (n // k - 1))::DOUBLE / greatest(k - 1, 1)::DOUBLE) + (n // k - 1)::DOUBLE)::INTEGER END) AS layer_idx
  FROM k)
-SELECT vec_id, idx, layer_idx, list_transform(idx, lambda j: embedding[j + 1]) AS picked FROM i""",
+SELECT vec_id, idx::INTEGER[] AS idx, layer_idx::INTEGER[] AS layer_idx, list_transform(idx, lambda j: embedding[j + 1]) AS picked FROM i""",
     "punct_repair": f"""WITH u AS ({D.SQL_UTTERANCES}),
 p AS (SELECT doc_id, line_no, reference_raw AS raw, replace(reference_raw, '.', '。') AS s FROM u),
 q AS (SELECT *, replace(s, '。', '') AS bare, length(s) - length(replace(s, '。', '')) AS n_marks,

@@ -104,7 +104,7 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         size = n // PLAN_GROUPS
         if size == 0:
             raise ValueError(f"shard plan: {label} has fewer than {PLAN_GROUPS} subsets")
-        rows = df.select(F.col(key).alias("member"), F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+        rows = df.select(F.col(key).alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EPOCHS - 1).cast("long"))).alias("epoch"))
         rows = rows.withColumn("k", O.seeded_key(F.col("member"), F.col("epoch"), F.lit(SEED)))
         idx = O.dense_index(rows, ["epoch", "k", "member"])
         pos = F.col("row_idx") - F.col("epoch") * F.lit(n)
@@ -120,7 +120,7 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-epoch reproducible permutation of customers, position = rank of md5(id:epoch:seed)."""
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"))
     n = cust.count()
-    rows = cust.select("member", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+    rows = cust.select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EPOCHS - 1).cast("long"))).alias("epoch"))
     rows = rows.withColumn("k", O.seeded_key(F.col("member"), F.col("epoch"), F.lit(SEED)))
     idx = O.dense_index(rows, ["epoch", "k", "member"])
     return idx.select("epoch", (F.col("row_idx") - F.col("epoch") * F.lit(n)).alias("position"), "member")
