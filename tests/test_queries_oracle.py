@@ -36,15 +36,25 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "float": "FLOAT", "array<int>": "INTEGER[]", "array<bigint>": "BIGINT[]", "array<float>": "FLOAT[]",
+                 "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(entry.oracle_sql()[name])
+    sql = entry.oracle_sql()[name]
+    cur = duck.execute(sql)
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert _canon(df.columns, srows) == _canon(dcols, drows)
+    dtypes = dict(zip(duck.sql(sql).columns, [str(t) for t in duck.sql(sql).types]))
+    for f in df.schema.fields:  # same column types on both sides
+        spark_t = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(spark_t, spark_t) == dtypes[f.name], (f.name, spark_t, dtypes[f.name])
 
 
 def test_every_query_runs(spark):
