@@ -1,11 +1,15 @@
-"""Word- and character-level edit distance as native Spark expressions.
-
-Word edit distance = character edit distance after mapping every distinct word of the *pair* onto one code point:
-``levenshtein`` counts code points, so the two distances are equal. The mapping is built per row from
-``array_distinct(ref ++ hyp)``; index ``k`` (1-based) becomes code point ``0xFF + k`` below the surrogate block and a
-supplementary-plane code point (written as a UTF-16 surrogate pair) above it, which covers 1,103,872 distinct words
-per pair. A pair with more distinct words fails the task with a clear error instead of returning a wrong number.
-Everything stays in the JVM; there is no Python in the hot path.
+"""Word- and character-level edit distance.
+
+Word edit distance runs in the JVM: it is the character edit distance after mapping every distinct word of the
+*pair* onto one code point (``levenshtein`` counts code points, so the two distances are equal). The mapping is built
+per row from ``array_distinct(ref ++ hyp)``: with at most 255 distinct words, word k becomes ``char(k)``; otherwise
+index k becomes code point ``0xFF + k`` below the surrogate block and a supplementary-plane code point (a UTF-16
+surrogate pair) above it, which covers 1,103,872 distinct words per pair. A pair with more fails the task with a
+clear error instead of returning a wrong number.
+
+Character edit distance defaults to the exact bit-parallel recurrence (Myers/Hyyrö), vectorised with numpy across
+the pairs of each Arrow batch: about 64 DP cells per machine-word operation, measured ~4x faster than the JVM's
+cell-by-cell ``levenshtein`` on the sf0.1 utterances; ``method="native"`` keeps it in the JVM.
 """
 
 from __future__ import annotations
