@@ -1,4 +1,6 @@
-"""Audit and slicing queries: missing chunk ids from table names (T21/U4/O2) and per-recording segment cuts."""
+"""Audit, routing and slicing queries: missing chunk ids from table names (T21/U4/O2), per-recording segment cuts
+(J4), the strict duration window on prefix-cut waveforms (F2/O9), per-column spec normalisation (P9) and member /
+catalog routing (F11/F10)."""
 
 from __future__ import annotations
 

@@ -1,5 +1,6 @@
-"""Scoring queries: pseudo-labels from a pluggable predictor (M1, joined back by id), the two-stage cascade (M2)
-and log-mel features (M3). The test predictors are deterministic, so M1/M2 have exact SQL twins."""
+"""Scoring queries: pseudo-labels from a pluggable predictor (M1; ids and needed columns travel through the Arrow
+pass, so nothing is joined back), the two-stage cascade (M2) and log-mel features (M3). The test predictors are
+deterministic, so M1/M2 have exact SQL twins."""
 
 from __future__ import annotations
 
