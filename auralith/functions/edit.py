@@ -32,7 +32,13 @@ def _c(c) -> Column:
 
 def words(c) -> Column:
     """Metric word list: collapse ``\\s\\s+``, strip, split on single spaces, drop empty strings."""
-    return F.filter(F.split(jiwer_clean(c), " "), lambda x: x != "")
+    return words_of_cleaned(jiwer_clean(c))
+
+
+def words_of_cleaned(cleaned: Column) -> Column:
+    """Split an already metric-cleaned string: it has no leading/trailing whitespace and no two adjacent whitespace
+    characters, so single-space splitting yields no empty word except for the empty string itself (no lambda)."""
+    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
 def _hex4(n: Column) -> Column:

@@ -23,8 +23,8 @@ def with_pair_counts(df: DataFrame, ref, hyp, suffix: str, chars: bool = True) -
     # cleaned strings and word arrays once per row, then everything else reads those columns
     cr, ch = f"_cr_{suffix}", f"_ch_{suffix}"
     out = compute_once(df, **{cr: E.jiwer_clean(ref), ch: E.jiwer_clean(hyp)})
-    rw = F.filter(F.split(F.col(cr), " "), lambda x: x != "")
-    hw = F.filter(F.split(F.col(ch), " "), lambda x: x != "")
+    rw = E.words_of_cleaned(F.col(cr))
+    hw = E.words_of_cleaned(F.col(ch))
     out = compute_once(out, **{f"_rw_{suffix}": rw, f"_hw_{suffix}": hw})
     rwc, hwc = F.col(f"_rw_{suffix}"), F.col(f"_hw_{suffix}")
     out = compute_once(out, **{f"n_ref_words_{suffix}": F.size(rwc), f"word_edits_{suffix}": E.word_edit_distance(rwc, hwc)})
