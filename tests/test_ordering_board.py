@@ -44,3 +44,28 @@ def test_trial_stats_drop_warmup(spark):
     df = df.withColumn("event_id", F.col("ts"))
     r = B.trial_stats(df, ["model"], "time", "ts", "event_id").first()
     assert (r.n_trials, r.time_mean, r.time_std) == (3, 2.0, 1.0)
+
+
+def test_dense_index_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.integers(1, 400), st.integers(1, 9), st.integers(1, 12))
+    def check(n, parts, nranges):
+        df = spark.range(0, n, 1, parts).select(((F.col("id") * 7919) % 10007).alias("k"), F.col("id"))
+        got = dense_index(df, ["k", "id"], partitions=nranges).select("k", "id", "row_idx")
+        ref = df.select("k", "id", (F.row_number().over(Window.orderBy("k", "id")) - 1).alias("row_idx"))
+        assert got.exceptAll(ref).count() == 0 and got.count() == n
+
+    check()
+
+
+def test_balance_and_spread(spark):
+    from auralith.operators.ordering import balance, spread
+
+    one = spark.range(0, 100, 1, 1)
+    assert balance(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism * 2)
+    assert balance(many, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 2  # left as is
+    assert spread(one, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
