@@ -129,3 +129,14 @@ def test_config_names(spark, tmp_path):
     p = _write(tmp_path / "README.md", "use subset_10.0 and subset_2.0\nthen subset_10.0 again, also subset_1.1\n")
     got = sorted((r.name, r.idx) for r in R.config_names(spark, str(p), r"(subset_\d+\.\d+)").collect())
     assert got == [("subset_1.1", 0), ("subset_10.0", 1), ("subset_2.0", 2)]
+
+
+def test_streamed_tar_reader_matches_binaryfile(spark, tmp_path):
+    from auralith.sources.tarshards import read_tar_shards_streamed
+
+    _tar(tmp_path / "000.tar", {"./x/a.flac": b"aaa", "b.flac": b"bb"})
+    _tar(tmp_path / "001.tar", {"c.flac": b"c"})
+    (tmp_path / "002.tar").write_bytes(b"this is not a tar file")
+    a = sorted((r.member, r.size, bytes(r.bytes)) for r in R.read_tar_shards(spark, str(tmp_path)).collect())
+    b = sorted((r.member, r.size, bytes(r.bytes)) for r in read_tar_shards_streamed(spark, str(tmp_path)).collect())
+    assert a == b == [("b.flac", 2, b"bb"), ("c.flac", 1, b"c"), ("x/a.flac", 3, b"aaa")]
