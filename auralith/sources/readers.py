@@ -1,8 +1,8 @@
 """Sources (S1-S16, M5). Schemas are declared, never inferred; every reader returns a DataFrame.
 
-Line order (needed by "duplicate key: last wins") is carried as ``(file, line_pos)``: within one file Spark's text
-scan emits rows in file order per split, and the splits of one file are numbered in offset order, so
-``monotonically_increasing_id`` increases with the position in the file.
+Line order (needed by "duplicate key: last wins") is carried as ``(file, split offset, line_pos)``: Spark's text scan
+emits the rows of one split in file order and ``monotonically_increasing_id`` increases within a partition, while
+``input_file_block_start`` orders the splits of a file by byte offset, however splits are packed into partitions.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ RUNTIME_SCHEMA = (
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_pos"), "value")
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
+        F.monotonically_increasing_id().alias("line_pos"), "value")
 
 
 def read_manifest_tsv(spark: SparkSession, path: str, last_wins: bool = True) -> DataFrame:
     """``name<TAB>transcription`` lines; any other arity fails the job; duplicate name -> last line wins."""
     parts = F.split(F.col("value"), "\t")
     rows = _lines(spark, path).select(
-        "file", "line_pos",
+        "file", "block", "line_pos",
         F.when(F.size(parts) == 2, parts.getItem(0)).otherwise(
             F.raise_error(F.concat(F.lit("manifest line without exactly two tab-separated fields: "), F.col("value")))
         ).alias("name"),
@@ -49,7 +50,7 @@ def read_manifest_tsv(spark: SparkSession, path: str, last_wins: bool = True) ->
     )
     if not last_wins:
         return rows.select("name", "transcription")
-    ordered = rows.withColumn("_order", F.struct("file", "line_pos"))
+    ordered = rows.withColumn("_order", F.struct("file", "block", "line_pos"))
     return dedup_last(ordered, "name", "_order", ["transcription"])
 
 

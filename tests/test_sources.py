@@ -140,3 +140,16 @@ def test_streamed_tar_reader_matches_binaryfile(spark, tmp_path):
     a = sorted((r.member, r.size, bytes(r.bytes)) for r in R.read_tar_shards(spark, str(tmp_path)).collect())
     b = sorted((r.member, r.size, bytes(r.bytes)) for r in read_tar_shards_streamed(spark, str(tmp_path)).collect())
     assert a == b == [("b.flac", 2, b"bb"), ("c.flac", 1, b"c"), ("x/a.flac", 3, b"aaa")]
+
+
+def test_manifest_last_wins_across_splits(spark, tmp_path):
+    """A manifest split into many small input splits still resolves duplicates by file position."""
+    lines = [f"k{i % 50}\tv{i}" for i in range(4000)]
+    p = _write(tmp_path / "big.tsv", "\n".join(lines) + "\n")
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = dict(tuple(r) for r in R.read_manifest_tsv(spark, str(p)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    assert got == {f"k{k}": f"v{3950 + k}" for k in range(50)}
