@@ -186,9 +186,12 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
-    """Metric JSONL (blank lines skipped) with a declared schema and a file position for stable ordering."""
+    """Metric JSONL (blank lines skipped) with a declared schema and a file position for stable ordering
+    (``file_pos`` = (file, split offset, row): comparable, and robust to how splits are packed)."""
     df = spark.read.schema(METRIC_SCHEMA).json(path)
-    return _nan_to_null(df).withColumn("file_pos", F.monotonically_increasing_id())
+    pos = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
+                   F.monotonically_increasing_id().alias("row"))
+    return _nan_to_null(df).withColumn("file_pos", pos)
 
 
 def read_runtime_log(spark: SparkSession, path: str) -> DataFrame:
