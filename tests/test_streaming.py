@@ -26,3 +26,15 @@ def test_stream_join_matches_inner_join(spark):
     j = R.stream_join(spark, docs, labs, "doc_id", "d_time", "l_time", "10 minutes", "1 minute", "t_join")
     batch = spark.read.parquet(f"{SF_SMALL}/documents.parquet").join(spark.read.parquet(f"{SF_SMALL}/labels.parquet"), "doc_id")
     assert j.count() == batch.count()
+
+
+def test_epoch_writer_is_idempotent(spark, tmp_path):
+    """Replaying an epoch (a retry after a failure before commit) replaces its output instead of duplicating it."""
+    sink = str(tmp_path / "sink")
+    write = R._epoch_writer(sink, lambda b: b)
+    batch = spark.range(10)
+    write(batch, 0)
+    write(spark.range(5), 1)
+    write(batch, 0)  # replay of epoch 0
+    out = spark.read.parquet(sink)
+    assert out.count() == 15 and out.where("batch_id = 0").count() == 10
