@@ -66,3 +66,7 @@ QUERIES = {
 ORACLE_SQL = {}
 for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit):
     ORACLE_SQL.update(_mod.SQL)
+
+_unknown = set(ORACLE_SQL) - set(QUERIES)
+if _unknown:  # every DuckDB twin must belong to a registered query
+    raise RuntimeError(f"oracle SQL without a registered query: {sorted(_unknown)}")
