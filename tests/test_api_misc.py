@@ -55,3 +55,17 @@ def test_path_helpers_and_ids(spark):
     assert [x.i for x in ts.collect()] == [L.TIMESTAMP_FIRST, L.TIMESTAMP_FIRST + 50, L.TIMESTAMP_FIRST + 1500]
     n = spark.createDataFrame([("  東京  x ",)], "s string").select(E.char_count(F.col("s")).alias("n")).first().n
     assert n == 4
+
+
+def test_profile_report(spark):
+    from auralith.functions.labels import toy_token_ids
+    from auralith.operators import profile as PR
+
+    df = spark.createDataFrame([("d", [0.5, -0.5, 1.0, 0.0], "ab cd"), ("d", [0.25, 0.25], "x")],
+                               "ds string, wave array<float>, text string")
+    flat = PR.profile(df, "ds", "wave", 2, "text", toy_token_ids)
+    r = flat.first()
+    assert (r.total_data_size, r.duration_max, r.duration_min, r.character_length_max, r.token_length_max) == (2, 2.0, 1.0, 5, 2)
+    rep = json.loads(PR.to_report(flat, "ds").first().report)
+    assert rep["audio"]["duration"] == {"mean": 1.5, "max": 2.0, "min": 1.0}
+    assert rep["transcription"]["token_length"]["max"] == 2 and rep["total_data_size"] == 2
