@@ -102,3 +102,17 @@ def test_vectorised_kernel_large_alphabet(monkeypatch):
     pairs = [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 150))),
               "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 150)))) for _ in range(200)]
     assert list(E.batch_levenshtein(pairs)) == [E.bitparallel_levenshtein(a, b) for a, b in pairs]
+
+
+def test_bounded_equals_full_on_real_utterances(spark):
+    from auralith.functions import text as T
+    from auralith.plans import derived as D
+    from conftest import SF_SMALL
+
+    u = D.with_hypothesis(D.utterances(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+    rw, hw = E.words(T.basic_normalize("reference_raw")), E.words(T.basic_normalize("prediction_raw"))
+    n = F.size(rw)
+    bound = E.wer_bound(n, 20.0)
+    df = u.select(E.word_edit_distance(rw, hw).alias("full"), E.word_edit_distance(rw, hw, bound).alias("b"), bound.alias("k"))
+    bad = df.where("(b = -1 AND full <= k) OR (b <> -1 AND (b <> full OR full > k))").count()
+    assert bad == 0 and df.count() > 0
