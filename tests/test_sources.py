@@ -153,3 +153,12 @@ def test_manifest_last_wins_across_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
     assert got == {f"k{k}": f"v{3950 + k}" for k in range(50)}
+
+
+def test_route_corpus_and_additional(spark):
+    a = lambda: spark.createDataFrame([("1", "hi", "/a.wav", "ami")], "id string, text string, audio_path string, dataset string")
+    b = lambda: spark.createDataFrame([("/b.wav", "2", "ted", "yo", 7)], "audio_path string, id string, dataset string, text string, extra int")
+    out = R.route_corpus({"ami": a, "tedlium": b}, ["ami", "tedlium"])
+    assert out.columns == R.BENCHMARK_SCHEMA and sorted(r.dataset for r in out.collect()) == ["ami", "ted"]
+    df = spark.createDataFrame([("s",), ("xl",), ("dev",)], "n string")
+    assert [r.o for r in df.select(R.is_additional(F.col("n")).alias("o")).collect()] == ["_additional", "_additional", ""]
