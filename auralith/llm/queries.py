@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auralith.llm import substring_dedup
+from pyspark.sql import functions as F
+
+from auralith.llm import embed_dedup, minhash_forest, mixing, packing, substring_dedup, topk, warc
 from auralith.plans.tables import table
 
 
@@ -14,8 +16,56 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path(), end_id=1, capacity=4096), capacity=4096)
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.scaled(F.col("embedding"), 1024).alias("v"))
+    return topk.top_k(vectors.filter("id % 100 = 0"), vectors, k=10)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embed_dedup.near_duplicates(vectors, threshold=0.93).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = warc.read_archive(spark, folder, index, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_forest.near_duplicates(docs, percent=85, columns=["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_topk_search": op4_topk_search,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_warc_bundles": op7_warc_bundles,
+    "op8_minhash_forest": op8_minhash_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk_search": topk.SQL,
+    "op5_source_mixing": mixing.SQL,
+    "op6_embedding_dedup": embed_dedup.SQL,
+    "op7_warc_bundles": warc.SQL,
+}

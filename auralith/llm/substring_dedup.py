@@ -87,8 +87,8 @@ def _survivors(words: blocks.Words, lengths: list[int], verdicts: list[list[np.n
 
 
 def _lists(column: pa.Array, dtype) -> list[np.ndarray]:
-    """Each row's fragments (list of binary) as one array."""
-    return [np.frombuffer(b"".join(parts), dtype) if parts else np.zeros(0, dtype) for parts in column.to_pylist()]
+    """Each row's packed values; null is none."""
+    return [np.frombuffer(x or b"", dtype) for x in column.to_pylist()]
 
 
 def _bucketed(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray | None) -> Iterator[tuple]:
@@ -113,6 +113,8 @@ def _frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("hash", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
+_PACKED = "part int, docs binary, counts binary, found binary"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("found", pa.binary())])
 _FLAG_ARROW = pa.schema([("doc", pa.int64()), ("found", pa.binary())])
 
 
@@ -169,40 +171,67 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
     return send
 
 
-def _settler(final: bool) -> Callable:
-    """Verdicts of the entries of whole buckets: (doc, hashes that repeat) or, at the last level, (doc, late starts)."""
+def _packed(docs: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(doc, value) pairs as one row for each part that a document can be dealt to."""
+    part = (blocks.mix(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((docs, part))
+    part, docs, values = part[order], docs[order], values[order]
+    ids, begins = np.unique(part, return_index=True)
+    rows = []
+    for p, lo, hi in zip(ids.tolist(), begins, [*begins[1:], len(part)]):
+        some, counts = np.unique(docs[lo:hi], return_counts=True)
+        rows.append((p, _deltas(some), counts.astype(np.int32).tobytes(), values[lo:hi].tobytes()))
+    return _frame(rows, _PACKED_ARROW)
+
+
+def _settler(final: bool, parts: int) -> Callable:
+    """Verdicts of the entries of whole buckets: hashes that repeat or, at the last level, late starts, by document."""
 
     def settle(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, ats = [], [], []
+        hashes, docs, ats, ready_docs, ready = [], [], [], [], []
         for frame in frames:
-            ready = frame.filter(pa.compute.is_valid(frame.column("doc")))
-            if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([ready.column("doc"), ready.column("hash")], schema=_FLAG_ARROW)
-            for h, d, a in zip(*(frame.column(c).to_pylist() for c in ("hash", "docs", "at"))):
-                if d is not None:
+            for one, h, d, a in zip(*(frame.column(c).to_pylist() for c in ("doc", "hash", "docs", "at"))):
+                if one is None:
                     hashes.append(np.frombuffer(h, np.uint64))
                     docs.append(_undelta(d))
                     ats.append(_undelta(a))
-        if not hashes:
-            return
-        h, d, a = np.concatenate(hashes), np.concatenate(docs), np.concatenate(ats)
-        order = np.lexsort((a, d, h)) if final else np.argsort(h, kind="stable")
-        h, d, a = h[order], d[order], a[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        if final:
-            found = _by_doc(d[~new], a[~new])
-        else:
-            group = np.cumsum(new) - 1
-            many = (np.bincount(group) > 1) | (np.bincount(group, weights=a) > 0)
-            found = _by_doc(d[many[group]], h[many[group]])
-        rows = list(found)
-        for lo in range(0, len(rows), 20_000):
-            yield _frame(rows[lo: lo + 20_000], _FLAG_ARROW)
+                else:
+                    ready.append(np.frombuffer(h, np.uint64))
+                    ready_docs.append(np.full(len(ready[-1]), one, np.int64))
+        if hashes:
+            h, d, a = np.concatenate(hashes), np.concatenate(docs), np.concatenate(ats)
+            order = np.lexsort((a, d, h)) if final else np.argsort(h, kind="stable")
+            h, d, a = h[order], d[order], a[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            if final:
+                late = ~new
+                value = a.view(np.uint64)
+            else:
+                group = np.cumsum(new) - 1
+                late = ((np.bincount(group) > 1) | (np.bincount(group, weights=a) > 0))[group]
+                value = h
+            ready_docs.append(d[late])
+            ready.append(value[late])
+        if ready:
+            yield _packed(np.concatenate(ready_docs), np.concatenate(ready), parts)
 
     return settle
 
 
+def _gather(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All verdicts of a document as one row."""
+    docs, found = [], []
+    for frame in frames:
+        for d, c, f in zip(*(frame.column(c).to_pylist() for c in ("docs", "counts", "found"))):
+            docs.append(np.repeat(_undelta(d), np.frombuffer(c, np.int32)))
+            found.append(np.frombuffer(f, np.uint64))
+    if docs:
+        rows = list(_by_doc(np.concatenate(docs), np.concatenate(found)))
+        for lo in range(0, len(rows), 10_000):
+            yield _frame(rows[lo: lo + 10_000], _FLAG_ARROW)
+
+
 def _remover(names: list[str], text: str, window: int, schema: pa.Schema) -> Callable:
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -260,14 +289,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             source = placed.sortWithinPartitions("__doc", "__order")
         entries = source.mapInArrow(_sender(lengths, level, buckets), _ENTRY).repartition("bucket")
-        found = entries.mapInArrow(_settler(final), "doc long, found binary").groupBy("doc").agg(F.collect_list("found").alias("found"))
+        verdicts = entries.mapInArrow(_settler(final, buckets), _PACKED).repartition("part")
+        found = verdicts.mapInArrow(_gather, "doc long, found binary")
         name = "__late" if final else f"__v{level}"
         placed = placed.join(found.withColumnsRenamed({"doc": "__found", "found": name}), F.col("__doc") == F.col("__found"), "left").drop("__found")
     extra = T.StructType([T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                           T.StructField("kept_sha256", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))])
     inner = T.StructType(rows.select(*names).schema.fields + extra.fields)
     late = placed.sortWithinPartitions("__doc", "__order").select(*names, "__doc", "__text", "__late")
-    nameless = rows.filter(marks["__doc"].isNull()).withColumns(marks).select(*names, "__doc", "__text", F.lit(None).cast("array<binary>").alias("__late"))
+    nameless = rows.filter(marks["__doc"].isNull()).withColumns(marks).select(*names, "__doc", "__text", F.lit(None).cast("binary").alias("__late"))
     out = late.union(nameless).mapInArrow(_remover(names, text_col, window, to_arrow_schema(inner)), inner)
     clash = [c for c in docs.columns if c not in extra.names]
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c in clash], *extra.names)
