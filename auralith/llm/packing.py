@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents into fixed-length sequences (operator 3).
 
 A document's ids (a public tokenizer's, plus one end id) are cut into pieces of ``capacity`` ids only where they are
-longer. Pieces are packed by bounded-space online best fit: each task streams its pieces in a hashed order and keeps at
+longer. Pieces are packed by bounded-space online best fit: each task streams its pieces and keeps at
 most ``open_bins`` bins open, in a bitset keyed by free space; a piece goes to the open bin with the least sufficient
 space, and if there is none a new bin opens, for which the fullest open bin closes when the limit is reached. A
 placement is final at once, so a task's memory is the open bins alone. Pieces are dealt to groups by a hash, about
 ``group_pieces`` to a group, and every group packs alone: the groups grow with the input and no task sees all pieces.
+Within a group they arrive in hashed waves of about ``wave_pieces``, each from long to short.
 
 Tokenising encodes each distinct word once per worker: this family of tokenizers drops white space and never merges
 across it, so a text's ids are those of its words in turn (see ``_Encoder``).
@@ -211,14 +212,17 @@ def _packer(capacity: int, open_bins: int) -> Callable:
     return pack
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = 1024, group_pieces: int = 200_000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = 2048, group_pieces: int = 200_000, wave_pieces: int = 6000) -> DataFrame:
     """``cut`` (rows of ``pieces``) with ``sequence_id`` and ``offset``. The pieces are stored once, so their number and
     their groups stay the same whatever task is lost."""
     cut = stored(cut, "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = cut.select(F.pmod(key, F.lit(groups)).alias("group"), "*", key.alias("order"))
-    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "order", "doc_id", "piece").drop("order")
+    waves = max(1, -(-group_pieces // wave_pieces))
+    wave = F.pmod(F.xxhash64(key), F.lit(waves))
+    dealt = cut.select(F.pmod(key, F.lit(groups)).alias("group"), "*", wave.alias("wave"), key.alias("order"))
+    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "wave", F.desc("length"), "order", "doc_id", "piece")
+    dealt = dealt.drop("wave", "order")
     from pyspark.sql import types as T
 
     schema = T.StructType(cut.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
