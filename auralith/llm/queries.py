@@ -3,11 +3,11 @@ derives the digest columns that the query returns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from auralith.llm import embed_dedup, minhash_forest, mixing, packing, substring_dedup, topk, warc
+from auralith.llm import brown_lm, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
 from auralith.plans.tables import table
 
 
@@ -16,6 +16,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document stays out of learning: crc32 of its id as text; a null id stays in."""
+    return F.coalesce(toxicity.fold(F.col("doc_id"), modulus) == remainder, F.lit(False))
+
+
+def op2_brown_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = brown_lm.score(docs, brown_lm.fit(docs.filter(~held_out(7, 2))))
+    return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,14 +64,30 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(docs, percent=85, columns=["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    return toxicity.score(docs, model, columns=["doc_id"]).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.fit(docs.filter(~held_out(4, 2)))
+    found = language_id.predict(docs, profiles, columns=["doc_id"])
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_brown_lm_scoring": op2_brown_lm_scoring,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_topk_search": op4_topk_search,
     "op5_source_mixing": op5_source_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_warc_bundles": op7_warc_bundles,
     "op8_minhash_forest": op8_minhash_forest,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
