@@ -18,6 +18,8 @@ documents; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,7 +44,6 @@ class _Encoder:
     by 64-bit hashes and starts anew beyond ``LIMIT`` entries, which changes nothing but time."""
 
     LIMIT = 3_000_000
-    _made: dict = {}
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,9 +55,12 @@ class _Encoder:
 
     @classmethod
     def of(cls, path: str, end_id: int) -> _Encoder:
-        if (path, end_id) not in cls._made:
-            cls._made[path, end_id] = cls(path, end_id)
-        return cls._made[path, end_id]
+        """The worker process's encoder: this package travels to workers by value, so what outlives a task is kept in a
+        module of its own."""
+        kept = sys.modules.setdefault("_auralith_kept", types.ModuleType("_auralith_kept")).__dict__
+        if ("encoder", path, end_id) not in kept:
+            kept["encoder", path, end_id] = cls(path, end_id)
+        return kept["encoder", path, end_id]
 
     def clear(self) -> None:
         self.keys, self.slots = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int64)] * 2  # main and recent, each sorted
