@@ -177,15 +177,17 @@ def likelihood(after: np.ndarray, of: np.ndarray, classes: int) -> float:
     return float(_xlogx(both).sum() - _xlogx(both.sum(axis=1)).sum() - _xlogx(both.sum(axis=0)).sum())
 
 
-def exchange(after: np.ndarray, before: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
-    """One round: every item (the end token keeps its class) in order of frequency moves to its best class. ``after`` and
-    ``before`` are items x classes; the class table follows each move."""
+def exchange(after: np.ndarray, before: np.ndarray, of: np.ndarray, classes: int, turn: int) -> np.ndarray:
+    """One round: a third of the items, another in each turn, move in order of frequency to their best class (the end
+    token keeps its own). ``after`` and ``before`` are items x classes; the class table follows each move, and what the
+    moves change in other items' counts is seen in the next round, which is why not all items move at once."""
     of = of.copy()
     both = np.zeros((classes, classes))
     np.add.at(both, of, after)
     total = after.sum(axis=1)
+    mine = (blocks.mix(np.arange(len(of), dtype=np.uint64)) % np.uint64(3)).astype(int) == turn % 3
     for w in np.argsort(-total, kind="stable"):
-        if w == 0 or not total[w]:
+        if w == 0 or not total[w] or not mine[w]:
             continue
         r, l = after[w], before[w]
         both[of[w]] -= r
@@ -270,7 +272,7 @@ def _cells(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int = 5, item_share: float = 5e-5, hot_share: float = 1e-6) -> Model:
+def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int = 9, item_share: float = 5e-5, hot_share: float = 1e-6) -> Model:
     spark = train.sparkSession
     texts = train.select(F.col(text_col).cast("string").alias("text"))
     partial = texts.mapInArrow(_counter, "word long, fine long, coarse long, n long, texts long")
@@ -309,7 +311,7 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int
         if value > best:
             best, best_of = value, of
         if turn < rounds:
-            of = exchange(after, before, of, classes)
+            of = exchange(after, before, of, classes, turn)
     shared = spark.sparkContext.broadcast((items.plain(), best_of))
     trigrams = _cells(texts.mapInArrow(_trigrams(classes, shared), "cell long, n long"), classes ** 3).reshape((classes,) * 3)
     got = words.mapInArrow(_totals(shared), "class long, n long, words long").groupBy("class").agg(F.sum("n"), F.sum("words")).toArrow()
@@ -338,7 +340,7 @@ def _scorer(shared, rare: bool) -> Callable:
             known = np.bincount(words.row, weights=count > 0, minlength=many).astype(np.int64)
             logs = np.bincount(words.row, weights=np.log10(np.maximum(count, 0) + 1.0), minlength=many)
             yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("key"), pa.array(np.ones(many, np.int64)),
-                                              pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(logs), pa.array(path)],
+                                              pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(logs.astype(float)), pa.array(path.astype(float))],
                                              ["doc", "key", "rows", "n_tokens", "known", "logs", "path"])
 
     return score
