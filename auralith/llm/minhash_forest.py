@@ -8,9 +8,10 @@ region. The orders are range partitioned over the tasks, so a region of any size
 Round 1 goes as deep into each region as it must: a region of more than ``CROWD`` documents is parted by the next value
 until its parts are small (or its values end). In each part the longest common neighbours are linked to a spanning
 forest by estimated similarity. A pair that survives the estimate is confirmed on the full sets. Round 2 takes the
-components of round 1 and, in every whole region, estimates and confirms all pairs that lie in different components, so
-that nothing round 1 passed over (deep parting, forests) is lost. Estimates cut a pair only ``CUT`` standard deviations
-below the threshold. At similarity 0.85 two documents share a region of one of the 16 trees with probability over
+components of round 1 and, in every whole region that holds more than one, compares the sets of all pairs that lie in
+different components, so that nothing round 1 passed over (deep parting, forests) is lost; it sends on the links it
+finds, never the pairs it looks at, and they are confirmed like the others. Estimates cut a pair only ``CUT`` standard
+deviations below the threshold. At similarity 0.85 two documents share a region of one of the 16 trees with probability over
 0.99999, at 0.8 over 0.9997.
 
 Texts are shuffled once and only for documents that share a region; sets are rebuilt from them where a pair is confirmed.
@@ -130,19 +131,38 @@ def _forest(rep: np.ndarray, low: np.ndarray, n: np.ndarray, rest: np.ndarray, p
             rows, best, to = np.delete(rows, k), np.delete(best, k), np.delete(to, k)
 
 
-def _crossing(rep: np.ndarray, low: np.ndarray, n: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """All pairs of different components that the estimate leaves possible."""
-    groups, size = np.unique(group, return_counts=True)
-    if len(groups) < 2:
-        return
-    cut, order = least_estimate(percent), np.argsort(size, kind="stable")
-    place = np.empty(len(groups), np.int64)
-    place[order] = np.arange(len(groups))
-    place = place[np.searchsorted(groups, group)]
-    for i in np.flatnonzero(place < len(groups) - 1).tolist():  # rows outside the largest component meet all later ones
-        others = np.flatnonzero(place > place[i])
-        for j in others[_similar(low, n, i, others, percent) >= cut].tolist():
-            yield int(rep[i]), int(rep[j])
+def _crossing(rep: np.ndarray, low: np.ndarray, n: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components, found by comparing the (32-bit) sets of every pair that the estimate leaves
+    possible; pairs that a link found here has already joined are passed over."""
+    groups, group, size = np.unique(group, return_inverse=True, return_counts=True)
+    cut, into = least_estimate(percent), np.arange(len(groups))
+    rank = np.empty(len(groups), np.int64)
+    rank[np.lexsort((np.arange(len(groups)), size))] = np.arange(len(groups))  # the largest component is never the asking side
+    flat, begin = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    for i in np.flatnonzero(rank[group] < len(groups) - 1).tolist():
+        others = np.flatnonzero((rank[group] > rank[group[i]]) & (into[group] != into[group[i]]))
+        others = others[_similar(low, n, i, others, percent) >= cut]
+        if not len(others):
+            continue
+        length = begin[others + 1] - begin[others]
+        stop = np.cumsum(length)
+        value = flat[np.repeat(begin[others] - (stop - length), length) + np.arange(stop[-1])]
+        at = np.minimum(np.searchsorted(sets[i], value), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][at] == value).astype(np.int64), stop - length)
+        for j in others[100 * both >= percent * (length + len(sets[i]) - both)].tolist():
+            if into[group[i]] != into[group[j]]:
+                into[into == into[group[j]]] = into[group[i]]
+                yield int(rep[i]), int(rep[j])
+
+
+def _packer(width: int) -> Callable:
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in blocks.batches(frames):
+            sets, begin = shingle_sets(piece.column("text"), width)
+            packed = [np.unique((sets[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(begin[:-1], begin[1:])]
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(packed, pa.binary())], ["rep", "packed"])
+
+    return pack
 
 
 def _walker(percent: int, crossing: bool) -> Callable:
@@ -151,7 +171,8 @@ def _walker(percent: int, crossing: bool) -> Callable:
         rep, n = (np.asarray(rows.column(c), np.int64) for c in ("rep", "n"))
         low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(rep), _HASHES)
         if crossing:
-            return list(_crossing(rep, low, n, np.asarray(rows.column("component"), np.int64), percent))
+            sets = [np.frombuffer(x, np.uint32) for x in rows.column("packed").to_pylist()]
+            return list(_crossing(rep, low, n, np.asarray(rows.column("component"), np.int64), sets, percent))
         rest = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8).reshape(len(rep), DEPTH - ROOT)
         return list(_forest(rep, low, n, rest, percent))
 
@@ -217,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spots.join(crowded, "key").select("key", "tree", "rep")
     shared = stored(shared.join(sets.select("rep", "n", "low"), "rep").select(
         "key", F.expr(f"substring(low, tree * {DEPTH} + {ROOT + 1}, {DEPTH - ROOT})").alias("rest"), "rep", "n", "low"), "regions")
-    texts = stored(source.join(shared.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"), "texts")
+    # the same kind of join at every size: the texts are shuffled once, the ids are never broadcast
+    texts = stored(source.join(shared.select(F.col("rep").alias("doc")).distinct().hint("merge"), "doc", "left_semi"), "texts")
     ordered = ["key", "rest", "rep"]
 
     def walked(rows: DataFrame, crossing: bool) -> DataFrame:
@@ -229,6 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stored(_confirmed(votes.withColumn("r", rank).filter("r <= 2").select("a", "b"), texts, percent, width), "links")
     groups = components(first)
     marked = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_regions = marked.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    marked = marked.join(open_regions, "key")
+    packed = texts.join(marked.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(_packer(width), "rep long, packed binary")
+    marked = stored(marked.join(packed.dropDuplicates(["rep"]), "rep").select("key", "rest", "rep", "n", "low", "component", "packed"), "open")
     second = stored(_confirmed(walked(marked, True).distinct(), texts, percent, width), "links")
     groups = components(first.union(second)) if second.head(1) else groups
     named = sets.select("digest", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
