@@ -25,6 +25,7 @@ from auralith.llm.store import shuffle_partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
+SENT_ROWS = 200_000  # rows of per-partition facts (about 20 MB) up to which they are broadcast; beyond, a shuffle join
 
 
 def word_count(text: Column) -> Column:
@@ -66,14 +67,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     placed = stored(placed.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
                     .drop("__nameless", "__row"), "mix")
-    runs = placed.groupBy("__part", "__key").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"),
-                                                 F.first("__source").alias("source"), F.sum("__size").alias("size"))
+    runs = stored(placed.groupBy("__part", "__key").agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"),
+                                                        F.first("__source").alias("source"), F.sum("__size").alias("size")), "runs")
     before = F.sum("n").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = runs.select("__part", "__key", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("__shift"))
     sizes = runs.groupBy(F.col("__key").alias("key")).agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most).select(F.col("key").alias("__key"), F.col("source_size").alias("__source_size"),
                                                           F.col("target").alias("__target"))
-    out = placed.join(starts, ["__part", "__key"]).join(targets, "__key")
+    facts = stored(starts.join(targets, "__key"), "facts")  # one row per partition and source in it
+    out = placed.join(F.broadcast(facts) if facts.count() <= SENT_ROWS else facts, ["__part", "__key"])
     expected = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     index = F.col("__at") + F.col("__shift")
     draw = offset(seed, F.col("__key"))
