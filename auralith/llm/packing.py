@@ -187,7 +187,7 @@ class OpenBins:
             space = length + (fitting & -fitting).bit_length() - 1
             number = self._take(space)
         else:
-            if self.count >= self.limit:
+            if length < self.capacity and self.count >= self.limit:  # a full bin takes no place among the open ones
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             space, number = self.capacity, self.made
             self.made += 1
