@@ -176,9 +176,10 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     chosen = long.groupBy("key").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     revisits = long.join(chosen, "key").filter("page_id < chosen").select(
         F.col("page_id").alias("page"), F.col("digest").alias("same"), F.col("chosen").alias("refers_to")).distinct()
-    dealt = marked.join(revisits, (F.col("page_id") == F.col("page")) & (F.col("digest") == F.col("same")), "left")
-    placed = dealt.select("page_id", "url", "payload", "digest", "size", "refers_to").repartition(
-        shuffle_partitions(spark), F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", "url")
+    marked, revisits = marked.withColumn("spot", F.xxhash64("page_id", "digest")), revisits.withColumn("spot", F.xxhash64("page", "same"))
+    same = (marked["spot"] == revisits["spot"]) & (F.col("page_id") == F.col("page")) & (F.col("digest") == F.col("same"))
+    placed = marked.join(revisits, same, "left").select("page_id", "url", "payload", "digest", "size", "refers_to")
+    placed = placed.sortWithinPartitions("page_id", "digest", "url")  # the join's own layout: no further shuffle
     return folder, stored(placed.mapInArrow(_writer(folder, frame_bytes, bundle_bytes), INDEX), "warc-index")
 
 
