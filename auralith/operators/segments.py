@@ -1,110 +1,52 @@
 """Segment/timestamp operators: gap fill (W6 with A12 and W11), regrouping (W10), silence overlap (J12),
 second-based slicing (L10) and fixed-length chunk explode (M4).
 
-W6 is truly sequential inside one audio (a filled end becomes the next start, the median duration is taken at the
-first moment it is needed), so it runs per audio in Python over rows shuffled and sorted by (audio, position); an
-audio is a bounded group (its own word list), and nothing crosses audios. Everything else is windows/joins keyed by the audio id.
+Everything is windows, aggregates and joins keyed by the audio id. W6 is sequential only inside a run of parts without
+a start of their own (a filled end becomes the next start), so only such a run is folded.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FILLED_SCHEMA = "audio_id long, pos long, start double, `end` double"
-
-
-def _none(v):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)
-
-
-def fill_lists(starts: list, ends: list, total: float) -> tuple[list, list]:
-    """Fill missing start/end of one audio's parts, in position order (Python ``or`` treats 0.0 as missing)."""
-    starts, ends = list(starts), list(ends)
-    orig_s, orig_e = list(starts), list(ends)
-    n = len(starts)
-    dur = None
-
-    def median_dur() -> float:
-        nonlocal dur
-        if dur is None:
-            d = [e - s for s, e in zip(starts, ends) if s is not None and e is not None]
-            dur = float(np.median(np.array(d))) * 2 if d else 2.0
-        return dur
-
-    def max_end_after(i: int) -> float:
-        for j in range(i + 1, n):  # first later part with a usable time, on original values
-            if (orig_e[j] or orig_s[j]) is not None:
-                return orig_s[j] or orig_e[j]
-        return total
-
-    for i in range(n):
-        if starts[i] is None:
-            starts[i] = max(round((ends[i] or 0) - median_dur(), 3), 0.0) if i == 0 else ends[i - 1]
-        if ends[i] is None:
-            if i == n - 1 or starts[i + 1] is None:
-                cap = max_end_after(i) if i + 1 != n else total
-                new_end = round(starts[i] + median_dur(), 3)
-                ends[i] = cap if new_end > cap else new_end
-            else:
-                ends[i] = starts[i + 1]
-    return starts, ends
-
-
-def fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One audio as a pandas frame (any row order) -> filled frame."""
-    pdf = pdf.sort_values("pos", kind="stable")
-    s, e = fill_lists([_none(v) for v in pdf["start"].tolist()], [_none(v) for v in pdf["end"].tolist()],
-                      float(pdf["total_dur"].iloc[0]))
-    return pd.DataFrame({"audio_id": pdf["audio_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "start": s, "end": e})
-
-
-def _fill_sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows sorted by (audio, pos): fill every audio with plain lists (no per-group DataFrame)."""
-    audio = pdf["audio_id"].to_numpy()
-    starts = [_none(v) for v in pdf["start"].tolist()]
-    ends = [_none(v) for v in pdf["end"].tolist()]
-    total = pdf["total_dur"].to_numpy()
-    cuts = np.flatnonzero(audio[1:] != audio[:-1]) + 1
-    out_s, out_e = [], []
-    for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(audio)]))):
-        s, e = fill_lists(starts[lo:hi], ends[lo:hi], float(total[lo]))
-        out_s += s
-        out_e += e
-    return pd.DataFrame({"audio_id": audio, "pos": pdf["pos"].to_numpy(), "start": out_s, "end": out_e})
-
 
 def fill_timestamps(parts: DataFrame, audio: str = "audio_id", pos: str = "pos") -> DataFrame:
     """``parts(audio_id, pos, start, end, total_dur)`` -> filled ``(audio_id, pos, start, end)``.
 
-    One shuffle puts each audio in one partition, sorted by position; ``mapInPandas`` then walks the audios as
-    contiguous runs with plain lists (no pandas frame per group). An audio that straddles two Arrow batches is held
-    back and completed with the next batch (audios are bounded groups: one recording's parts)."""
-    cols = parts.select(F.col(audio).alias("audio_id"), F.col(pos).alias("pos"), "start", "end", "total_dur")
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cols.repartition(n, "audio_id").sortWithinPartitions("audio_id", "pos")
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf["audio_id"].iloc[-1]
-            tail = (pdf["audio_id"] == last).to_numpy()
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                yield _fill_sorted(done)
-        if carry is not None and len(carry):
-            yield _fill_sorted(carry)
-
-    return ordered.mapInPandas(run, FILLED_SCHEMA)
+    A missing start is the filled end before it (first part: end minus the usual duration, not below 0); a missing end
+    is the next part's own start, else start plus the usual duration, at most the next known time or the audio's
+    length. The usual duration is A12 at the first part that needs it: parts before it count as filled so far (which
+    takes neighbours' times only), parts after it as given. A time of 0.0 counts as missing where it is compared.
+
+    The per-audio facts are windows over one shuffle by audio. Then each run of parts that begins with a part with its
+    own start is folded from left to right; no step looks at a whole audio."""
+    whole = Window.partitionBy("audio_id")
+    forward, backward = whole.orderBy("pos"), whole.orderBy(F.desc("pos"))
+    zero = F.lit(0.0)
+    known = F.when(F.coalesce(F.nullif("end", zero), "start").isNotNull(), F.coalesce(F.nullif("start", zero), "end"))
+    p = parts.select(F.col(audio).alias("audio_id"), F.col(pos).alias("pos"), "start", "end", "total_dur").select(
+        "*", F.row_number().over(forward).alias("i"), F.lag("end").over(forward).alias("prev_end"), F.lead("start").over(forward).alias("next_start"),
+        F.last(known, ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    needs = ((F.col("i") == 1) & F.col("start").isNull()) | (F.col("end").isNull() & F.col("next_start").isNull())
+    p = p.withColumn("first_need", F.min(F.when(needs, F.col("i"))).over(whole))
+    length = F.when(F.col("i") < F.col("first_need"), F.coalesce("end", "next_start") - F.coalesce("start", "prev_end")).otherwise(F.col("end") - F.col("start"))
+    p = p.withColumns({"usual": F.coalesce(F.median(length).over(whole) * 2, F.lit(2.0)),
+                       "run": F.count("start").over(forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                       "cap": F.coalesce("later", "total_dur")})
+    opening = F.greatest(F.round(F.coalesce("end", zero) - F.col("usual"), 3), zero)
+    p = p.select("audio_id", "run", F.struct("i", "pos", F.when(F.col("i") == 1, F.coalesce("start", opening)).otherwise(F.col("start")).alias("start"),
+                                             F.coalesce("end", "next_start").alias("end"), "usual", "cap").alias("part"))
+
+    def step(done: Column, part: Column) -> Column:
+        start = F.coalesce(part["start"], done["last"])
+        end = F.coalesce(part["end"], F.least(F.round(start + part["usual"], 3), part["cap"]))
+        return F.struct(end.alias("last"), F.concat(done["out"], F.array(F.struct(part["pos"].alias("pos"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    pos_type = parts.schema[pos].dataType.simpleString()
+    empty = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<pos:{pos_type},start:double,end:double>>").alias("out"))
+    runs = p.groupBy("audio_id", "run").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return runs.select("audio_id", F.inline(F.aggregate("parts", empty, step)["out"]))
 
 
 def median_duration(parts: DataFrame, audio: str = "audio_id") -> DataFrame:
@@ -115,8 +57,8 @@ def median_duration(parts: DataFrame, audio: str = "audio_id") -> DataFrame:
 
 def next_known_time(start: str = "start", end: str = "end", audio: str = "audio_id", pos: str = "pos") -> Column:
     """Time of the first later part with a known (non-zero start, else end) time."""
-    w = Window.partitionBy(audio).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.coalesce(F.nullif(F.col(start), F.lit(0.0)), F.col(end)), ignorenulls=True).over(w)
+    w = Window.partitionBy(audio).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, -1)  # later parts, nearest last
+    return F.last(F.coalesce(F.nullif(F.col(start), F.lit(0.0)), F.col(end)), ignorenulls=True).over(w)
 
 
 def regroup(words: DataFrame, max_gap: float, marks: str = ".?!。", audio: str = "audio_id", pos: str = "pos") -> DataFrame:
