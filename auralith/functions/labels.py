@@ -115,8 +115,10 @@ def shift_targets(padded, n_real: Column) -> Column:
 def mask_prompt(targets) -> Column:
     """First 0-based index k of SOT in the targets; when k > 0, positions 0..k become -100."""
     t = _c(targets)
-    k = F.array_position(t, SOT) - 1  # -1 when absent
-    return F.transform(t, lambda x, i: F.when((k > 0) & (i <= k), F.lit(PAD_LABEL)).otherwise(x))
+    from auralith.functions.edit import _bind
+
+    pair = F.struct(t.alias("t"), (F.array_position(t, SOT) - 1).alias("k"))  # -1 when absent; found once, not per element
+    return _bind(pair, lambda p: F.transform(p["t"], lambda x, i: F.when((p["k"] > 0) & (i <= p["k"]), F.lit(PAD_LABEL)).otherwise(x)))
 
 
 def spaced_index(n: Column, k: Column, start: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ way: whitespace is an explicit class equal to Python's ``\\s`` for ``str`` patte
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -76,16 +76,19 @@ def jiwer_clean(c) -> Column:
     return strip_ws(collapse_ws(c))
 
 
+def _without_marked(c) -> Column:
+    """Lower case, without ``<..>``/``[..]`` and ``(..)``."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_c(c)), BRACKETS_RE, ""), PARENS_RE, "")
+
+
+def _basic_end(s: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(s, MSP_RE, " ")), f"{WS}+", " ")
+
+
 def basic_normalize(c) -> Column:
     """T1 basic normaliser: lower, drop ``<..>``/``[..]`` and ``(..)``, NFKC, marks/symbols/punctuation to space,
     lower again, whitespace runs to one space (no trim)."""
-    s = F.lower(_c(c))
-    s = F.regexp_replace(s, BRACKETS_RE, "")
-    s = F.regexp_replace(s, PARENS_RE, "")
-    s = nfkc(s)
-    s = F.regexp_replace(s, MSP_RE, " ")
-    s = F.lower(s)
-    return F.regexp_replace(s, f"{WS}+", " ")
+    return _basic_end(nfkc(_without_marked(c)))
 
 
 def japanese_normalize(c) -> Column:
@@ -333,13 +336,19 @@ def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
     symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built).
 
     The ~50 rule passes only run on strings where one combined pattern finds a candidate."""
-    s = F.lower(_c(c))
-    s = F.regexp_replace(s, BRACKETS_RE, "")
-    s = F.regexp_replace(s, PARENS_RE, "")
-    s = F.when(s.rlike(_ANY_RULE_RE), _english_rules(s)).otherwise(s)
+    return _english_end(remove_symbols_and_diacritics(_english_points(_english_spoken(_without_marked(c)))), spelling)
+
+
+def _english_spoken(s: Column) -> Column:
+    return F.when(s.rlike(_ANY_RULE_RE), _english_rules(s)).otherwise(s)
+
+
+def _english_points(s: Column) -> Column:
     s = F.regexp_replace(s, "(\\p{Nd}),(\\p{Nd})", "$1$2")
-    s = F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
-    s = remove_symbols_and_diacritics(s)
+    return F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
+
+
+def _english_end(s: Column, spelling: dict[str, str] | None = None) -> Column:
     if spelling:
         words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
         m = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
@@ -349,3 +358,33 @@ def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
     s = F.regexp_replace(s, "[.$¢€£]([^0-9])", " $1")
     s = F.regexp_replace(s, "([^0-9])%", "$1 ")
     return F.regexp_replace(s, f"{WS}+", " ")
+
+
+def with_normalized(df: DataFrame, lang, stage: str = "eval", **sources: str) -> DataFrame:
+    """T4 for several text columns at once (``new_column="source_column"``), every step a column of its own.
+
+    The steps name their input several times (a test, a replacement, the untouched string); as columns they are computed
+    once per row, where one nested expression would build each input again at every mention."""
+    lang = _c(lang)
+    english = F.coalesce(lang == "en", F.lit(False))
+
+    def step(before: str, after: str, change) -> None:
+        nonlocal df
+        df = df.withColumns({f"_{n}_{after}": change(F.col(f"_{n}_{before}")) for n in sources})
+
+    df = df.withColumns({f"_{n}_bare": _without_marked(src) for n, src in sources.items()})
+    step("bare", "spoken", lambda s: F.when(english, _english_spoken(s)))
+    step("spoken", "points", _english_points)
+    step("points", "plain", remove_symbols_and_diacritics)
+    step("bare", "nfkc", lambda s: F.when(~english, nfkc(s)))
+
+    def final(n: str) -> Column:
+        other = _basic_end(F.col(f"_{n}_nfkc"))
+        if stage != "filter":
+            other = F.when(lang == "ja", F.replace(F.replace(other, F.lit(" "), F.lit("")), F.lit("。."), F.lit("。"))).otherwise(other)
+        return F.when(english, _english_end(F.col(f"_{n}_plain"))).otherwise(other)
+
+    from auralith.operators.ordering import compute_once
+
+    df = compute_once(df, **{n: final(n) for n in sources})
+    return df.drop(*[f"_{n}_{x}" for n in sources for x in ("bare", "spoken", "points", "plain", "nfkc")])

@@ -44,29 +44,31 @@ def drop_empty_references(df: DataFrame, ref_norm: str = "reference_norm") -> Da
     return df.where(F.length(ref_norm) > 0)
 
 
-def wer_filter(df: DataFrame, ref_norm, hyp_norm, threshold: float) -> DataFrame:
+def _with_bounded_distance(df: DataFrame, ref_norm: str, hyp_norm: str, threshold: float) -> DataFrame:
+    """``_n`` reference words and ``_d``, the word distance bounded by the threshold; every step is computed once."""
+    out = compute_once(df, _cr=E.jiwer_clean(F.col(ref_norm)), _ch=E.jiwer_clean(F.col(hyp_norm)))
+    out = compute_once(out, _rw=E.words_of_cleaned(F.col("_cr")), _hw=E.words_of_cleaned(F.col("_ch"))).drop("_cr", "_ch")
+    out = out.withColumn("_n", F.size("_rw"))
+    return compute_once(out, _d=E.word_edit_distance(F.col("_rw"), F.col("_hw"), E.wer_bound(F.col("_n"), threshold))).drop("_rw", "_hw")
+
+
+def wer_filter(df: DataFrame, ref_norm: str, hyp_norm: str, threshold: float) -> DataFrame:
     """keep a row iff ``100 * WER(hyp, ref) < threshold`` (strict) on normalised text; a row with an empty
     normalised reference or a NULL hypothesis is dropped. Uses the bounded distance, so the work per row stops at
     the threshold instead of filling the whole table."""
-    ref_norm, hyp_norm = _c(ref_norm), _c(hyp_norm)
-    rw, hw = E.words(ref_norm), E.words(hyp_norm)
-    n = F.size(rw)
-    d = E.word_edit_distance(rw, hw, E.wer_bound(n, threshold))
-    keep = (F.length(ref_norm) > 0) & hyp_norm.isNotNull() & E.wer_below(d, n, threshold)
-    return compute_once(df, _keep=F.coalesce(keep, F.lit(False))).where(F.col("_keep")).drop("_keep")
-
-
-def rejection_reason(ref_norm, hyp_norm, threshold: float, n_samples=None, min_samples=None, max_samples=None,
-                     n_labels=None, max_labels=None) -> Column:
-    """M6: first failing check, in pipeline order, or ``kept``."""
-    ref_norm, hyp_norm = _c(ref_norm), _c(hyp_norm)
-    rw, hw = E.words(ref_norm), E.words(hyp_norm)
-    n = F.size(rw)
-    d = E.word_edit_distance(rw, hw, E.wer_bound(n, threshold))
-    reason = F.when(F.length(ref_norm) == 0, F.lit("empty_reference")).when(hyp_norm.isNull(), F.lit("null_prediction"))
-    reason = reason.when(~E.wer_below(d, n, threshold), F.lit("wer"))
+    out = _with_bounded_distance(df, ref_norm, hyp_norm, threshold)
+    keep = (F.length(ref_norm) > 0) & F.col(hyp_norm).isNotNull() & E.wer_below(F.col("_d"), F.col("_n"), threshold)
+    return out.where(keep).drop("_n", "_d")
+
+
+def with_rejection_reason(df: DataFrame, ref_norm: str, hyp_norm: str, threshold: float, n_samples=None, min_samples=None,
+                          max_samples=None, n_labels=None, max_labels=None) -> DataFrame:
+    """M6: adds ``reason``, the first failing check in pipeline order, or ``kept``."""
+    out = _with_bounded_distance(df, ref_norm, hyp_norm, threshold)
+    reason = F.when(F.length(ref_norm) == 0, F.lit("empty_reference")).when(F.col(hyp_norm).isNull(), F.lit("null_prediction"))
+    reason = reason.when(~E.wer_below(F.col("_d"), F.col("_n"), threshold), F.lit("wer"))
     if n_samples is not None:
         reason = reason.when(~((_c(n_samples) > min_samples) & (_c(n_samples) < max_samples)), F.lit("duration"))
     if n_labels is not None:
         reason = reason.when(~((_c(n_labels) > 0) & (_c(n_labels) <= max_labels)), F.lit("label_length"))
-    return reason.otherwise(F.lit("kept"))
+    return out.withColumn("reason", reason.otherwise(F.lit("kept"))).drop("_n", "_d")

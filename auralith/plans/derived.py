@@ -12,16 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def utterances(documents: DataFrame, spread: bool = False) -> DataFrame:
-    """One row per line of every document. ``spread`` always re-distributes lines by key (quadratic consumers:
-    one huge document must not sit in one task); otherwise lines are only re-balanced when the scan has fewer
-    splits than the cluster's parallelism."""
+def utterances(documents: DataFrame) -> DataFrame:
+    """One row per line of every document. Lines stay in their scan splits; only a table with fewer splits than the
+    cluster's parallelism (a small single file) has its lines dealt out."""
     utts = documents.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "reference_raw")
     ).withColumn("line_no", F.col("line_no").cast("long"))
-    from auralith.operators.ordering import balance, spread as _spread
+    from auralith.operators.ordering import balance
 
-    return _spread(utts, "doc_id", "line_no") if spread else balance(utts, "doc_id", "line_no")
+    return balance(utts, "doc_id", "line_no")
 
 
 def corrupt_line(line: Column, doc_id: Column, line_no: Column) -> Column:
@@ -38,7 +37,9 @@ def corrupt_line(line: Column, doc_id: Column, line_no: Column) -> Column:
 
 
 def with_hypothesis(utts: DataFrame) -> DataFrame:
-    return utts.withColumn("prediction_raw", corrupt_line(F.col("reference_raw"), F.col("doc_id"), F.col("line_no")))
+    from auralith.operators.ordering import compute_once
+
+    return compute_once(utts, prediction_raw=corrupt_line(F.col("reference_raw"), F.col("doc_id"), F.col("line_no")))
 
 
 # ---- the same derivations in DuckDB SQL (oracle side) -----------------------------------------------------------

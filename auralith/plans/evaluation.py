@@ -20,10 +20,8 @@ WER_THRESHOLD = 20.0
 
 
 def scored_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
-    normed = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang"),
-                          prediction_norm=T.normalize_for_language("prediction_raw", "lang"))
-    return M.drop_empty_references(normed)
+    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    return M.drop_empty_references(T.with_normalized(utts, "lang", reference_norm="reference_raw", prediction_norm="prediction_raw"))
 
 
 def _metric_frame(spark, sf_dir, chars: bool) -> DataFrame:
@@ -81,9 +79,8 @@ def wer_filter_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wer_keep_from(documents: DataFrame) -> DataFrame:
-    utts = D.with_hypothesis(D.utterances(documents, spread=True))
-    df = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang", stage="filter"),
-                      prediction_norm=T.normalize_for_language("prediction_raw", "lang", stage="filter"))
+    utts = D.with_hypothesis(D.utterances(documents))
+    df = T.with_normalized(utts, "lang", stage="filter", reference_norm="reference_raw", prediction_norm="prediction_raw")
     kept = M.wer_filter(df, "reference_norm", "prediction_norm", WER_THRESHOLD)
     return kept.select("doc_id", "line_no", "lang", "reference_raw", "prediction_raw")
 
@@ -91,15 +88,14 @@ def wer_keep_from(documents: DataFrame) -> DataFrame:
 def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: kept vs dropped per reason, per language. Duration = characters of the line standing in for samples
     (window 0 < n < 2000), label length = words of the hypothesis (at most 128)."""
-    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents"), spread=True))
-    df = compute_once(utts, reference_norm=T.normalize_for_language("reference_raw", "lang", stage="filter"),
-                      prediction_norm=T.normalize_for_language("prediction_raw", "lang", stage="filter"))
-    reason = M.rejection_reason(
-        "reference_norm", "prediction_norm", WER_THRESHOLD,
+    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    df = T.with_normalized(utts, "lang", stage="filter", reference_norm="reference_raw", prediction_norm="prediction_raw")
+    df = M.with_rejection_reason(
+        df, "reference_norm", "prediction_norm", WER_THRESHOLD,
         n_samples=F.char_length("reference_raw"), min_samples=0, max_samples=2000,
         n_labels=F.size(F.split("prediction_raw", " ")), max_labels=128,
     )
-    return df.withColumn("reason", reason).groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # ---- oracles ------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auralith.operators import scoring as SC
-from auralith.operators.ordering import spread
+from auralith.operators.ordering import balance
 from auralith.plans import derived as D
 from auralith.plans.tables import table
 
@@ -15,19 +15,19 @@ RATE, N_FFT, HOP, N_MELS = 16, 16, 8, 4
 
 
 def pseudo_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.utterances(table(spark, sf_dir, "documents"), spread=True)
+    utts = D.utterances(table(spark, sf_dir, "documents"))
     keys = ["doc_id", "line_no"]
     labelled = SC.score_heads(utts, keys, {"whisper_transcript": (["reference_raw"], SC.corrupting_predictor)}, carry=["lang"])
     return labelled.select("doc_id", "line_no", "lang", "whisper_transcript")
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utts = D.utterances(table(spark, sf_dir, "documents"), spread=True)
+    utts = D.utterances(table(spark, sf_dir, "documents"))
     return SC.cascade(utts, ["doc_id", "line_no"], ["reference_raw"], SC.corrupting_predictor, SC.reversing_translator)
 
 
 def logmel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = spread(table(spark, sf_dir, "embeddings"), "vec_id")
+    emb = balance(table(spark, sf_dir, "embeddings"), "vec_id")
     return SC.log_mel(emb, ["vec_id"], "embedding", RATE, N_FFT, HOP, N_MELS)
 
 

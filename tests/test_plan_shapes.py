@@ -28,12 +28,24 @@ def test_previous_row_is_keyed_not_windowed(spark):
     assert "key=[_b" in p or "keys=[_b" in p
 
 
-def test_expensive_columns_evaluated_after_spread(spark):
-    p = plan(entry.queries()["wer_filter_keep"](spark, SF_SMALL))
-    exchange = p.index("Exchange hashpartitioning(doc_id")
-    # everything above the exchange (earlier in the string) holds the normaliser; nothing below it does
-    assert "regexp_replace" not in p[exchange:]
-    assert "Generate inline" in p[:exchange]
+def test_scoring_evaluates_each_step_once(spark):
+    p = entry.queries()["wer_filter_keep"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("levenshtein(") == 1
+    exchange = plan(entry.queries()["wer_filter_keep"](spark, SF_SMALL))
+    below = exchange[exchange.index("Exchange hashpartitioning(doc_id"):]  # the small test table is one split, so it is dealt out
+    assert "regexp_replace" not in below and "array_join" not in below
+
+
+def test_scoring_does_not_shuffle_text_that_has_splits(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    size = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # one split per file
+    try:
+        for name in ("wer_filter_keep", "pseudo_label_scores", "cascade"):
+            assert "Exchange" not in plan(entry.queries()[name](spark, str(tmp_path))), name
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
 
 
 def test_partial_aggregation_before_shuffle(spark):
