@@ -6,7 +6,7 @@ moves to the class that raises the class-bigram likelihood most. The statistics
 the classes left and right of it, are recounted over the whole training text's item pairs in every round.
 
 An item is a word that makes up at least ``item_share`` of the training tokens, or the spelling pattern (last three
-bytes, stop mark, digits) of all rarer words that share it and together make up as much; patterns below that fall back
+bytes, stop mark, digit at either end) of all rarer words that share it and together make up as much; patterns below that fall back
 to a coarse pattern. So every word, seen or not, has a class, and there are at most ``2 / item_share`` items whatever
 the size of the corpus. Class transitions are trigrams with Witten-Bell smoothing down to single classes; within a class
 a word has ``(count + 1) / (tokens + words + 1)`` and one unseen word ``1 / (tokens + words + 1)``, which is the
@@ -41,16 +41,19 @@ _DIGIT[48:58] = True
 END_CLASS = 0
 
 
-def patterns(words: blocks.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Spelling pattern and coarse pattern of every word."""
-    data, start, end = words.data, words.start, words.end
+def patterns(words: blocks.Words, which: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Spelling pattern and coarse pattern of every word (of those asked for)."""
+    data, start, end = words.data, words.start[which], words.end[which]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    last = np.maximum.accumulate(np.where(_STOPS[data], -1, np.arange(len(data))))
-    core = np.maximum(last[end - 1] + 1, start)
-    digits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_DIGIT[data], out=digits[1:])
-    coarse = np.where(core < end, data[end - 1], 0).astype(np.int64) * 2 + (digits[end] > digits[start]) + 1
+    core = end.copy()
+    some = np.flatnonzero(_STOPS[data[end - 1]])
+    while len(some):  # back over the stop marks
+        core[some] -= 1
+        some = some[core[some] > start[some]]
+        some = some[_STOPS[data[core[some] - 1]]]
+    digits = _DIGIT[data[start]] | _DIGIT[data[np.maximum(core, start + 1) - 1]]
+    coarse = np.where(core < end, data[end - 1], 0).astype(np.int64) * 2 + digits + 1
     fine = coarse << 24
     for back in (1, 2, 3):
         at = core - back
@@ -76,8 +79,7 @@ def _counter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in blocks.batches(frames):
         words = blocks.scan(piece.column("text"), lower=True)
         value, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-        fine, coarse = patterns(words)
-        held.append((value, fine[first], coarse[first], n))
+        held.append((value, *patterns(words, first), n))
         texts += piece.num_rows
         if sum(len(h[0]) for h in held) > 1_500_000:
             yield flush()
@@ -101,22 +103,46 @@ class Items:
         """Arrays only: what is broadcast must load without this package."""
         return self.word, self.count, self.item, self.pattern, self.pattern_item, self.size
 
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each hash among the hot words, and whether it is one: a direct look by the leading bits, and a
+        search only where several hot words share them."""
+        if not len(self.word):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        if "table" not in self.__dict__:
+            self.bits = np.uint64(64 - min(22, max(8, len(self.word).bit_length() + 2)))
+            slot = (self.word >> self.bits).astype(np.int64)
+            self.table, self.crowded = np.zeros(1 << (64 - int(self.bits)), np.int32), np.zeros(1 << (64 - int(self.bits)), bool)
+            self.table[slot[::-1]] = np.arange(len(slot) - 1, -1, -1, dtype=np.int32)
+            self.crowded[slot[1:][slot[1:] == slot[:-1]]] = True
+        slot = (hashes >> self.bits).astype(np.int64)
+        at = self.table[slot].astype(np.int64)
+        hit = self.word[at] == hashes
+        more = np.flatnonzero(~hit & self.crowded[slot])
+        if len(more):
+            at[more] = np.minimum(np.searchsorted(self.word, hashes[more]), len(self.word) - 1)
+            hit[more] = self.word[at[more]] == hashes[more]
+        return at, hit
+
+    def by_pattern(self, *keys: np.ndarray) -> np.ndarray:
+        """Item of the first of the patterns that has one; 1, the fallback, if none has."""
+        item = np.full(len(keys[0]), -1, np.int64)
+        for some in keys if len(self.pattern) else ():
+            at = np.minimum(np.searchsorted(self.pattern, some), len(self.pattern) - 1)
+            item = np.where((item < 0) & (self.pattern[at] == some), self.pattern_item[at], item)
+        return np.where(item < 0, 1, item)
+
     def find(self, words: blocks.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, training count (-1: not a hot word) and item of every word."""
         hashes = words.hashes()
-        if not len(hashes):
-            return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count, item = np.full(len(hashes), -1, np.int64), np.full(len(hashes), -1, np.int64)
-        if len(self.word):
-            at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-            hit = self.word[at] == hashes
-            count[hit], item[hit] = self.count[at[hit]], self.item[at[hit]]
-        fine, coarse = patterns(words)
-        for keys in (fine, coarse):
-            if len(self.pattern):
-                at = np.minimum(np.searchsorted(self.pattern, keys), len(self.pattern) - 1)
-                item = np.where((item < 0) & (self.pattern[at] == keys), self.pattern_item[at], item)
-        return hashes, count, np.where(item < 0, 1, item)
+        at, hit = self.place(hashes)
+        if not len(self.word):
+            count, item = np.full(len(hashes), -1, np.int64), np.full(len(hashes), -1, np.int64)
+        else:
+            count, item = np.where(hit, self.count[at], -1), np.where(hit, self.item[at], -1)
+        rest = np.flatnonzero(item < 0)
+        if len(rest):
+            item[rest] = self.by_pattern(*patterns(words, rest))
+        return hashes, count, item
 
 
 def _sequences(piece: pa.RecordBatch, items: Items) -> tuple:
@@ -225,15 +251,9 @@ def _totals(shared) -> Callable:
         cells = np.zeros((2, int(of.max()) + 1), np.int64)
         for frame in frames:
             word, fine, coarse, n = (np.asarray(frame.column(c), np.int64) for c in ("word", "fine", "coarse", "n"))
-            item = np.full(len(word), -1, np.int64)
-            if len(items.word):
-                at = np.minimum(np.searchsorted(items.word, word.view(np.uint64)), len(items.word) - 1)
-                item = np.where(items.word[at] == word.view(np.uint64), items.item[at], item)
-            for keys in (fine, coarse):
-                if len(items.pattern):
-                    at = np.minimum(np.searchsorted(items.pattern, keys), len(items.pattern) - 1)
-                    item = np.where((item < 0) & (items.pattern[at] == keys), items.pattern_item[at], item)
-            c = of[np.where(item < 0, 1, item)]
+            at, hit = items.place(word.view(np.uint64))
+            item = np.where(hit, items.item[at], -1) if len(items.word) else np.full(len(word), -1, np.int64)
+            c = of[np.where(item < 0, items.by_pattern(fine, coarse), item)]
             np.add.at(cells[0], c, n)
             np.add.at(cells[1], c, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells.shape[1])), pa.array(cells[0]), pa.array(cells[1])], ["class", "n", "words"])
@@ -320,28 +340,24 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int
     return Model(items, best_of, np.log10(witten_bell(trigrams)), np.log10(norm), tokens, distinct, many, words.select("word", "n"))
 
 
-def _scorer(shared, rare: bool) -> Callable:
+def _scorer(shared) -> Callable:
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, of, transition, norm = Items(*shared.value[0]), *shared.value[1:]
         for piece in blocks.batches(frames):
             tokens, rows, words, hashes, count, item = _sequences(piece, items)
             many = piece.num_rows
-            if rare:
-                at = np.flatnonzero(count < 0)
-                row = pa.array(words.row[at])
-                yield pa.RecordBatch.from_arrays([piece.column("doc").take(row), piece.column("key").take(row), pa.array(hashes[at].view(np.int64))],
-                                                 ["doc", "key", "word"])
-                continue
             now = of[tokens]
             one = np.concatenate([[END_CLASS], now[:-1]])[: len(now)]
             two = np.where(one == END_CLASS, END_CLASS, np.concatenate([[END_CLASS, END_CLASS], now[:-2]])[: len(now)])
-            path = np.bincount(rows, weights=transition[two, one, now], minlength=many)
+            path = np.bincount(rows, weights=transition[two, one, now], minlength=many).astype(float)
             path -= np.bincount(words.row, weights=norm[of[item]], minlength=many)
             known = np.bincount(words.row, weights=count > 0, minlength=many).astype(np.int64)
-            logs = np.bincount(words.row, weights=np.log10(np.maximum(count, 0) + 1.0), minlength=many)
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("key"), pa.array(np.ones(many, np.int64)),
-                                              pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(logs.astype(float)), pa.array(path.astype(float))],
-                                             ["doc", "key", "rows", "n_tokens", "known", "logs", "path"])
+            logs = np.bincount(words.row, weights=np.log10(np.maximum(count, 0) + 1.0), minlength=many).astype(float)
+            rare = np.flatnonzero(count < 0)
+            cut = np.searchsorted(words.row[rare], np.arange(many + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("key"), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(logs),
+                                              pa.array(path), pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64)))],
+                                             ["doc", "key", "n_tokens", "known", "logs", "path", "rare"])
 
     return score
 
@@ -352,9 +368,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
     shared = spark.sparkContext.broadcast((model.items.plain(), model.class_of, model.transition, model.norm))
-    whole = source.mapInArrow(_scorer(shared, False), "doc long, key long, rows long, n_tokens long, known long, logs double, path double")
-    seldom = source.mapInArrow(_scorer(shared, True), "doc long, key long, word long").join(model.counts, "word")
+    schema = "doc long, key long, n_tokens long, known long, logs double, path double, rare array<long>"
+    scored = stored(source.mapInArrow(_scorer(shared), schema), "scored")  # one pass over the texts
     none = F.lit(0).cast("long")
+    whole = scored.select("doc", "key", F.lit(1).cast("long").alias("rows"), "n_tokens", "known", "logs", "path")
+    seldom = scored.select("doc", "key", F.explode("rare").alias("word")).join(model.counts, "word")
     seldom = seldom.select("doc", "key", none.alias("rows"), none.alias("n_tokens"), F.lit(1).cast("long").alias("known"),
                            F.log10(F.col("n") + 1.0).alias("logs"), F.lit(0.0).alias("path"))
     sums = whole.union(seldom).groupBy("doc", "key").agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "known", "logs", "path")])
