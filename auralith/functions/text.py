@@ -58,7 +58,7 @@ def nfkc(c) -> Column:
     """Unicode NFKC, JVM-side through ICU4J (bundled with Spark 4); ASCII strings are returned as they are."""
     c = _c(c)
     composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(c.rlike(ASCII_ONLY_RE), c).otherwise(composed)
+    return F.when(c.isNull() | c.rlike(ASCII_ONLY_RE), c).otherwise(composed)
 
 
 def strip_ws(c) -> Column:
@@ -297,7 +297,7 @@ def nfkd(c) -> Column:
     """Unicode NFKD through ICU4J (JVM-side); ASCII strings are returned as they are."""
     c = _c(c)
     decomposed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True))
-    return F.when(c.rlike(ASCII_ONLY_RE), c).otherwise(decomposed)
+    return F.when(c.isNull() | c.rlike(ASCII_ONLY_RE), c).otherwise(decomposed)
 
 
 def remove_symbols_and_diacritics(c, keep: str = ENGLISH_KEEP_SYMBOLS) -> Column:

@@ -1,9 +1,8 @@
 """Join operators: manifest join (J1), strict lookup (J2), split membership (J5), completeness audit (J6) and
 last-wins manifest de-duplication (A15).
 
-No side is broadcast on faith. Lookup dimensions and split-id sets (J2, J5) are broadcast only after a bounded
-count shows they are small (``broadcast_if_small``); otherwise, and for every data-sized join, the planner and AQE's
-runtime sizes pick the strategy (shuffle hash / sort-merge, skew-join splitting).
+No side is broadcast on faith: the planner and AQE's runtime sizes pick the strategy of every join (broadcast below
+the session's byte threshold, shuffle hash or sort-merge with skew splitting above it).
 """
 
 from __future__ import annotations
@@ -11,11 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auralith.session import broadcast_if_small
-
-# a side is broadcast only when a bounded count proves it has at most this many (narrow, key-only) rows
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def dedup_last(df: DataFrame, key: str, order: str, value_cols: list[str]) -> DataFrame:
     """A15 (dict overwrite): one row per ``key`` carrying the values of the row with the largest ``order``.
@@ -30,17 +24,16 @@ def manifest_join(members: DataFrame, manifest: DataFrame, key: str) -> DataFram
 
 
 def orphans(members: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """Keys present on one side only, tagged with the side they are on."""
-    m = members.select(key).distinct()
-    t = manifest.select(key).distinct()
-    return m.join(t, key, "left_anti").withColumn("side", F.lit("member_without_transcript")).unionByName(
-        t.join(m, key, "left_anti").withColumn("side", F.lit("transcript_without_member"))
-    )
+    """Keys present on one side only, tagged with the side they are on (one scan and one shuffle of each side)."""
+    both = members.select(key, F.lit(True).alias("_m")).unionByName(manifest.select(key, F.lit(False).alias("_m"))).filter(F.col(key).isNotNull())
+    sides = both.groupBy(key).agg(F.bool_or("_m").alias("_any"), F.bool_and("_m").alias("_all"))
+    side = F.when(F.col("_all"), F.lit("member_without_transcript")).otherwise(F.lit("transcript_without_member"))
+    return sides.filter(F.col("_all") | ~F.col("_any")).select(key, side.alias("side"))
 
 
 def strict_lookup(df: DataFrame, dim: DataFrame, key: str, dim_cols: list[str], what: str = "lookup") -> DataFrame:
     """Left join that fails the task on a missing key (the reference raises ``KeyError``)."""
-    found = broadcast_if_small(dim.select(key, F.lit(True).alias("_found"), *dim_cols), BROADCAST_MAX_ROWS)
+    found = dim.select(key, F.lit(True).alias("_found"), *dim_cols)
     j = df.join(found, key, "left")
     guard = F.col("_found").isNotNull()
     out = j
@@ -57,8 +50,7 @@ def quarantine(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 def in_split(df: DataFrame, split_ids: DataFrame, key: str) -> DataFrame:
     """Semi-join on split membership."""
-    ids = broadcast_if_small(split_ids.select(key).distinct(), BROADCAST_MAX_ROWS)
-    return df.join(ids, key, "left_semi")
+    return df.join(split_ids.select(key), key, "left_semi")
 
 
 def member_key(path: Column) -> Column:

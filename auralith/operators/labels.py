@@ -1,9 +1,9 @@
 """DataFrame-level label operators: previous-row conditioning (W1), batch padding (L7/L8/A11), decoder collation
 (L4-L6) and the timestamp vocabulary (T15).
 
-"Previous row in the same batch" is a group-by on ``(batch, row)`` of each row sent to its own and to the next
-key, rather than ``lag`` over a window partitioned by batch: the shuffle is on the unique ``(batch, row)`` pair, so one
-huge batch never lands in a single task. Rows must be dense per batch (``0..n-1``); ``auralith.operators.ordering.dense_index`` provides that for any order.
+"Previous row in the same batch" is a join of each row with the ids of the key before its own ``(batch, row)``, rather
+than ``lag`` over a window partitioned by batch: everything is keyed by that pair, so one huge batch never lands in a
+single task. Row numbers may have gaps and repeats; the order of the distinct keys alone is indexed.
 Batch-level values (longest labels, all-start-with-SOT) are partial aggregates joined back on the batch key.
 """
 
@@ -14,30 +14,30 @@ from pyspark.sql import functions as F
 
 from auralith.functions import labels as L
 from auralith.functions.edit import _bind
-from auralith.operators.ordering import compute_once
+from auralith.operators.ordering import compute_once, dense_index
 
 
-def prompt_with_previous(df: DataFrame, batch: str, row: str, ids: str, condition: Column, max_len: int,
-                         position: int = L.MULTILINGUAL_PREFIX) -> DataFrame:
-    """W1 in one pass: every row is emitted under its own key and under the key of the next row, then grouped by
-    ``(batch, row)``; a key holds at most two rows, so no batch (however large) concentrates in one task, and the
-    input is computed once (a self-join would evaluate it twice)."""
-    cols = df.columns
-    me = F.struct(*[F.col(c) for c in cols])
-    both = df.select(F.explode(F.array(
-        F.struct(F.col(batch).alias("_b"), F.col(row).alias("_r"), me.alias("_me"), F.lit(None).cast(df.schema[ids].dataType).alias("_prev")),
-        F.struct(F.col(batch).alias("_b"), (F.col(row) + 1).alias("_r"), F.lit(None).cast(me_type(df)).alias("_me"), F.col(ids).alias("_prev")),
-    )).alias("_e")).select("_e.*")
-    grouped = both.groupBy("_b", "_r").agg(F.max("_me").alias("_me"), F.max("_prev").alias("_prev"))
-    rows = grouped.where(F.col("_me").isNotNull()).select("_me.*", "_prev")
-    labels = L.with_prompt(F.col(ids), F.col("_prev"), condition, max_len, position)
-    return compute_once(rows.drop("labels") if "labels" in cols else rows, labels=labels).drop("_prev")
-
+def _next_keys(df: DataFrame, batch: str, row: str) -> DataFrame:
+    """(_b, _r, _next): every distinct key with the next row number of its batch."""
+    keys = df.select(F.col(batch).alias("_b"), F.col(row).alias("_r")).distinct()
+    keys = dense_index(keys, ["_b", "_r"], name="_i")
+    after = keys.select(F.col("_b"), (F.col("_i") - 1).alias("_i"), F.col("_r").alias("_next"))
+    return keys.join(after, ["_b", "_i"]).select("_b", "_r", "_next")
 
-def me_type(df: DataFrame):
-    from pyspark.sql import types as T
 
-    return T.StructType(list(df.schema.fields))
+def prompt_with_previous(df: DataFrame, batch: str, row: str, ids: str, condition: Column, max_len: int,
+                         position: int = L.MULTILINGUAL_PREFIX, dense: bool = False) -> DataFrame:
+    """A row's prompt comes from the row before it in its batch, whatever the gap between their numbers. All rows
+    are kept: rows that share a key get the same previous ids, and give the largest of theirs to the next. ``dense``
+    promises that the numbers of a batch have no gaps, which saves ordering the keys."""
+    given = df.groupBy(F.col(batch).alias("_b"), F.col(row).alias("_r")).agg(F.max(ids).alias("_prev"))
+    if dense:
+        given = given.withColumn("_r", F.col("_r") + 1)
+    else:
+        given = given.join(_next_keys(df, batch, row), ["_b", "_r"]).select("_b", F.col("_next").alias("_r"), "_prev")
+    rows = df.join(given, (F.col(batch) == F.col("_b")) & (F.col(row) == F.col("_r")), "left").drop("_b", "_r")
+    labels = L.with_prompt(F.col(ids), F.col("_prev"), condition, max_len, position)
+    return compute_once(rows.drop("labels") if "labels" in df.columns else rows, labels=labels).drop("_prev")
 
 
 def timestamp_vocab(spark) -> DataFrame:

@@ -31,10 +31,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; only when it is unset (tests, laptops) create a scratch one."""
+    """Return the cluster's ``spark.checkpoint.dir``. Where it is unset, a local master (tests, laptops) gets a scratch
+    folder; on a cluster that is an error, because executors do not share the driver's disk."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="auralith-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     try:  # make it visible to later readers of the conf; some deployments reject runtime core-conf changes
@@ -48,14 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast-hint ``df`` only behind a size check; otherwise leave the join to the planner (shuffle/AQE).
-
-    The check is a bounded ``limit(max_rows + 1).count()`` so it never scans more than ``max_rows + 1`` rows.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -203,12 +203,13 @@ def read_runtime_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_or_compute(spark: SparkSession, path: str, compute, fmt: str = "parquet") -> DataFrame:
-    """S14 + K4: reuse a materialised prediction table when it exists, otherwise compute, write and read it back."""
+    """S14 + K4: reuse a prediction table that was written to its end (it holds ``_SUCCESS``), otherwise compute, write
+    and read it back; what a broken run left is replaced."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        compute().write.format(fmt).mode("errorifexists").save(path)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(hpath, "_SUCCESS")):
+        compute().write.format(fmt).mode("overwrite").save(path)
     return spark.read.format(fmt).load(path)
 
 

@@ -18,26 +18,28 @@ from pyspark.sql.streaming import StreamingQuery
 from auralith.session import ensure_checkpoint_dir
 
 
-def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+def stream_paths(spark: SparkSession, name: str, run: str | None = None) -> tuple[str, str]:
+    """Sink and checkpoint of a stream. The same ``run`` gives the same paths, so a later call resumes after the last
+    committed batch and adds to the same sink; without one, every call is a run of its own."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    run = f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    run = f"{base}/streams/{name}-{run or uuid.uuid4().hex[:12]}"
     return f"{run}/sink", f"{run}/checkpoint"
 
 
-def file_stream(spark: SparkSession, directory: str, file_glob: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of one table as a stream (schema taken once from the files, never inferred per batch)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
+def file_stream(spark: SparkSession, directory: str, table: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Parquet files of one table as a stream: a file, a directory of part files, or a pattern of either below
+    ``directory`` (schema taken once from the files, never inferred per batch)."""
+    path = f"{directory.rstrip('/')}/{table}"
+    schema = spark.read.parquet(path).schema
+    if not any(c in table for c in "*?[{"):
+        path = f"{directory.rstrip('/')}/{{{table}}}"  # as a pattern, a single file is accepted like a directory
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
-def _epoch_writer(sink: str, transform: Callable[[DataFrame], DataFrame], mode: str = "per_epoch"):
+def _epoch_writer(sink: str, transform: Callable[[DataFrame], DataFrame]):
     def write(batch: DataFrame, epoch_id: int) -> None:
         out = transform(batch)
-        if mode == "complete":
-            out.write.mode("overwrite").parquet(f"{sink}/current")
-        else:
-            out.write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
+        out.write.mode("overwrite").parquet(f"{sink}/batch_id={epoch_id}")
 
     return write
 
@@ -49,9 +51,9 @@ def run_available(query: StreamingQuery) -> None:
 
 
 def incremental_apply(spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
-                      name: str) -> DataFrame:
+                      name: str, run: str | None = None) -> DataFrame:
     """Process every new file once (availableNow), applying a batch transform per micro-batch; returns the sink."""
-    sink, ckpt = stream_paths(spark, name)
+    sink, ckpt = stream_paths(spark, name, run)
     q = (stream.writeStream.foreachBatch(_epoch_writer(sink, transform)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     run_available(q)
@@ -59,25 +61,28 @@ def incremental_apply(spark: SparkSession, stream: DataFrame, transform: Callabl
 
 
 def stream_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-                watermark: str, tolerance: str, name: str) -> DataFrame:
+                watermark: str, tolerance: str, name: str, run: str | None = None) -> DataFrame:
     """R2: inner stream-stream join with watermarks on both sides and a time-range condition that bounds state."""
     lw = left.withWatermark(left_time, watermark).alias("l")
     rw = right.withWatermark(right_time, watermark).alias("r")
     cond = F.expr(
         f"l.{key} = r.{key} AND r.{right_time} BETWEEN l.{left_time} - INTERVAL {tolerance} AND l.{left_time} + INTERVAL {tolerance}")
     joined = lw.join(rw, cond, "inner").select("l.*", *[F.col(f"r.{c}") for c in right.columns if c != key])
-    sink, ckpt = stream_paths(spark, name)
+    sink, ckpt = stream_paths(spark, name, run)
     q = (joined.writeStream.foreachBatch(_epoch_writer(sink, lambda b: b)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     run_available(q)
     return spark.read.parquet(sink).drop("batch_id")
 
 
-def incremental_aggregate(spark: SparkSession, stream: DataFrame, keys: list[str], aggs: list, name: str) -> DataFrame:
-    """Running aggregate in complete mode; each trigger rewrites the current table."""
+def incremental_aggregate(spark: SparkSession, stream: DataFrame, keys: list[str], aggs: list, name: str,
+                          run: str | None = None) -> DataFrame:
+    """Running aggregate in complete mode; each trigger writes the whole table anew beside the one before, and the
+    reader takes the last complete one."""
     agg = stream.groupBy(*keys).agg(*aggs)
-    sink, ckpt = stream_paths(spark, name)
-    q = (agg.writeStream.outputMode("complete").foreachBatch(_epoch_writer(sink, lambda b: b, mode="complete"))
+    sink, ckpt = stream_paths(spark, name, run)
+    q = (agg.writeStream.outputMode("complete").foreachBatch(_epoch_writer(sink, lambda b: b))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     run_available(q)
-    return spark.read.parquet(f"{sink}/current")
+    epochs = spark.read.parquet(sink)
+    return epochs.filter(F.col("batch_id") == epochs.agg(F.max("batch_id")).first()[0]).drop("batch_id")

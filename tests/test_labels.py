@@ -36,6 +36,14 @@ def test_prompt_from_previous_row(spark):
     assert {(r.b, r.r): r.labels for r in short.collect()}[(1, 1)] == [S, LANG, TASK, NT, 21, E]
 
 
+def test_prompt_keeps_repeated_rows_and_bridges_gaps(spark):
+    rows = [(1, 0, [S, LANG, TASK, NT, 11, E], "a"), (1, 4, [S, LANG, TASK, NT, 21, E], "b"), (1, 4, [S, LANG, TASK, NT, 21, E], "c"),
+            (1, 9, [S, LANG, TASK, NT, 31, E], "d"), (2, 3, [S, LANG, TASK, NT, 41, E], "e")]
+    df = spark.createDataFrame(rows, "b long, r long, ids array<int>, tag string")
+    got = {r.tag: r.labels for r in LO.prompt_with_previous(df, "b", "r", "ids", F.lit(True), 448).collect()}
+    assert got == {"a": rows[0][2], "b": [L.PREV, 11, *rows[1][2]], "c": [L.PREV, 11, *rows[2][2]], "d": [L.PREV, 21, *rows[3][2]], "e": rows[4][2]}
+
+
 def test_prompt_mask_and_shift(spark):
     df = spark.createDataFrame([([9, 8, S, 1, 2],), ([5, 6, 7, 8],), ([S, 1, 2, 3],)], "t array<int>")
     got = [r.o for r in df.select(L.mask_prompt("t").alias("o")).collect()]

@@ -38,3 +38,31 @@ def test_epoch_writer_is_idempotent(spark, tmp_path):
     write(batch, 0)  # replay of epoch 0
     out = spark.read.parquet(sink)
     assert out.count() == 15 and out.where("batch_id = 0").count() == 10
+
+
+def split_tables(spark, folder, tables, files=5):
+    for t in tables:
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").repartition(files).write.parquet(f"{folder}/{t}.parquet")
+
+
+def test_queries_stream_tables_of_many_files(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    split_tables(spark, tmp_path, ["documents", "labels", "events"])
+    for name in ("incremental_ingest", "stream_join", "stream_metrics"):
+        whole = entry.queries()[name](spark, SF_SMALL).collect()
+        assert sorted(map(str, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(map(str, whole)), name
+
+
+def test_stream_resumes_after_the_last_batch(spark, tmp_path):
+    src, run = f"{tmp_path}/in/t.parquet", tmp_path.name
+    spark.range(0, 10).coalesce(1).write.parquet(src)
+    ingest = lambda: R.incremental_apply(spark, R.file_stream(spark, f"{tmp_path}/in", "t.parquet"), lambda b: b, "resume", run=run)
+    assert ingest().count() == 10
+    spark.range(10, 25).coalesce(1).write.mode("append").parquet(src)
+    assert sorted(r.id for r in ingest().collect()) == list(range(25))  # the first file is not read again
+    assert ingest().count() == 25
+    agg = lambda: R.incremental_aggregate(spark, R.file_stream(spark, f"{tmp_path}/in", "t.parquet"), [], [F.count(F.lit(1)).alias("n")], "resume_agg", run=run)
+    assert agg().first().n == 25
+    spark.range(25, 30).coalesce(1).write.mode("append").parquet(src)
+    assert agg().first().n == 30
