@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auralith.functions.text import pandas_round
+from auralith.operators.ordering import dense_index
 
 # Display names of the leaderboard's dataset dimension (dataset id -> pretty name); unknown ids show as they are.
 PRETTY_DATASET_NAMES = [
@@ -52,7 +53,7 @@ def dataset_label(spark, dataset: Column, config: Column) -> tuple[DataFrame, Co
 
 
 def with_dataset_label(df: DataFrame, out: str = "dataset_label") -> DataFrame:
-    """Pretty name when known (left join on a six-row dimension), raw name otherwise, plus `` (config)``."""
+    """Pretty name when known (left join on the fixed dimension of known names), raw name otherwise, plus `` (config)``."""
     dim, label = dataset_label(df.sparkSession, F.col("dataset"), F.col("dataset_config"))
     j = df.join(F.broadcast(dim), df["dataset"] == dim["dataset_key"], "left")
     return j.withColumn(out, label).drop("dataset_key", "pretty")
@@ -85,6 +86,26 @@ def leaderboard(compacted: DataFrame, metric: str, columns: list[str], pos: str
     )
 
 
+def leaderboard_long(compacted: DataFrame, metrics: list[str] = METRICS, pos: str = "file_pos") -> DataFrame:
+    """A7 in long form, every dataset label and all metrics at once: (model_label, dataset_label, metric, value). Nothing
+    has to be listed beforehand, so no label is left out."""
+    df = with_dataset_label(compacted).withColumn(
+        "model_label", model_label(F.col("model"), F.col("punctuator"), F.col("stable_ts"), F.col("translation_model")))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), pandas_round(F.col(m), 1).alias("value")) for m in metrics]))
+    okey = nulls_last_key(SORT_KEYS, pos)
+    df = df.withColumn("_k", okey).select("model_label", "dataset_label", "_k", cells.alias("_c")).select("*", "_c.*")
+    return df.where(F.col("value").isNotNull()).groupBy("model_label", "dataset_label", "metric").agg(F.min_by("value", "_k").alias("value"))
+
+
+def sorted_log(log: DataFrame, pos: str = "file_pos") -> DataFrame:
+    """O1 + K5b: the log's rows numbered in display order (sort keys ascending, NULLs last, then file position). Only the
+    keys are ordered; the rows are joined to their numbers."""
+    keys = log.select(*SORT_KEYS, pos)
+    order = [k for c in SORT_KEYS for k in (F.col(c).isNull(), F.col(c))] + [F.col(pos)]
+    index = dense_index(keys, order, name="row_idx").select(pos, "row_idx")
+    return log.join(index, pos)
+
+
 def drop_first_trial(runs: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataFrame:
     """W9 without a per-group sort: the warm-up trial of each group is found by a partial ``min_by`` aggregate and
     removed with an anti-join on its unique id (shuffled by id, so a hot group does not land in one task)."""

@@ -6,6 +6,8 @@ is cleaned (the whole text), the injected variants only decide which rule a line
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,42 @@ def clean_ted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _line_id() -> list:
+    d = F.col("doc_id").cast("string")
+    return [F.lit("AMI"), F.concat(F.lit("ES"), d), F.lit("H00"), F.lit("MEE"), F.lpad((F.col("line_no") * 300).cast("string"), 7, "0"),
+            F.lpad((F.col("line_no") * 300 + 299).cast("string"), 7, "0")]
+
+
+def ami_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One annotation line per document line (every 17th has a broken id)."""
+    broken = F.when((F.col("doc_id") + F.col("line_no")) % 17 == 0, F.lit("_x")).otherwise(F.lit(""))
+    lines = _utts(spark, sf_dir).select("doc_id", "line_no", F.concat(F.concat_ws("_", *_line_id()), broken, F.lit("  "), _l()).alias("value"))
+    return C.parse_ami_line(lines, "train").select("doc_id", "line_no", "id", "text", "audio_filename", "well_formed")
+
+
+def librispeech_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``<speaker>-<chapter>-<utterance> TEXT`` lines."""
+    name = F.concat_ws("-", F.col("source"), F.col("doc_id").cast("string"), F.lpad(F.col("line_no").cast("string"), 4, "0"))
+    lines = _utts(spark, sf_dir).select("doc_id", "line_no", F.concat(name, F.lit(" "), F.translate(_l(), string.ascii_lowercase, string.ascii_uppercase)).alias("value"))
+    return C.parse_librispeech_line(lines).select("doc_id", "line_no", "id", "text")
+
+
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + K3 + A15: every line written to a tab-separated manifest below the checkpoint folder, each third one twice
+    with a later text, and read back (two fields or an error, last line wins)."""
+    import uuid
+
+    from auralith.session import ensure_checkpoint_dir
+    from auralith.sources import readers as R
+
+    flat = F.regexp_replace(_l(), "[\\t\\r\\n\\x{0B}\\f\\x{85}\\x{2028}\\x{2029}]", " ")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("line_no").cast("string"))
+    later = F.when((F.col("doc_id") + F.col("line_no")) % 3 == 0, F.array(flat, F.concat(F.lit("again "), flat))).otherwise(F.array(flat))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    _utts(spark, sf_dir).select(F.explode(later).alias("t"), name.alias("n")).select(F.concat_ws("\t", "n", "t").alias("value")).write.text(path)
+    return R.read_manifest_tsv(spark, path).select("name", "transcription")
+
+
 def clean_giga(spark: SparkSession, sf_dir: str) -> DataFrame:
     _K, _L = _k(), _l()
     text_tn = (
@@ -161,7 +199,16 @@ _CV_TEXT = f"""CASE WHEN {_KS} % 4 = 0 THEN '"' || reference_raw || '"'
      ELSE reference_raw END"""
 _CV_CLIP = "'common_voice_' || doc_id || '_' || line_no"
 
+_LINE = f"FROM ({D.SQL_UTTERANCES}) u"
 SQL = {
+    "ami_lines": rf"""SELECT doc_id, line_no, id, text, 'train_' || lower(id) || '.wav' AS audio_filename, len(string_split(id, '_')) = 6 AS well_formed
+FROM (SELECT doc_id, line_no, 'AMI_ES' || doc_id || '_H00_MEE_' || lpad((line_no * 300)::VARCHAR, 7, '0') || '_' || lpad((line_no * 300 + 299)::VARCHAR, 7, '0')
+        || CASE WHEN (doc_id + line_no) % 17 = 0 THEN '_x' ELSE '' END AS id,
+        array_to_string(list_filter(regexp_split_to_array(reference_raw, '{S.WS}+'), lambda x: x <> ''), ' ') AS text {_LINE})""",
+    "librispeech_lines": f"""SELECT doc_id, line_no, source || '-' || doc_id || '-' || lpad(line_no::VARCHAR, 4, '0') AS id,
+       lower(reference_raw) AS text {_LINE}""",
+    "manifest_lines": rf"""SELECT 'doc_' || doc_id || '_' || line_no AS name, CASE WHEN (doc_id + line_no) % 3 = 0 THEN 'again ' ELSE '' END
+       || regexp_replace(reference_raw, '[\t\r\n\x0B\f\x{{85}}\x{{2028}}\x{{2029}}]', ' ', 'g') AS transcription {_LINE}""",
     "clean_ted": f"""WITH {_UTTS},
 s AS (SELECT doc_id, line_no, concat_ws(' ', 'talk' || doc_id, '1', source, (line_no * 3)::VARCHAR,
              (line_no * 3 + 2)::VARCHAR, '<o,f0,male>', {_TED_TRANSCRIPT}) AS value FROM u),

@@ -98,6 +98,23 @@ def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+LATIN, KANA = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+
+
+def japanese_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 + T4 (``ja`` branch) + A1/A2: every line rewritten in kana (a letter for a letter, ``。`` for a full stop), its
+    corrupted copy as hypothesis; one row per source language."""
+    kana = F.translate(F.lower(F.col("reference_raw")), LATIN + ".", KANA + "。")
+    utts = compute_once(D.utterances(table(spark, sf_dir, "documents")), reference_raw_ja=kana).drop("reference_raw")
+    utts = D.with_hypothesis(utts.withColumnRenamed("reference_raw_ja", "reference_raw"))
+    df = T.with_normalized(utts, F.lit("ja"), reference_norm="reference_raw", prediction_norm="prediction_raw")
+    df = M.with_pair_counts(M.drop_empty_references(df), "reference_norm", "prediction_norm", "norm")
+    return df.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_utterances"), F.sum("n_ref_chars_norm").alias("n_ref_chars"), F.sum("char_edits_norm").alias("char_edits"),
+        M.ratio_pct(F.col("char_edits_norm"), F.col("n_ref_chars_norm")).alias("cer_norm"),
+        M.ratio_pct(F.col("word_edits_norm"), F.col("n_ref_words_norm")).alias("wer_norm"))
+
+
 # ---- oracles ------------------------------------------------------------------------------------------------------
 def _sql_norm(x: str) -> str:
     # T4 (eval): en -> T2, ja -> T3, others -> T1
@@ -141,7 +158,22 @@ k AS (SELECT *, {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm
 {S.edit_distance_cte('e', 'k', 'a_norm', 'b_norm', 'd')}"""
 _KEEP = f"(length(reference_norm) > 0 AND prediction_norm IS NOT NULL AND len(a_norm) > 0 AND 100.0 * d < {WER_THRESHOLD} * len(a_norm))"
 
+def _ja(x: str) -> str:
+    return f"replace(replace({S.basic_normalize(x)}, ' ', ''), '。.', '。')"
+
+
 SQL = {
+    "japanese_metrics": f"""WITH u0 AS ({D.SQL_UTTERANCES}),
+u AS (SELECT * REPLACE (translate(lower(reference_raw), '{LATIN}.', '{KANA}。') AS reference_raw) FROM u0),
+h AS (SELECT *, {D.SQL_CORRUPT} AS prediction_raw FROM u),
+n AS (SELECT *, {_ja('reference_raw')} AS reference_norm, {_ja('prediction_raw')} AS prediction_norm FROM h),
+k AS (SELECT *, {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm')} AS b_norm,
+             {S.chars('reference_norm')} AS ca_norm, {S.chars('prediction_norm')} AS cb_norm FROM n WHERE length(reference_norm) > 0),
+{S.edit_distance_cte('e1', 'k', 'a_norm', 'b_norm', 'd_norm')},
+{S.edit_distance_cte('e2', 'e1', 'ca_norm', 'cb_norm', 'cd_norm')}
+SELECT lang, count(*) AS n_utterances, sum(len(ca_norm))::BIGINT AS n_ref_chars, sum(cd_norm)::BIGINT AS char_edits,
+       {_pct('cd_norm', 'len(ca_norm)')} AS cer_norm, {_pct('d_norm', 'len(a_norm)')} AS wer_norm
+FROM e2 GROUP BY lang""",
     "eval_metrics": f"""WITH {_sql_scored(_sql_norm)},
 k AS (SELECT *, {S.words('reference_raw')} AS a_raw, {S.words('prediction_raw')} AS b_raw,
                 {S.words('reference_norm')} AS a_norm, {S.words('prediction_norm')} AS b_norm,

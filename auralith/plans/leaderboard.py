@@ -73,6 +73,29 @@ def leaderboard_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.leaderboard(metric_dedup(spark, sf_dir), "wer_norm", dataset_labels())
 
 
+def leaderboard_of(metric: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return B.leaderboard(metric_dedup(spark, sf_dir), metric, dataset_labels())
+
+    return query
+
+
+def leaderboard_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.leaderboard_long(metric_dedup(spark, sf_dir))
+
+
+def sorted_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compacted log in display order (all rows, all metrics)."""
+    return B.sorted_log(metric_dedup(spark, sf_dir))
+
+
+def trial_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 ``time (all)`` as rows: every trial of every configuration but the warm-up one. A list per configuration would
+    gather a hot configuration in one row."""
+    return B.drop_first_trial(runtime_log(spark, sf_dir), ["model", "attention", "duration"], "ts", "event_id").select(
+        "model", "attention", "duration", "event_id", "time")
+
+
 def trial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     # times are in milliseconds resolution (value / 10 with two decimals): exact fixed-point statistics
     return B.trial_stats(runtime_log(spark, sf_dir), ["model", "attention", "duration"], "time", "ts", "event_id", decimals=3)
@@ -124,7 +147,7 @@ def _model_label_sql() -> str:
      ELSE {link} END"""
 
 
-def _pivot_sql() -> str:
+def _pivot_sql(metric: str = "wer_norm") -> str:
     pretty = ", ".join(f"('{k}', '{v}')" for k, v in B.PRETTY_DATASET_NAMES)
     key = ", ".join(f"'n{i}': {c} IS NULL, 'v{i}': {c}" for i, c in enumerate(B.SORT_KEYS))
     cells = ",\n  ".join(
@@ -134,7 +157,7 @@ def _pivot_sql() -> str:
 l AS (SELECT d.*, '[' || coalesce(p.pretty, d.dataset) || '](https://huggingface.co/datasets/' || d.dataset || ')'
                  || CASE WHEN dataset_config IS NOT NULL THEN ' (' || dataset_config || ')' ELSE '' END AS dataset_label,
              {_model_label_sql()} AS model_label,
-             round_even(wer_norm * 10, 0) / 10 AS v,
+             round_even({metric} * 10, 0) / 10 AS v,
              {{{key}, 'pos': file_pos}} AS k
       FROM d LEFT JOIN (VALUES {pretty}) p(dataset_key, pretty) ON d.dataset = p.dataset_key)
 SELECT model_label,
@@ -142,7 +165,26 @@ SELECT model_label,
 FROM l GROUP BY model_label"""
 
 
+def _long_sql() -> str:
+    rows = "\n  UNION ALL ".join(f"SELECT model_label, dataset_label, '{m}' AS metric, v AS value FROM p_{m} WHERE v IS NOT NULL" for m in B.METRICS)
+    key = ", ".join(f"{c} IS NULL, {c}" for c in B.SORT_KEYS)
+    pretty = ", ".join(f"('{k}', '{v}')" for k, v in B.PRETTY_DATASET_NAMES)
+    firsts = ",\n".join(f"""p_{m} AS (SELECT model_label, dataset_label, first(v ORDER BY {key}, file_pos) AS v
+      FROM (SELECT *, round_even({m} * 10, 0) / 10 AS v FROM l) WHERE v IS NOT NULL GROUP BY ALL)""" for m in B.METRICS)
+    return f"""WITH {_LOG},
+l AS (SELECT d.*, '[' || coalesce(p.pretty, d.dataset) || '](https://huggingface.co/datasets/' || d.dataset || ')'
+                 || CASE WHEN dataset_config IS NOT NULL THEN ' (' || dataset_config || ')' ELSE '' END AS dataset_label,
+             {_model_label_sql()} AS model_label FROM d LEFT JOIN (VALUES {pretty}) p(dataset_key, pretty) ON d.dataset = p.dataset_key),
+{firsts}
+{rows}"""
+
+
 SQL = {
+    **{f"leaderboard_{m}": _pivot_sql(m) for m in ("cer_raw", "wer_raw", "cer_norm")},
+    "leaderboard_long": _long_sql(),
+    "sorted_metric_log": f"""WITH {_LOG}
+SELECT *, row_number() OVER (ORDER BY {", ".join(f"{c} ASC NULLS LAST" for c in B.SORT_KEYS)}, file_pos) - 1 AS row_idx FROM d""",
+    "trial_times": f"WITH {_RUN} SELECT model, attention, duration, event_id, time FROM r",
     "metric_dedup": f"WITH {_LOG} SELECT * FROM d",
     "leaderboard_pivot": _pivot_sql(),
     "trial_stats": f"WITH {_RUN} SELECT * FROM st",

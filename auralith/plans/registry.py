@@ -32,6 +32,12 @@ QUERIES = {
     "split_semi": manifests.split_semi,
     "metric_dedup": leaderboard.metric_dedup,
     "leaderboard_pivot": leaderboard.leaderboard_pivot,
+    "leaderboard_cer_raw": leaderboard.leaderboard_of("cer_raw"),
+    "leaderboard_wer_raw": leaderboard.leaderboard_of("wer_raw"),
+    "leaderboard_cer_norm": leaderboard.leaderboard_of("cer_norm"),
+    "leaderboard_long": leaderboard.leaderboard_long,
+    "sorted_metric_log": leaderboard.sorted_metric_log,
+    "trial_times": leaderboard.trial_times,
     "trial_stats": leaderboard.trial_stats,
     "runtime_pivot": leaderboard.runtime_pivot,
     "optional_eq": leaderboard.optional_eq,
@@ -53,6 +59,11 @@ QUERIES = {
     "pseudo_label_scores": scoring.pseudo_label_scores,
     "cascade": scoring.cascade,
     "logmel": scoring.logmel,
+    "logmel_frames": scoring.logmel_frames,
+    "japanese_metrics": evaluation.japanese_metrics,
+    "ami_lines": cleaning.ami_lines,
+    "librispeech_lines": cleaning.librispeech_lines,
+    "manifest_lines": cleaning.manifest_lines,
     "incremental_ingest": streams.incremental_ingest,
     "stream_join": streams.stream_join,
     "stream_metrics": streams.stream_metrics,
