@@ -4,7 +4,7 @@
 reference's implicit row order). A plain ``row_number().over(Window.orderBy(...))`` moves every row into one task;
 here the table is range-partitioned on the order keys, rows are numbered inside each partition after a local sort,
 and a per-partition offset (one row per partition, so its size is bounded by the partition count) is added.
-The numbered table is written to the shared checkpoint directory first so the numbering cannot change when a lost
+The numbered rows (callers pass keys, not payloads) are written to the shared checkpoint directory first so the numbering cannot change when a lost
 executor's tasks are recomputed.
 """
 
@@ -27,12 +27,13 @@ def unit_draw(*parts: Column) -> Column:
 
 
 def dense_index(df: DataFrame, order: list[Column | str], name: str = "row_idx", partitions: int | None = None,
-                checkpoint: bool = True) -> DataFrame:
+                checkpoint: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``name`` = 0-based rank of each row in ``order`` (ties must not exist: include a unique key)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = ranged.drop(*drop)  # columns that only order need not be written
     local = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
         local = cut_lineage(local)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auralith.operators import ordering as O
 from auralith.plans.tables import table
+from auralith.session import cut_lineage
 
 NUM_CHUNKS = 10
 MERGE_WIDTH = 10
@@ -84,7 +85,7 @@ def _checkpoints(spark, sf_dir) -> DataFrame:
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delete list = every snapshot except the newest ``KEEP_NEWEST`` by numeric step (O3)."""
-    ck = _checkpoints(spark, sf_dir)
+    ck = cut_lineage(_checkpoints(spark, sf_dir))  # read for the threshold and for the list
     cutoff = O.top_n_threshold(ck, "step", KEEP_NEWEST)
     return ck.where(F.lit(cutoff).isNotNull() & (F.col("step") < F.lit(cutoff))) if cutoff is not None else ck.limit(0)
 
@@ -106,7 +107,7 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ValueError(f"shard plan: {label} has fewer than {PLAN_GROUPS} subsets")
         rows = df.select(F.col(key).alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EPOCHS - 1).cast("long"))).alias("epoch"))
         rows = rows.withColumn("k", O.seeded_key(F.col("member"), F.col("epoch"), F.lit(SEED)))
-        idx = O.dense_index(rows, ["epoch", "k", "member"])
+        idx = O.dense_index(rows, ["epoch", "k", "member"], drop=("k",))
         pos = F.col("row_idx") - F.col("epoch") * F.lit(n)
         out = idx.withColumn("slot", F.floor(pos / size).cast("long")).withColumn("rank_in_slot", (pos % size).cast("long"))
         return out.where(F.col("slot") < PLAN_GROUPS).select(F.lit(label).alias("side"), "epoch", "slot", "rank_in_slot", "member")
@@ -116,19 +117,19 @@ def shard_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ja.unionByName(en)
 
 
-def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seeded_shuffle(spark: SparkSession, sf_dir: str, epochs: int = EPOCHS) -> DataFrame:
     """Per-epoch reproducible permutation of customers, position = rank of md5(id:epoch:seed)."""
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member"))
     n = cust.count()
-    rows = cust.select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(EPOCHS - 1).cast("long"))).alias("epoch"))
+    rows = cust.select("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))).alias("epoch"))
     rows = rows.withColumn("k", O.seeded_key(F.col("member"), F.col("epoch"), F.lit(SEED)))
-    idx = O.dense_index(rows, ["epoch", "k", "member"])
+    idx = O.dense_index(rows, ["epoch", "k", "member"], drop=("k",))
     return idx.select("epoch", (F.col("row_idx") - F.col("epoch") * F.lit(n)).alias("position"), "member")
 
 
 def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Epoch-0 order of ``seeded_shuffle`` with the first ``SKIP_BATCHES`` batches of ``BATCH`` rows skipped."""
-    s = seeded_shuffle(spark, sf_dir).where(F.col("epoch") == 0)
+    s = seeded_shuffle(spark, sf_dir, epochs=1)
     b = F.floor(F.col("position") / BATCH).cast("long")
     return s.withColumn("batch_id", b).where(F.col("batch_id") >= SKIP_BATCHES).drop("epoch")
 
@@ -140,7 +141,7 @@ def paired_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def side(df: DataFrame, key: str, label: str) -> DataFrame:
         rows = df.select(F.col(key).alias("member")).withColumn("k", O.seeded_key(F.col("member"), F.lit(0), F.lit(SEED)))
-        idx = O.dense_index(rows, ["k", "member"])
+        idx = O.dense_index(rows, ["k", "member"], drop=("k",))
         return idx.select(F.lit(label).alias("side"), F.floor(F.col("row_idx") / half).cast("long").alias("batch_id"),
                           (F.col("row_idx") % half).alias("pos_in_batch"), "member")
 
