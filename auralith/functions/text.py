@@ -50,6 +50,9 @@ ANY_TAG_RE = "<[^>]*>"
 ASCII_ONLY_RE = "^[\\x{00}-\\x{7F}]*$"
 
 
+from auralith.functions.numbers import ANY_NUMBER_RE, spoken_numbers  # noqa: E402
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -332,11 +335,12 @@ def _english_rules(s: Column) -> Column:
 def english_normalize(c, spelling: dict[str, str] | None = None) -> Column:
     """T2 (documented subset): lower, drop bracketed/parenthesised words, fillers, apostrophe spacing, the
     contraction/title rules, commas between digits, periods not followed by digits, symbols and diacritics (keeping
-    ``.%$¢€£``), spelling map per word (pluggable; the word split also normalises whitespace), stray numeric
-    symbols, whitespace runs. Spelled-out number words are left as words (the number grammar is not built).
+    ``.%$¢€£``), spelled-out numbers (see ``numbers.py``), spelling map per word (pluggable; the word split also normalises
+    whitespace), stray numeric symbols, whitespace runs.
 
     The ~50 rule passes only run on strings where one combined pattern finds a candidate."""
-    return _english_end(remove_symbols_and_diacritics(_english_points(_english_spoken(_without_marked(c)))), spelling)
+    plain = remove_symbols_and_diacritics(_english_points(_english_spoken(_without_marked(c))))
+    return _english_end(_english_numbers(plain), spelling)
 
 
 def _english_spoken(s: Column) -> Column:
@@ -348,6 +352,10 @@ def _english_points(s: Column) -> Column:
     return F.regexp_replace(s, "\\.([^0-9]|$)", " $1")
 
 
+def _english_numbers(s: Column) -> Column:
+    return F.when(s.rlike(ANY_NUMBER_RE), spoken_numbers(s)).otherwise(s)
+
+
 def _english_end(s: Column, spelling: dict[str, str] | None = None) -> Column:
     if spelling:
         words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
@@ -376,15 +384,16 @@ def with_normalized(df: DataFrame, lang, stage: str = "eval", **sources: str) ->
     step("bare", "spoken", lambda s: F.when(english, _english_spoken(s)))
     step("spoken", "points", _english_points)
     step("points", "plain", remove_symbols_and_diacritics)
+    step("plain", "numbers", _english_numbers)
     step("bare", "nfkc", lambda s: F.when(~english, nfkc(s)))
 
     def final(n: str) -> Column:
         other = _basic_end(F.col(f"_{n}_nfkc"))
         if stage != "filter":
             other = F.when(lang == "ja", F.replace(F.replace(other, F.lit(" "), F.lit("")), F.lit("。."), F.lit("。"))).otherwise(other)
-        return F.when(english, _english_end(F.col(f"_{n}_plain"))).otherwise(other)
+        return F.when(english, _english_end(F.col(f"_{n}_numbers"))).otherwise(other)
 
     from auralith.operators.ordering import compute_once
 
     df = compute_once(df, **{n: final(n) for n in sources})
-    return df.drop(*[f"_{n}_{x}" for n in sources for x in ("bare", "spoken", "points", "plain", "nfkc")])
+    return df.drop(*[f"_{n}_{x}" for n in sources for x in ("bare", "spoken", "points", "plain", "numbers", "nfkc")])

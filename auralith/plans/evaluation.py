@@ -115,6 +115,39 @@ def japanese_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         M.ratio_pct(F.col("word_edits_norm"), F.col("n_ref_words_norm")).alias("wer_norm"))
 
 
+def _spelled(n):
+    """Number words of 0 .. 999,999, built by division (the way back from digits to words)."""
+    from auralith.functions import numbers as N
+
+    def pick(words: list[str], i):
+        return F.element_at(F.array(*[F.lit(w) for w in words]), i.cast("int"))
+
+    def below_hundred(x):
+        tens, ones = F.floor(x / 10), x % 10
+        return F.when(x < 10, pick(N.UNITS, F.greatest(ones, F.lit(1)))).when(x < 20, pick(N.TEENS, F.greatest(x - 9, F.lit(1)))).otherwise(
+            F.concat_ws(" ", pick(N.TENS, F.greatest(tens - 1, F.lit(1))), F.when(ones > 0, pick(N.UNITS, F.greatest(ones, F.lit(1))))))
+
+    def below_thousand(x):
+        hundreds, rest = F.floor(x / 100), x % 100
+        return F.concat_ws(" ", F.when(hundreds > 0, F.concat(pick(N.UNITS, F.greatest(hundreds, F.lit(1))), F.lit(" hundred"))),
+                           F.when((hundreds > 0) & (rest > 0), F.lit("and")), F.when(rest > 0, below_hundred(rest)))
+
+    thousands, rest = F.floor(n / 1000), n % 1000
+    return F.when(n == 0, F.lit("zero")).otherwise(F.concat_ws(
+        " ", F.when(thousands > 0, F.concat(below_thousand(thousands), F.lit(" thousand"))), F.when(rest > 0, below_thousand(rest))))
+
+
+def english_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 number words: a spelled-out number derived from each line's key, in four settings, normalised back to digits."""
+    utts = D.utterances(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    keyed = compute_once(utts.select("doc_id", "line_no"), n=(F.col("doc_id") * 7919 + F.col("line_no") * 104729) % 1000000)
+    spoken, k = _spelled(F.col("n")), (F.col("doc_id") + F.col("line_no")) % 4
+    line = (F.when(k == 0, F.concat(F.lit("Count "), spoken, F.lit(" of them"))).when(k == 1, F.concat(spoken, F.lit(" percent, nearly")))
+            .when(k == 2, F.concat(F.lit("it's "), spoken, F.lit(" dollars"))).otherwise(F.concat(F.lit("minus "), spoken, F.lit(" point "), _spelled(F.col("n") % 10))))
+    lines = compute_once(keyed, line=line).withColumn("lang", F.lit("en"))
+    return T.with_normalized(lines, "lang", text="line").select("doc_id", "line_no", "text")
+
+
 # ---- oracles ------------------------------------------------------------------------------------------------------
 def _sql_norm(x: str) -> str:
     # T4 (eval): en -> T2, ja -> T3, others -> T1
@@ -163,6 +196,9 @@ def _ja(x: str) -> str:
 
 
 SQL = {
+    "english_numbers": f"""SELECT doc_id, line_no, CASE (doc_id + line_no) % 4 WHEN 0 THEN 'count ' || n || ' of them'
+  WHEN 1 THEN n || '% nearly' WHEN 2 THEN 'it is $' || n ELSE '-' || n || '.' || n % 10 END AS text
+FROM (SELECT doc_id, line_no, (doc_id * 7919 + line_no * 104729) % 1000000 AS n FROM ({D.SQL_UTTERANCES}) u)""",
     "japanese_metrics": f"""WITH u0 AS ({D.SQL_UTTERANCES}),
 u AS (SELECT * REPLACE (translate(lower(reference_raw), '{LATIN}.', '{KANA}。') AS reference_raw) FROM u0),
 h AS (SELECT *, {D.SQL_CORRUPT} AS prediction_raw FROM u),

@@ -61,6 +61,7 @@ QUERIES = {
     "logmel": scoring.logmel,
     "logmel_frames": scoring.logmel_frames,
     "japanese_metrics": evaluation.japanese_metrics,
+    "english_numbers": evaluation.english_numbers,
     "ami_lines": cleaning.ami_lines,
     "librispeech_lines": cleaning.librispeech_lines,
     "manifest_lines": cleaning.manifest_lines,

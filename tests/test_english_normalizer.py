@@ -55,3 +55,17 @@ def test_english_matches_python(spark):
 def test_spelling_map(spark):
     df = spark.createDataFrame([("the colour grey",)], "s string")
     assert df.select(T.english_normalize(F.col("s"), {"colour": "color", "grey": "gray"}).alias("o")).first().o == "the color gray"
+
+
+def test_spoken_numbers_on_hand_worked_lines(spark):
+    from auralith.functions.numbers import spoken_numbers
+
+    cases = [("two thousand and five cats", "2005 cats"), ("nineteen eighty four", "1984"), ("one two three", "123"), ("twenty first century", "21st century"),
+             ("the nineties", "the 90s"), ("three point one four", "3.14"), ("5 million", "5000000"), ("minus five degrees", "-5 degrees"),
+             ("twenty percent of it", "20% of it"), ("five dollars and ten cents", "$5 and ¢10"), ("one hundred and one", "101"), ("hundred and", "100 and"),
+             ("three hundred forty two thousand six hundred and seven", "342607"), ("salt and pepper", "salt and pepper"), ("point taken", "point taken"),
+             ("zero point five", "0.5"), ("one million two hundred thousand", "1200000"), ("first", "1st"), ("one hundredth", "100th"), ("ten and two", "10 and 2"),
+             ("", ""), ("no  numbers", "no numbers"), ("20 percent", "20%"), ("twenty twenty", "2020"), ("fiftieth", "50th"), ("plus and minus", "plus and minus")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
+    got = {r.i: r.o for r in df.select("i", spoken_numbers(F.col("a")).alias("o")).collect()}
+    assert [got[i] for i in range(len(cases))] == [b for _, b in cases]
