@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19  # small enough for the arrays of a slice to stay near the processor
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -115,6 +115,6 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         at = stop
 
 
-def batches(frames: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(frames: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for frame in frames:
-        yield from slices(frame, column)
+        yield from slices(frame, column, limit)

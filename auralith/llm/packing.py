@@ -135,7 +135,7 @@ class _Encoder:
 
 def _cutter(path: str, end_id: int, capacity: int, with_ids: bool) -> Callable:
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in blocks.batches(frames):
+        for frame in blocks.batches(frames, limit=2 << 20):  # more words alike in a piece
             ids, begin = _Encoder.of(path, end_id).encode(frame.column("text"))
             docs, pieces, starts, lengths, sums, kept = [], [], [], [], [], []
             doc_ids = frame.column("doc").to_pylist()

@@ -35,7 +35,7 @@ from auralith.llm import blocks
 from auralith.llm.store import shuffle_partitions
 
 _ENTRY = "bucket int, doc long, hash binary, docs binary, at binary"
-_NO = np.zeros(0, np.uint64)
+PIECE_BYTES = 2 << 20  # larger pieces settle more where they are and send fewer rows
 
 
 def levels_of(window: int, first: int) -> list[int]:
@@ -137,7 +137,7 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
 
     def send(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for piece in blocks.batches(frames, "__text"):
+        for piece in blocks.batches(frames, "__text", PIECE_BYTES):
             ids = np.asarray(piece.column("__doc"), np.int64)
             words = blocks.scan(piece.column("__text"))
             verdicts = [_lists(piece.column(f"__v{i}"), np.uint64) for i in range(level)]
@@ -235,7 +235,7 @@ def _gather(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remover(names: list[str], text: str, window: int, schema: pa.Schema) -> Callable:
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        for piece in blocks.batches(frames, "__text"):
+        for piece in blocks.batches(frames, "__text", PIECE_BYTES):
             ids = np.asarray(pa.compute.fill_null(piece.column("__doc"), -1), np.int64)
             words = blocks.scan(piece.column("__text"))
             base, carry = _positions(words, ids, carry)
