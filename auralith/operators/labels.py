@@ -48,6 +48,21 @@ def timestamp_vocab(spark) -> DataFrame:
     )
 
 
+def decode_token_text(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, joiner: str = " ") -> DataFrame:
+    """T14 + T17: a text that is a printed id list (``[12 7 50257]``, commas allowed) becomes its tokens by ``vocab``
+    (token_id, token, special); special ids are dropped, an id that the vocabulary lacks fails the job, other texts stay
+    as they are. ``keys`` identify a row; a row's tokens meet again in one small group."""
+    printed = F.coalesce(F.col(text).rlike(r"^\s*\[[\d,\s]*\]\s*$"), F.lit(False))
+    ids = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d+)")), lambda x: x.cast("long"))
+    pieces = df.where(printed).select(*keys, F.posexplode(ids).alias("_p", "token_id"))
+    found = pieces.join(vocab.select("token_id", "token", "special"), "token_id", "left")
+    token = F.when(F.col("special").isNull(), F.raise_error(F.concat(F.lit("no token for id "), F.col("token_id").cast("string")))).when(~F.col("special"), F.col("token"))
+    packed = F.array_sort(F.collect_list(F.when(token.isNotNull(), F.struct(F.col("_p"), token.alias("token")))))
+    decoded = found.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda x: x["token"]), joiner).alias("_decoded"))
+    out = df.join(decoded, keys, "left")
+    return out.withColumn(text, F.when(printed, F.coalesce("_decoded", F.lit(""))).otherwise(F.col(text))).drop("_decoded")
+
+
 def _batch_stats(df: DataFrame, batch: str, labels: str, sot: int | None) -> DataFrame:
     aggs = [F.max(F.size(labels)).alias("_m")]
     if sot is not None:

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralith.functions import text as T
+from auralith.operators import labels as LO
 from auralith.operators import metrics as M
-from auralith.operators.ordering import compute_once
+from auralith.operators.ordering import compute_once, dense_index
 from auralith.plans import derived as D
 from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
@@ -85,6 +86,23 @@ def wer_keep_from(documents: DataFrame) -> DataFrame:
     return kept.select("doc_id", "line_no", "lang", "reference_raw", "prediction_raw")
 
 
+def wer_filter_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 with T14/T17: on every second line the hypothesis arrives as a printed id list between special ids. The
+    vocabulary is every word of the hypotheses, numbered in order, after 100 special ids."""
+    keys = ["doc_id", "line_no"]
+    utts = D.with_hypothesis(D.utterances(table(spark, sf_dir, "documents")))
+    words = utts.select(*keys, F.posexplode(F.split("prediction_raw", " ")).alias("p", "token"))
+    vocab = dense_index(words.select("token").distinct(), ["token"], name="i").select((F.col("i") + 100).alias("token_id"), "token", F.lit(False).alias("special"))
+    vocab = vocab.union(spark.range(100).select("id", F.concat(F.lit("<|"), F.col("id").cast("string"), F.lit("|>")), F.lit(True)))
+    ids = words.join(vocab, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "token_id"))).alias("ids"))
+    printed = F.concat(F.lit("[1 50 "), F.array_join(F.transform("ids", lambda x: x["token_id"].cast("string")), " "), F.lit(" 2]"))
+    mixed = utts.join(ids, keys).withColumn("prediction_raw", F.when((F.col("doc_id") + F.col("line_no")) % 2 == 0, printed).otherwise(F.col("prediction_raw")))
+    decoded = LO.decode_token_text(mixed.drop("ids"), keys, "prediction_raw", vocab)
+    df = T.with_normalized(decoded, "lang", stage="filter", reference_norm="reference_raw", prediction_norm="prediction_raw")
+    kept = M.wer_filter(df, "reference_norm", "prediction_norm", WER_THRESHOLD)
+    return kept.select("doc_id", "line_no", "lang", "reference_raw", "prediction_raw")
+
+
 def label_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: kept vs dropped per reason, per language. Duration = characters of the line standing in for samples
     (window 0 < n < 2000), label length = words of the hypothesis (at most 128)."""
@@ -244,3 +262,5 @@ SELECT lang, sum(len(a_norm))::BIGINT AS n_ref_chars, sum(d_norm)::BIGINT AS cha
        {_pct('d_raw', 'len(a_raw)')} AS cer_raw, {_pct('d_norm', 'len(a_norm)')} AS cer_norm
 FROM e2 GROUP BY lang""",
 }
+# the decoded hypotheses are the raw ones again, so the rows are those of wer_filter_keep
+SQL["wer_filter_token_ids"] = SQL["wer_filter_keep"]

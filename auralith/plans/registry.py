@@ -9,6 +9,7 @@ QUERIES = {
     "corpus_wer_by_lang": evaluation.corpus_wer_by_lang,
     "corpus_cer_by_lang": evaluation.corpus_cer_by_lang,
     "wer_filter_keep": evaluation.wer_filter_keep,
+    "wer_filter_token_ids": evaluation.wer_filter_token_ids,
     "label_qa_report": evaluation.label_qa_report,
     "clean_ted": cleaning.clean_ted,
     "clean_giga": cleaning.clean_giga,

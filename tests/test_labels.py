@@ -44,6 +44,16 @@ def test_prompt_keeps_repeated_rows_and_bridges_gaps(spark):
     assert got == {"a": rows[0][2], "b": [L.PREV, 11, *rows[1][2]], "c": [L.PREV, 11, *rows[2][2]], "d": [L.PREV, 21, *rows[3][2]], "e": rows[4][2]}
 
 
+def test_printed_ids_decode_by_vocabulary(spark):
+    vocab = spark.createDataFrame([(0, "<|s|>", True), (5, "a", False), (6, "", False), (7, "c", False)], "token_id long, token string, special boolean")
+    rows = [(1, "[0 5 6 7 0]"), (2, "[7, 5]"), (3, "plain [5]"), (4, "[]"), (5, None), (6, "[0]"), (7, "5 6")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {r.k: r.t for r in LO.decode_token_text(df, ["k"], "t", vocab).collect()}
+    assert got == {1: "a  c", 2: "c a", 3: "plain [5]", 4: "", 5: None, 6: "", 7: "5 6"}
+    with pytest.raises(Exception, match="no token for id 9"):
+        LO.decode_token_text(spark.createDataFrame([(1, "[9]")], "k long, t string"), ["k"], "t", vocab).collect()
+
+
 def test_prompt_mask_and_shift(spark):
     df = spark.createDataFrame([([9, 8, S, 1, 2],), ([5, 6, 7, 8],), ([S, 1, 2, 3],)], "t array<int>")
     got = [r.o for r in df.select(L.mask_prompt("t").alias("o")).collect()]
