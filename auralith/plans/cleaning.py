@@ -17,6 +17,7 @@ from auralith.operators.ordering import balance
 from auralith.plans import derived as D
 from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
+from auralith.sources import readers as R
 
 def _k():
     return F.col("doc_id") + F.col("line_no")
@@ -84,7 +85,6 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from auralith.session import ensure_checkpoint_dir
-    from auralith.sources import readers as R
 
     flat = F.regexp_replace(_l(), "[\\t\\r\\n\\x{0B}\\f\\x{85}\\x{2028}\\x{2029}]", " ")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("line_no").cast("string"))
@@ -94,6 +94,78 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_manifest_tsv(spark, path).select("name", "transcription")
 
 
+_FLAT = "[\\t\\r\\n\\x{0B}\\f\\x{85}\\x{2028}\\x{2029}|\"\\\\]"  # what a line-and-separator format cannot hold
+
+
+def _keyed(spark, sf_dir) -> DataFrame:
+    key = F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("line_no").cast("string"))
+    return _utts(spark, sf_dir).select(key.alias("key"), F.concat(F.lit("x "), F.regexp_replace(_l(), _FLAT, " ")).alias("t"), "line_no", "source")
+
+
+def _written_as(df: DataFrame, sep: str, quote: str | None = None) -> str:
+    """The rows as separated text files with a header, below the checkpoint folder."""
+    import uuid
+
+    from auralith.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/metadata-{uuid.uuid4().hex}"
+    options = {"sep": sep, "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} | ({"quote": quote} if quote is not None else {})
+    df.write.options(**options).csv(path)
+    return path
+
+
+def spgispeech_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipe-separated metadata, written and read back."""
+    rows = _keyed(spark, sf_dir).select(F.concat("key", F.lit(".wav")).alias("wav_filename"), (F.col("line_no") * 100).alias("wav_filesize"), F.col("t").alias("transcript"))
+    return R.read_spgispeech(spark, _written_as(rows, "|"))
+
+
+def voxpopuli_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tab-separated metadata, written and read back (text lower-cased)."""
+    rows = _keyed(spark, sf_dir).select(F.col("key").alias("id"), F.lit("raw").alias("raw_text"), F.col("t").alias("normalized_text"), F.col("source").alias("speaker_id"))
+    return R.read_voxpopuli_meta(spark, _written_as(rows, "\t"))
+
+
+def common_voice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated clips, every other path without its ending; columns that are not there come back empty."""
+    path = F.concat("key", F.when(F.col("line_no") % 2 == 0, F.lit(".mp3")).otherwise(F.lit("")))
+    rows = _keyed(spark, sf_dir).select(path.alias("path"), F.col("t").alias("sentence"), F.col("source").alias("accents"))
+    return R.read_common_voice(spark, _written_as(rows, "\t", ""), "clips").select("path", "sentence", "accent", "age")
+
+
+def gigaspeech_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-separated segments with times, written and read back."""
+    rows = _keyed(spark, sf_dir).select(F.col("key").alias("sid"), F.col("t").alias("text_tn"), (F.col("line_no") * 0.5).cast("double").alias("begin_time"),
+                                        (F.col("line_no") * 0.5 + 0.25).cast("double").alias("end_time"))
+    return R.read_gigaspeech(spark, _written_as(rows, ",")).drop("shard")
+
+
+def earnings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-separated sentences, written and read back."""
+    rows = _keyed(spark, sf_dir).select(F.concat("key", F.lit(".mp3")).alias("file"), F.col("t").alias("sentence"), F.col("source").alias("source_id"))
+    return R.read_earnings22(spark, _written_as(rows, ","))
+
+
+def routed_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S16 + P10: each config name goes to its loader, all give (id, text, dataset, audio_path), united; the texts of the
+    test split (here: lines 0 of ``ami``) are blank."""
+
+    def shaped(df: DataFrame, id_: str, text: str, path, name: str) -> DataFrame:
+        return df.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.lit(name).alias("dataset"), path.alias("audio_path"))
+
+    loaders = {
+        "spgispeech": lambda: shaped(spgispeech_rows(spark, sf_dir), "wav_filename", "transcript", F.col("wav_filename"), "spgispeech"),
+        "voxpopuli": lambda: shaped(voxpopuli_rows(spark, sf_dir), "id", "text", F.concat("id", F.lit(".ogg")), "voxpopuli"),
+        "common_voice": lambda: shaped(common_voice_rows(spark, sf_dir), "path", "sentence", F.col("path"), "common_voice"),
+        "gigaspeech": lambda: shaped(gigaspeech_rows(spark, sf_dir), "sid", "text_tn", F.lit(""), "gigaspeech"),
+        "earnings22": lambda: shaped(earnings_rows(spark, sf_dir), "file", "sentence", F.col("file"), "earnings22"),
+        "librispeech": lambda: shaped(librispeech_lines(spark, sf_dir), "id", "text", F.concat("id", F.lit(".flac")), "librispeech"),
+        "ami": lambda: shaped(ami_lines(spark, sf_dir).withColumn("text", F.when(F.col("line_no") == 0, F.lit("")).otherwise(F.col("text"))),
+                              "id", "text", F.col("audio_filename"), "ami"),
+    }
+    return R.route_corpus(loaders, list(loaders))
+
+
 def clean_giga(spark: SparkSession, sf_dir: str) -> DataFrame:
     _K, _L = _k(), _l()
     text_tn = (
@@ -199,6 +271,9 @@ _CV_TEXT = f"""CASE WHEN {_KS} % 4 = 0 THEN '"' || reference_raw || '"'
      ELSE reference_raw END"""
 _CV_CLIP = "'common_voice_' || doc_id || '_' || line_no"
 
+_KEYED = rf"""WITH f AS (SELECT source || '_' || doc_id || '_' || line_no AS k, line_no, source,
+  'x ' || regexp_replace(reference_raw, '[\t\r\n\x0B\f\x{{85}}\x{{2028}}\x{{2029}}|"\\]', ' ', 'g') AS t FROM ({D.SQL_UTTERANCES}) u)
+"""
 _LINE = f"FROM ({D.SQL_UTTERANCES}) u"
 SQL = {
     "ami_lines": rf"""SELECT doc_id, line_no, id, text, 'train_' || lower(id) || '.wav' AS audio_filename, len(string_split(id, '_')) = 6 AS well_formed
@@ -207,6 +282,12 @@ FROM (SELECT doc_id, line_no, 'AMI_ES' || doc_id || '_H00_MEE_' || lpad((line_no
         array_to_string(list_filter(regexp_split_to_array(reference_raw, '{S.WS}+'), lambda x: x <> ''), ' ') AS text {_LINE})""",
     "librispeech_lines": f"""SELECT doc_id, line_no, source || '-' || doc_id || '-' || lpad(line_no::VARCHAR, 4, '0') AS id,
        lower(reference_raw) AS text {_LINE}""",
+    **{name: _KEYED + sql for name, sql in {
+        "spgispeech_rows": "SELECT k || '.wav' AS wav_filename, line_no * 100 AS wav_filesize, t AS transcript FROM f",
+        "voxpopuli_rows": "SELECT k AS id, lower(t) AS text FROM f",
+        "common_voice_rows": "SELECT 'clips/' || k || '.mp3' AS path, t AS sentence, source AS accent, '' AS age FROM f",
+        "gigaspeech_rows": "SELECT k AS sid, t AS text_tn, line_no * 0.5::DOUBLE AS begin_time, line_no * 0.5::DOUBLE + 0.25 AS end_time FROM f",
+        "earnings_rows": "SELECT k || '.mp3' AS file, t AS sentence, source AS source_id FROM f"}.items()},
     "manifest_lines": rf"""SELECT 'doc_' || doc_id || '_' || line_no AS name, CASE WHEN (doc_id + line_no) % 3 = 0 THEN 'again ' ELSE '' END
        || regexp_replace(reference_raw, '[\t\r\n\x0B\f\x{{85}}\x{{2028}}\x{{2029}}]', ' ', 'g') AS transcription {_LINE}""",
     "clean_ted": f"""WITH {_UTTS},
@@ -240,3 +321,8 @@ FROM q WHERE length(t0) > 0""",
 SELECT page_id, has_markup, length(norm) AS norm_chars, len({S.words('norm')}) AS norm_words,
        sha256(norm) AS norm_sha256 FROM n""",
 }
+SQL["routed_corpora"] = " UNION ALL ".join(f"SELECT {i} AS id, {t} AS text, '{n}' AS dataset, {a} AS audio_path FROM ({SQL[q]})" for n, q, i, t, a in (
+    ("spgispeech", "spgispeech_rows", "wav_filename", "transcript", "wav_filename"), ("voxpopuli", "voxpopuli_rows", "id", "text", "id || '.ogg'"),
+    ("common_voice", "common_voice_rows", "path", "sentence", "path"), ("gigaspeech", "gigaspeech_rows", "sid", "text_tn", "''"),
+    ("earnings22", "earnings_rows", "file", "sentence", "file"), ("librispeech", "librispeech_lines", "id", "text", "id || '.flac'"),
+    ("ami", "ami_lines", "id", "CASE WHEN line_no = 0 THEN '' ELSE text END", "audio_filename")))

@@ -66,6 +66,12 @@ QUERIES = {
     "ami_lines": cleaning.ami_lines,
     "librispeech_lines": cleaning.librispeech_lines,
     "manifest_lines": cleaning.manifest_lines,
+    "spgispeech_rows": cleaning.spgispeech_rows,
+    "voxpopuli_rows": cleaning.voxpopuli_rows,
+    "common_voice_rows": cleaning.common_voice_rows,
+    "gigaspeech_rows": cleaning.gigaspeech_rows,
+    "earnings_rows": cleaning.earnings_rows,
+    "routed_corpora": cleaning.routed_corpora,
     "incremental_ingest": streams.incremental_ingest,
     "stream_join": streams.stream_join,
     "stream_metrics": streams.stream_metrics,

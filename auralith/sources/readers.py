@@ -131,11 +131,16 @@ def read_spgispeech(spark: SparkSession, path: str) -> DataFrame:
         "wav_filename STRING, wav_filesize LONG, transcript STRING").csv(path)
 
 
-def read_voxpopuli(spark: SparkSession, meta_path: str, shard_counts_json: str, lang: str, split: str) -> tuple[DataFrame, DataFrame]:
-    """TSV keyed by ``id`` (text lower-cased) plus the shard list from ``{lang: {split: n}}``."""
+def read_voxpopuli_meta(spark: SparkSession, meta_path: str) -> DataFrame:
+    """TSV keyed by ``id``, text lower-cased."""
     meta = spark.read.option("sep", "\t").option("header", "true").schema(
         "id STRING, raw_text STRING, normalized_text STRING, speaker_id STRING").csv(meta_path)
-    meta = meta.select("id", F.lower("normalized_text").alias("text"))
+    return meta.select("id", F.lower("normalized_text").alias("text"))
+
+
+def read_voxpopuli(spark: SparkSession, meta_path: str, shard_counts_json: str, lang: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """TSV keyed by ``id`` (text lower-cased) plus the shard list from ``{lang: {split: n}}``."""
+    meta = read_voxpopuli_meta(spark, meta_path)
     counts = spark.read.option("multiLine", "true").json(shard_counts_json)
     n = counts.select(F.col(f"`{lang}`.`{split}`").alias("n"))
     shards = n.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard_idx"))
