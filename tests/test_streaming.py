@@ -1,5 +1,7 @@
 """Streaming (R1-R3): several files -> several micro-batches; the result equals the batch computation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auralith.streaming import ingest as R
@@ -55,7 +57,7 @@ def test_queries_stream_tables_of_many_files(spark, tmp_path):
 
 
 def test_stream_resumes_after_the_last_batch(spark, tmp_path):
-    src, run = f"{tmp_path}/in/t.parquet", tmp_path.name
+    src, run = f"{tmp_path}/in/t.parquet", uuid.uuid4().hex
     spark.range(0, 10).coalesce(1).write.parquet(src)
     ingest = lambda: R.incremental_apply(spark, R.file_stream(spark, f"{tmp_path}/in", "t.parquet"), lambda b: b, "resume", run=run)
     assert ingest().count() == 10
