@@ -148,10 +148,10 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
             row = words.row[at]
             if final:
                 where = base[row] + at - words.first[row]
-                _, first, inverse = np.unique(best, return_index=True, return_inverse=True)
+                _, first = np.unique(best, return_index=True)
                 mine = np.zeros(len(best), bool)
                 mine[first] = True
-                late, docs, known = np.flatnonzero(~mine), ids[row], np.zeros(len(first), bool)
+                late, docs = np.flatnonzero(~mine), ids[row]
                 flags = list(_by_doc(docs[late], where[late]))
                 first = np.sort(first)
                 rows = list(_bucketed((key[first] % np.uint64(buckets)).astype(np.int32), best[first], docs[first], where[first]))
@@ -296,8 +296,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = T.StructType([T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                           T.StructField("kept_sha256", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.ArrayType(T.LongType())))])
     inner = T.StructType(rows.select(*names).schema.fields + extra.fields)
-    late = placed.sortWithinPartitions("__doc", "__order").select(*names, "__doc", "__text", "__late")
+    ordered = placed.sortWithinPartitions("__doc", "__order").select(*names, "__doc", "__text", "__late")
     nameless = rows.filter(marks["__doc"].isNull()).withColumns(marks).select(*names, "__doc", "__text", F.lit(None).cast("binary").alias("__late"))
-    out = late.union(nameless).mapInArrow(_remover(names, text_col, window, to_arrow_schema(inner)), inner)
+    out = ordered.union(nameless).mapInArrow(_remover(names, text_col, window, to_arrow_schema(inner)), inner)
     clash = [c for c in docs.columns if c not in extra.names]
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns) if c in clash], *extra.names)
