@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .text import jiwer_clean
+from .text import _bind, jiwer_clean
 
 _BMP_SLOTS = 0xD800 - 0x100  # code points 0x100..0xD7FF
 MAX_DISTINCT_WORDS = _BMP_SLOTS + 0x100000
@@ -45,12 +45,6 @@ def _hex4(n: Column) -> Column:
     return F.lpad(F.hex(n), 4, "0")
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable (Catalyst does not de-duplicate
-    expressions inside lambdas, so a vocabulary referenced from a per-word lambda would be rebuilt per word)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def encode_words(ws: Column, vocab: Column) -> Column:
     """One code point per word, by position of the word in ``vocab`` (``vocab`` should be a bound variable)."""
 

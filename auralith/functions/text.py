@@ -42,6 +42,8 @@ WS = (
     "[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 )
+ASCII_WS = "[\\t-\\r\\x{1C}-\\x{20}]"
+WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BRACKETS_RE = "[<\\[][^>\\]]*[>\\]]"
 PARENS_RE = "\\(([^)]+?)\\)"
 MSP_RE = "[\\p{M}\\p{S}\\p{P}]"
@@ -64,14 +66,27 @@ def nfkc(c) -> Column:
     return F.when(c.isNull() | c.rlike(ASCII_ONLY_RE), c).otherwise(composed)
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable (an expression that is named several times is
+    built again at every mention)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(c) -> Column:
     """Python ``str.strip()`` (Unicode whitespace), unlike ``trim`` which only removes spaces."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
+
+
+def _replace_ws(c, pattern: str) -> Column:
+    """Matches of ``pattern`` (with ``{WS}`` for a white-space character) become one space. ASCII strings, most of them,
+    take the small character class: the Unicode one is tested range by range at every character."""
+    return _bind(_c(c), lambda s: F.when(s.rlike(ASCII_ONLY_RE), F.regexp_replace(s, pattern.replace("{WS}", ASCII_WS), " "))
+                 .otherwise(F.regexp_replace(s, pattern.replace("{WS}", WS), " ")))
 
 
 def collapse_ws(c) -> Column:
     """``re.sub(r"\\s\\s+", " ", s)``: runs of two or more whitespace become one space; a single tab survives."""
-    return F.regexp_replace(_c(c), f"{WS}{WS}+", " ")
+    return _replace_ws(c, "{WS}{WS}+")
 
 
 def jiwer_clean(c) -> Column:
@@ -85,7 +100,7 @@ def _without_marked(c) -> Column:
 
 
 def _basic_end(s: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_replace(s, MSP_RE, " ")), f"{WS}+", " ")
+    return _replace_ws(F.lower(F.regexp_replace(s, MSP_RE, " ")), "{WS}+")
 
 
 def basic_normalize(c) -> Column:
@@ -360,12 +375,12 @@ def _english_end(s: Column, spelling: dict[str, str] | None = None) -> Column:
     if spelling:
         words = F.filter(F.split(strip_ws(s), f"{WS}+"), lambda w: w != "")
         m = F.create_map(*[F.lit(x) for kv in spelling.items() for x in kv])
-        s = F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(m, w), w)), " ")
-    else:  # " ".join(s.split()) without a mapping is exactly: strip, then whitespace runs -> one space
-        s = F.regexp_replace(strip_ws(s), f"{WS}+", " ")
-    s = F.regexp_replace(s, "[.$¢€£]([^0-9])", " $1")
-    s = F.regexp_replace(s, "([^0-9])%", "$1 ")
-    return F.regexp_replace(s, f"{WS}+", " ")
+        spaced = F.array_join(_bind(words, lambda ws: F.transform(ws, lambda w: F.coalesce(F.try_element_at(m, w), w))), " ")
+    else:  # " ".join(s.split()): white-space runs to one space, none at the ends
+        spaced = F.trim(_replace_ws(s, "{WS}+"))
+    # symbols that no digit follows (a percent sign: precedes); most lines have none
+    return _bind(spaced, lambda x: F.when(x.rlike("[.$¢€£%]"), F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(x, "[.$¢€£]([^0-9])", " $1"), "([^0-9])%", "$1 "), f"{WS}+", " ")).otherwise(x))
 
 
 def with_normalized(df: DataFrame, lang, stage: str = "eval", **sources: str) -> DataFrame:
