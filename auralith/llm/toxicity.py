@@ -189,12 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     return Model(weight, bias, prior)
 
 
-def _scorer(shared, names: list[str]) -> Callable:
+def _scorer(shared, names: list[str], text: str) -> Callable:
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
         wanted = weight != 0
-        for piece in blocks.batches(frames, "__text"):
-            row, feature = features(piece.column("__text"), wanted)
+        for piece in blocks.batches(frames, text):
+            row, feature = features(piece.column(text), wanted)
             margin = bias + np.bincount(row, weights=weight[feature], minlength=piece.num_rows)
             yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [pa.array(0.5 * (1 + np.tanh(0.5 * margin)))], [*names, "__score"])
 
@@ -206,10 +206,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
     from pyspark.sql import types as T
 
     carried = Carried(docs)
-    rows = carried.rows.withColumn("__text", carried.col(text_col).cast("string"))
+    text, rows = carried.name(text_col), carried.rows
     carried.only(docs.columns if columns is None else columns)
-    rows = rows.select(*carried.names, "__text")
+    if text not in carried.names or docs.schema[text_col].dataType != T.StringType():  # else the text is sent once
+        rows, text = rows.withColumn("__text", F.col(text).cast("string")), "__text"
+    rows = rows.select(*dict.fromkeys([*carried.names, text]))
     schema = T.StructType([*rows.select(*carried.names).schema.fields, T.StructField("__score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
-    out = rows.mapInArrow(_scorer(shared, carried.names), schema).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
+    out = rows.mapInArrow(_scorer(shared, carried.names, text), schema).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
     return carried.back(out, "score", "predicted")
