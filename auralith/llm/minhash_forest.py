@@ -9,8 +9,10 @@ Round 1 goes as deep into each region as it must: a region of more than ``CROWD`
 until its parts are small (or its values end). In each part the longest common neighbours are linked to a spanning
 forest by estimated similarity. A pair that survives the estimate is confirmed on the full sets. Round 2 takes the
 components of round 1 and, in every whole region that holds more than one, compares the sets of all pairs that lie in
-different components, so that nothing round 1 passed over (deep parting, forests) is lost; it sends on the links it
-finds, never the pairs it looks at, and they are confirmed like the others. Estimates cut a pair only ``CUT`` standard
+different components, so that nothing round 1 passed over (deep parting, forests, cuts between tasks) is lost. A region of
+more than ``BLOCK`` rows is dealt into blocks of about that many, large components into blocks of their own, and every two
+blocks meet in one task group unless both hold the same single component; a group returns the links it finds, never the
+pairs it looks at, and they are confirmed like the others. Estimates cut a pair only ``CUT`` standard
 deviations below the threshold. At similarity 0.85 two documents share a region of one of the 16 trees with probability over
 0.99999, at 0.8 over 0.9997.
 
@@ -35,7 +37,7 @@ from auralith.llm.columns import Carried
 from auralith.llm.graphs import components
 from auralith.llm.store import shuffle_partitions, stored
 
-TREES, DEPTH, ROOT, CROWD, CUT, PIECE = 16, 8, 4, 64, 4.5, 20_000
+TREES, DEPTH, ROOT, CROWD, CUT, PIECE, BLOCK = 16, 8, 4, 64, 4.5, 20_000, 2048
 _HASHES = TREES * DEPTH
 _draw = np.random.default_rng(811)
 _MUL = _draw.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,16 +133,19 @@ def _forest(rep: np.ndarray, low: np.ndarray, n: np.ndarray, rest: np.ndarray, p
             rows, best, to = np.delete(rows, k), np.delete(best, k), np.delete(to, k)
 
 
-def _crossing(rep: np.ndarray, low: np.ndarray, n: np.ndarray, group: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between different components, found by comparing the (32-bit) sets of every pair that the estimate leaves
-    possible; pairs that a link found here has already joined are passed over."""
+def _crossing(rep: np.ndarray, low: np.ndarray, n: np.ndarray, group: np.ndarray, block: np.ndarray, sets: list[np.ndarray],
+              percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components (and, where the rows are of two blocks, between these), found by comparing the
+    (32-bit) sets of every pair that the estimate leaves possible; pairs that a link found here has already joined are
+    passed over."""
+    within = bool((block == block[0]).all())
     groups, group, size = np.unique(group, return_inverse=True, return_counts=True)
     cut, into = least_estimate(percent), np.arange(len(groups))
     rank = np.empty(len(groups), np.int64)
     rank[np.lexsort((np.arange(len(groups)), size))] = np.arange(len(groups))  # the largest component is never the asking side
     flat, begin = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
     for i in np.flatnonzero(rank[group] < len(groups) - 1).tolist():
-        others = np.flatnonzero((rank[group] > rank[group[i]]) & (into[group] != into[group[i]]))
+        others = np.flatnonzero((rank[group] > rank[group[i]]) & (into[group] != into[group[i]]) & (within | (block != block[i])))
         others = others[_similar(low, n, i, others, percent) >= cut]
         if not len(others):
             continue
@@ -166,20 +171,27 @@ def _packer(width: int) -> Callable:
 
 
 def _walker(percent: int, crossing: bool) -> Callable:
-    """Pairs of one sorted run of (key, rest, rep, n, low[, component]); a region is a run of one key."""
+    """Pairs of sorted rows. Round 1: (key, rest, rep, n, low), a region is a run of one key. Round 2, ``crossing``: (key, lo, hi,
+    block, rep, n, low, component, packed), a run of one (key, lo, hi) is two blocks of a region (or one) and is never cut."""
+    names = ("key", "lo", "hi") if crossing else ("key",)
+
+    def differs(table: pa.Table, last: bool = False) -> np.ndarray:
+        """Where a row's run is not that of the row before it (of the last row, if asked for)."""
+        columns = [np.asarray(table.column(c), np.int64) for c in names]
+        return np.any([c != c[-1] if last else c[1:] != c[:-1] for c in columns], axis=0)
+
     def pairs_of(rows: pa.Table) -> list[tuple[int, int]]:
         rep, n = (np.asarray(rows.column(c), np.int64) for c in ("rep", "n"))
         low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(rep), _HASHES)
         if crossing:
             sets = [np.frombuffer(x, np.uint32) for x in rows.column("packed").to_pylist()]
-            return list(_crossing(rep, low, n, np.asarray(rows.column("component"), np.int64), sets, percent))
+            return list(_crossing(rep, low, n, *(np.asarray(rows.column(c), np.int64) for c in ("component", "block")), sets, percent))
         rest = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8).reshape(len(rep), DEPTH - ROOT)
         return list(_forest(rep, low, n, rest, percent))
 
     def walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.asarray(table.column("key"), np.int64)
-            edges = [0, *(1 + np.flatnonzero(keys[1:] != keys[:-1])).tolist(), len(keys)]
+            edges = [0, *(1 + np.flatnonzero(differs(table))).tolist(), table.num_rows]
             found = [p for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for p in pairs_of(table.slice(a, b - a))]
             a = np.array([min(p) for p in found], np.int64)
             b = np.array([max(p) for p in found], np.int64)
@@ -188,11 +200,12 @@ def _walker(percent: int, crossing: bool) -> Callable:
         held: pa.Table | None = None
         for frame in frames:
             held = pa.Table.from_batches([frame]) if held is None else pa.concat_tables([held, pa.Table.from_batches([frame])])
-            keys = np.asarray(held.column("key"), np.int64)
-            same = np.flatnonzero(keys != keys[-1])
+            if not held.num_rows:
+                continue
+            same = np.flatnonzero(differs(held, last=True))
             last = int(same[-1]) + 1 if len(same) else 0  # the last region may go on
-            if len(keys) - last > PIECE:
-                last = len(keys)
+            if not crossing and held.num_rows - last > PIECE:
+                last = held.num_rows  # round 2 sees the region whole
             if last:
                 yield from out(held.slice(0, last))
                 held = held.slice(last)
@@ -202,6 +215,29 @@ def _walker(percent: int, crossing: bool) -> Callable:
     return walk
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, size of the region, rep, component, ...) with the task groups (key, lo, hi) each goes to, and its
+    ``block``. Components of ``BLOCK`` rows or more have blocks of their own (``own``); all others of a region share blocks."""
+    one = F.lit(0).cast("long")
+    whole = rows.filter(F.col("size") <= BLOCK).drop("size").withColumns({"block": one, "lo": one, "hi": one})
+    wide = rows.filter(F.col("size") > BLOCK).drop("size")
+    cells = wide.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("component"))).groupBy("key", "own").agg(
+        F.ceil(F.sum("c") / F.lit(float(BLOCK))).cast("long").alias("blocks"))
+    cells = stored(cells.withColumn("first", F.sum("blocks").over(Window.partitionBy("key").orderBy("own")) - F.col("blocks")), "blocks")
+    large = cells.filter("own is not null").select("key", F.col("own").alias("component"), F.col("first").alias("at"), F.col("blocks").alias("many"))
+    small = cells.filter("own is null").select("key", "first", "blocks")
+    wide = wide.join(large, ["key", "component"], "left").join(small, "key", "left")
+    wide = wide.withColumns({"at": F.coalesce("at", "first"), "many": F.coalesce("many", "blocks")})
+    wide = wide.withColumn("block", F.col("at") + F.pmod(F.xxhash64("rep"), "many")).drop("at", "many", "first", "blocks")
+    block = cells.select("key", "own", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))
+    a, b = (block.select("key", F.col("own").alias(f"own_{x}"), F.col("block").alias(x)) for x in ("lo", "hi"))
+    meet = a.join(b, "key").filter("lo <= hi and (own_lo is null or own_hi is null or own_lo <> own_hi)").select("key", "lo", "hi")
+    sides = meet.withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    wide = wide.join(sides, ["key", "block"])
+    return whole.unionByName(wide)
+
+
 def _confirmer(percent: int, width: int) -> Callable:
     def confirm(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -242,20 +278,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(source.join(shared.select(F.col("rep").alias("doc")).distinct().hint("merge"), "doc", "left_semi"), "texts")
     ordered = ["key", "rest", "rep"]
 
-    def walked(rows: DataFrame, crossing: bool) -> DataFrame:
-        rows = rows.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered)
-        return rows.mapInArrow(_walker(percent, crossing), "a long, b long").filter("a < b")
-
-    votes = walked(shared, False).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    walked = shared.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered).mapInArrow(_walker(percent, False), "a long, b long")
+    votes = walked.filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
     first = stored(_confirmed(votes.withColumn("r", rank).filter("r <= 2").select("a", "b"), texts, percent, width), "links")
     groups = components(first)
     marked = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_regions = marked.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    marked = marked.join(open_regions, "key")
+    open_regions = marked.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"))
+    marked = stored(marked.drop("rest").join(open_regions.filter("least < most").select("key", "size"), "key"), "open")
     packed = texts.join(marked.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(_packer(width), "rep long, packed binary")
-    marked = stored(marked.join(packed.dropDuplicates(["rep"]), "rep").select("key", "rest", "rep", "n", "low", "component", "packed"), "open")
-    second = stored(_confirmed(walked(marked, True).distinct(), texts, percent, width), "links")
+    met = _dealt(marked).join(packed.dropDuplicates(["rep"]), "rep").repartition(parts, "key", "lo", "hi")
+    met = met.sortWithinPartitions("key", "lo", "hi", "rep").mapInArrow(_walker(percent, True), "a long, b long").filter("a < b")
+    second = stored(_confirmed(met.distinct(), texts, percent, width), "links")
     groups = components(first.union(second)) if second.head(1) else groups
     named = sets.select("digest", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     facts = signed.select("doc", "n", "digest").join(named.select("digest", "n", F.coalesce("component", "rep").alias("component")), ["digest", "n"], "left")

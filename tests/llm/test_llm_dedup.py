@@ -121,6 +121,28 @@ def test_minhash_round_two_keeps_links_of_crowded_regions(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_minhash_round_two_sees_regions_whole_that_tasks_and_blocks_cut(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "CROWD", 2)  # round 1 passes most pairs over
+    monkeypatch.setattr(minhash_forest, "PIECE", 2)  # and cuts regions every few rows
+    monkeypatch.setattr(minhash_forest, "BLOCK", 5, raising=False)
+    monkeypatch.setattr(minhash_forest, "shuffle_partitions", lambda spark: 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    base, rng, rows = words_of(19, 364, 30000), random.Random(14), []
+    for i in range(80):  # a common text with four words changed; only texts i and 40 + i have two changes in common
+        words = list(base)
+        for k in range(4):
+            shared = random.Random(f"{i % 40} {k}") if k < 2 else rng
+            words[shared.randrange(len(words))] = f"n{shared.random()}"
+        rows.append((i, " ".join(words)))
+    try:
+        got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=85).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sets = {i: sets_of(t) for i, t in rows}
+    want = components_by_brute_force(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
+    assert len(set(want.values())) > 30 and got == want
+
+
 def test_minhash_edges(spark):
     rows = [(3, "a b c d e f g", 1.5), (3, "a b c d e f g", 2.5), (None, "a b c d e f g", 0.5), (9, "A b C d e f g", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept double")
