@@ -24,11 +24,14 @@ def manifest_join(members: DataFrame, manifest: DataFrame, key: str) -> DataFram
 
 
 def orphans(members: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """Keys present on one side only, tagged with the side they are on (one scan and one shuffle of each side)."""
-    both = members.select(key, F.lit(True).alias("_m")).unionByName(manifest.select(key, F.lit(False).alias("_m"))).filter(F.col(key).isNotNull())
+    """Keys present on one side only, tagged with the side they are on (one scan and one shuffle of each side). A null
+    key matches nothing, so it is reported once for each side that has it."""
+    both = members.select(key, F.lit(True).alias("_m")).unionByName(manifest.select(key, F.lit(False).alias("_m")))
     sides = both.groupBy(key).agg(F.bool_or("_m").alias("_any"), F.bool_and("_m").alias("_all"))
-    side = F.when(F.col("_all"), F.lit("member_without_transcript")).otherwise(F.lit("transcript_without_member"))
-    return sides.filter(F.col("_all") | ~F.col("_any")).select(key, side.alias("side"))
+    alone = F.col(key).isNull()
+    member = F.when(F.col("_any") & (F.col("_all") | alone), F.lit("member_without_transcript"))
+    transcript = F.when(~F.col("_all") & (~F.col("_any") | alone), F.lit("transcript_without_member"))
+    return sides.select(key, F.explode(F.array_compact(F.array(member, transcript))).alias("side"))
 
 
 def strict_lookup(df: DataFrame, dim: DataFrame, key: str, dim_cols: list[str], what: str = "lookup") -> DataFrame:

@@ -69,3 +69,16 @@ def test_profile_report(spark):
     rep = json.loads(PR.to_report(flat, "ds").first().report)
     assert rep["audio"]["duration"] == {"mean": 1.5, "max": 2.0, "min": 1.0}
     assert rep["transcription"]["token_length"]["max"] == 2 and rep["total_data_size"] == 2
+
+
+def test_orphans_reports_null_keys_once_for_each_side(spark):
+    from auralith.operators import joins as J
+
+    def sides(left, right):
+        members, manifest = (spark.createDataFrame([(k,) for k in keys], "name string") for keys in (left, right))
+        return sorted((str(r.name), r.side) for r in J.orphans(members, manifest, "name").collect())
+
+    member, transcript = "member_without_transcript", "transcript_without_member"
+    assert sides(["a", "b", "b", None, None], ["a", "c", None]) == [("None", member), ("None", transcript), ("b", member), ("c", transcript)]
+    assert sides(["a", None], ["a"]) == [("None", member)]
+    assert sides(["a"], ["a", None, None]) == [("None", transcript)]
