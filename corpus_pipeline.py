@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its place in a sequence of at most 4096 tokens."""
-    return packing.pack(packing.pieces(docs, tokenizer_path()))
+    """One row per piece of a document: its place in a sequence of at most 4096 tokens, and its token ids."""
+    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True))
 
 
 STAGES = [

@@ -1,7 +1,9 @@
 """The pipeline's stages on planted cases, and the whole run."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -80,6 +82,17 @@ def test_mix_and_packing_stages(spark):
     assert max(bins.values()) <= 4096
 
 
+def test_packing_stage_carries_the_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(i, " ".join(prose(i, n)), "s") for i, n in enumerate((3, 40, 9000))] + [(7, None, "s")]
+    tokenizer, got = Tokenizer.from_file(pipeline.tokenizer_path()), {}
+    for r in sorted(pipeline.pack(spark, documents(spark, rows), SF).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for d, t, _ in rows}
+
+
 def test_whole_pipeline_equals_its_stages(spark):
     out = pipeline.run(spark, SF)
     rows = out.collect()
