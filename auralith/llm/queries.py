@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from auralith.llm import brown_lm, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
+from auralith.llm import brown_lm, doc_sketch, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
 from auralith.plans.tables import table
 
 
@@ -77,6 +77,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = doc_sketch.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = [doc_sketch.fingerprint(F.col(c)).alias(n) for c, n in (("sketch", "fingerprint"), ("edited_sketch", "edited_fingerprint"))]
+    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *kept, "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_brown_lm_scoring": op2_brown_lm_scoring,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op12_document_sketch": op12_document_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op6_embedding_dedup": embed_dedup.SQL,
     "op7_warc_bundles": warc.SQL,
+    "op12_document_sketch": doc_sketch.SQL,
 }
