@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from auralith.llm import brown_lm, doc_sketch, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
+from auralith.llm import brown_lm, conversation_repair, doc_sketch, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
 from auralith.plans.tables import table
 
 
@@ -83,6 +83,11 @@ def op12_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *kept, "near_edited", "near_next")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversation_repair.damaged(rows), every=rows)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_brown_lm_scoring": op2_brown_lm_scoring,
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op12_document_sketch": op12_document_sketch,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +109,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": embed_dedup.SQL,
     "op7_warc_bundles": warc.SQL,
     "op12_document_sketch": doc_sketch.SQL,
+    "op13_conversation_repair": conversation_repair.SQL,
 }
