@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from auralith.llm import brown_lm, conversation_repair, doc_sketch, embed_dedup, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
+from auralith.llm import brown_lm, conversation_repair, doc_sketch, embed_dedup, hard_negatives, language_id, minhash_forest, mixing, packing, substring_dedup, topk, toxicity, warc
 from auralith.plans.tables import table
 
 
@@ -77,6 +77,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.scaled(F.col("embedding"), 256).alias("v"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def op12_document_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_sketch.compare_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = [doc_sketch.fingerprint(F.col(c)).alias(n) for c, n in (("sketch", "fingerprint"), ("edited_sketch", "edited_fingerprint"))]
@@ -99,6 +106,7 @@ QUERIES = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_document_sketch": op12_document_sketch,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -108,6 +116,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mixing": mixing.SQL,
     "op6_embedding_dedup": embed_dedup.SQL,
     "op7_warc_bundles": warc.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op12_document_sketch": doc_sketch.SQL,
     "op13_conversation_repair": conversation_repair.SQL,
 }
