@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralith.llm import blocks
-from auralith.llm.store import stored
+from auralith.llm.store import shuffle_partitions, stored
 
 CAPACITY = 4096
 _LETTER = np.zeros(256, bool)
@@ -216,18 +216,36 @@ def _packer(capacity: int, open_bins: int) -> Callable:
     return pack
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = 2048, group_pieces: int = 200_000, wave_pieces: int = 6000) -> DataFrame:
-    """``cut`` (rows of ``pieces``) with ``sequence_id`` and ``offset``. The pieces are stored once, so their number and
-    their groups stay the same whatever task is lost."""
-    cut = stored(cut, "pieces")
-    groups = max(1, -(-cut.count() // group_pieces))
+def groups_of(pieces: int, group_pieces: int) -> int:
+    return max(1, -(-pieces // group_pieces))
+
+
+def dealt(keys: DataFrame, groups: int, waves: int) -> DataFrame:
+    """``keys`` (rows of ``pieces`` with a unique ``row``) with their ``group``: partition g holds group g alone, in waves from
+    long to short."""
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    waves = max(1, -(-group_pieces // wave_pieces))
     wave = F.pmod(F.xxhash64(key), F.lit(waves))
-    dealt = cut.select(F.pmod(key, F.lit(groups)).alias("group"), "*", wave.alias("wave"), key.alias("order"))
-    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "wave", F.desc("length"), "order", "doc_id", "piece")
-    dealt = dealt.drop("wave", "order")
+    rows = keys.select(F.pmod(key, F.lit(groups)).cast("int").alias("group"), "*", wave.alias("wave"), key.alias("order"))
+    rows = rows.repartitionById(groups, F.col("group"))  # by number: a hash would put several groups into one partition
+    return rows.sortWithinPartitions("group", "wave", F.desc("length"), "order", "doc_id", "piece", "row").drop("wave", "order")
+
+
+def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = 2048, group_pieces: int = 200_000, wave_pieces: int = 6000,
+         task_bytes: int = 64 << 20) -> DataFrame:
+    """``cut`` (rows of ``pieces``) with ``sequence_id`` and ``offset``. The pieces are stored once, so their number and
+    their groups stay the same whatever task is lost. Only keys and lengths travel through the packing; ids, if there are
+    any, are joined to their places in tasks of about ``task_bytes`` of ids."""
     from pyspark.sql import types as T
 
-    schema = T.StructType(cut.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.mapInArrow(_packer(capacity, open_bins), schema)
+    with_ids = "ids" in cut.columns
+    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    count, ids = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    keys = cut.drop("ids")
+    schema = T.StructType(keys.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = dealt(keys, groups_of(count, group_pieces), max(1, -(-group_pieces // wave_pieces)))
+    placed = placed.mapInArrow(_packer(capacity, open_bins), schema)
+    if not with_ids:
+        return placed.drop("row")
+    tasks = max(shuffle_partitions(cut.sparkSession), -(-4 * ids // task_bytes))
+    places = placed.select("row", "sequence_id", "offset").repartition(tasks, "row")
+    return cut.repartition(tasks, "row").hint("merge").join(places, "row").drop("row")

@@ -77,6 +77,54 @@ def test_packing_is_gapless_tight_and_repeatable(spark):
     assert packing.pack(cut.limit(0)).count() == 0
 
 
+def naive_best_fit(lengths, capacity, limit):
+    """Bins and offsets by looking at every open bin."""
+    free, out, made = {}, [], 0
+    for length in lengths:
+        fitting = [(f, -b) for b, f in free.items() if f >= length]
+        if fitting:
+            space = min(fitting)[0]
+            number = max((b for b, f in free.items() if f == space), key=lambda b: stamp[b])
+        else:
+            if length < capacity and len(free) >= limit:
+                space = min(free.values())
+                del free[max((b for b, f in free.items() if f == space), key=lambda b: stamp[b])]
+            number, free[made], made = made, capacity, made + 1
+        out.append((number, capacity - free[number]))
+        stamp[number] = len(out)
+        free[number] -= length
+        if not free[number]:
+            del free[number]
+    return out
+
+
+stamp: dict[int, int] = {}
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40])
+def test_open_bins_equal_a_naive_replay(limit):
+    rng = np.random.default_rng(limit)
+    lengths = np.minimum(100, rng.lognormal(3, 0.9, 3000).astype(int) + 1).tolist()
+    stamp.clear()
+    bins = packing.OpenBins(100, limit)
+    assert [bins.put(n) for n in lengths] == naive_best_fit(lengths, 100, limit)
+
+
+def test_every_group_has_a_partition_of_its_own(spark):
+    keys = spark.range(4000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "id % 90 + 1 AS length", "id AS ids_crc32", "id AS row")
+    for groups in (1, 2, 8, 40):
+        parts = packing.dealt(keys, groups, 3).selectExpr("spark_partition_id() AS p", "group").distinct().collect()
+        assert sorted((r.p, r.group) for r in parts) == [(g, g) for g in range(groups)]
+
+
+def test_ids_come_back_to_their_places(spark):
+    rows = [(i % 50, 0, 0, 2, i % 50, struct.pack("<2I", i % 50, 1)) for i in range(900)]  # ids and pieces repeat
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    got = packing.pack(cut, capacity=16, group_pieces=300, task_bytes=1000).collect()
+    assert check_packed(got, 16) <= 115 and sorted(bytes(r.ids) for r in got) == sorted(r[5] for r in rows)
+    assert all(struct.unpack("<2I", r.ids)[0] == r.doc_id for r in got)
+
+
 def test_open_bins_best_fit_and_limit():
     bins = packing.OpenBins(10, 2)
     assert bins.put(6) == (0, 0)  # 4 free
