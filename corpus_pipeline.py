@@ -23,13 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more); of
-    rows that repeat its id, one."""
-    kept = minhash_forest.near_duplicates(docs, percent=80).filter("kept").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    """The document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more). Rows
+    of a null id, or of an id that several rows have, are documents of their own: they are linked by a key of id and
+    text and come before the others of their group; of rows with the same id and text one stays, but all that
+    have no word."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"), F.lit(True).alias("shared"))
     if not repeated.head(1):
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return minhash_forest.near_duplicates(docs, percent=80).filter("kept").select(*docs.columns)
+    key = -F.shiftrightunsigned(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"), 1) - 1
+    named = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("again")), "left").drop("again")
+    named = stored(named.withColumn("link", F.when(F.col("shared"), key).otherwise(F.col("doc_id"))), "near-duplicates")
+    kept = minhash_forest.near_duplicates(named, id_col="link", percent=80).filter("kept")
+    once = kept.filter("shared and n_shingles > 0").dropDuplicates(["link"])
+    return kept.filter("shared is null or n_shingles = 0").unionByName(once).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
