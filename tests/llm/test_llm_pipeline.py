@@ -56,6 +56,31 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted([*map(str, range(30)), "300", "301", "None"])
 
 
+def test_near_duplicate_stage_keeps_unrelated_rows_of_one_id_and_drops_copies_without_ids(spark):
+    texts = [" ".join(prose(i, 60)) for i in range(8)]
+    rows = [(1, texts[0], "s"), (1, texts[1], "t"), (1, texts[2], "s"), (2, texts[1], "s"), (3, texts[3], "s"), (3, texts[3], "s"),
+            (None, texts[4], "s"), (None, texts[4], "t"), (None, texts[5], "s"), (9, texts[5], "s"), (None, None, "s"), (None, None, "s"),
+            (7, "", "s"), (7, " ", "s"), (8, texts[6], "s")]
+    out = pipeline.drop_near_duplicates(spark, documents(spark, rows), SF).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in out) == sorted(str(x) for x in [
+        (1, texts[0]), (1, texts[1]), (1, texts[2]), (3, texts[3]), (None, texts[4]), (None, texts[5]), (None, None), (None, None),
+        (7, ""), (7, " "), (8, texts[6])])
+
+
+def test_toxicity_stage_scores_rows_of_a_repeated_id_by_their_own_texts(spark, tmp_path):
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(i, 40)
+        if i % 5 == 0:
+            words[3] = words[9] = words[20] = "scoundrelous"
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(i % 5 == 0)))
+    rows += [(1, " ".join(["scoundrelous", *prose(900, 30), "scoundrelous"]), "s"), (1, None, "s"), (None, " ".join(prose(901, 30)), "s")]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [(r.doc_id, r.text) for r in pipeline.drop_toxic(spark, documents(spark, rows), str(tmp_path)).collect()]
+    assert {(1, rows[1][1]), (1, None), (None, rows[-1][1])} <= set(out) and (1, rows[400][1]) not in out
+
+
 def test_substring_stage_cuts_long_passages_only(spark):
     passage, short = prose(77, 60), prose(78, 30)
     rows = [(i, "\n".join([" ".join(prose(i, 20)), " ".join(passage if i < 3 else short)]), "s") for i in range(6)] + [(9, None, "s")]
