@@ -67,6 +67,15 @@ def fingerprint(kept: Column) -> Column:
     return F.array_join(kept, "")
 
 
+def packed(kept: Column) -> Column:
+    """A sketch as eight bytes a hash, for shuffles."""
+    return F.unhex(fingerprint(kept))
+
+
+def unpacked(raw: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(raw)), F.lit("[0-9a-f]{16}"), F.lit(0))
+
+
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, fraction: float = FRACTION) -> DataFrame:
     """One row per document: its ``text``, ``sketch``, the ``edited`` text (its last half replaced by the first half of
     the next document in descending order of ids; the first follows the last), its ``edited_sketch``, and the likenesses
@@ -88,10 +97,10 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     after = texts.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("text").alias("n_text"))
     after = pairs.hint("merge").join(after, [f"n_{c}" for c in key])
     half = F.floor(F.col("n") / 2).cast("int")
-    after = after.select(*key, "n", "times", F.substring("n_text", F.lit(1), half).alias("head"), sketch(F.col("n_text"), width, fraction).alias("n_sketch"))
+    after = after.select(*key, "n", "times", F.substring("n_text", F.lit(1), half).alias("head"), packed(sketch(F.col("n_text"), width, fraction)).alias("n_sketch"))
     both = texts.hint("merge").join(after, key)
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.col("head"))
-    both = both.select("void", "id", "n", "times", "text", "n_sketch", edited.alias("edited"))
+    both = both.select("void", "id", "n", "times", "text", unpacked(F.col("n_sketch")).alias("n_sketch"), edited.alias("edited"))
     both = both.withColumns({"sketch": sketch(F.col("text"), width, fraction), "edited_sketch": sketch(F.col("edited"), width, fraction)})
     return both.select(
         F.when(~F.col("void"), F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_chars"), "text", "sketch", "edited", "edited_sketch",
