@@ -48,6 +48,9 @@ QUERIES = {
     "packed_labels": labelling.packed_labels,
     "fill_timestamps": timing.fill_timestamps,
     "regroup_segments": timing.regroup_segments,
+    "long_recording_overlap": timing.long_recording_overlap,
+    "long_recording_regroup": timing.long_recording_regroup,
+    "long_recording_lookahead": timing.long_recording_lookahead,
     "silence_overlap": timing.silence_overlap,
     "lookahead_times": timing.lookahead_times,
     "median_durations": timing.median_durations,

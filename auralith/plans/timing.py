@@ -1,7 +1,6 @@
 """Timestamp/segment queries over ``events``: gap fill (W6/A12/W11), regrouping (W10), silence overlap.
 
-An audio is 32 consecutive events (``audio_id = event_id // 32``, ``pos = event_id % 32``), so every per-audio step is a
-bounded group. Times are integer milliseconds from the audio's first event (``start``) plus ``value * 100`` ms
+An audio is 32 consecutive events (``audio_id = event_id // 32``, ``pos = event_id % 32``). Times are integer milliseconds from the audio's first event (``start``) plus ``value * 100`` ms
 (``end``), as doubles in seconds; for W6, ``start`` is missing when ``event_id % 5 = 0`` and ``end`` when
 ``event_id % 7 = 0``; an audio lasts one second past its last end. Words are the event types, with a full stop on
 every fourth event.
@@ -17,6 +16,7 @@ from auralith.plans.tables import table
 
 AUDIO_SIZE = 32
 MAX_GAP = 10.0
+EPOCH_2024_US = 1_704_067_200_000_000
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -57,8 +57,8 @@ def _holed(spark, sf_dir) -> DataFrame:
 
 def lookahead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11 on the holed parts: the time of the first later part of the same audio with a known time (a non-zero
-    start, else its end); NULL when none follows. The window is per audio, a bounded group."""
-    return _holed(spark, sf_dir).select("audio_id", "pos", G.next_known_time().alias("next_time"))
+    start, else its end); NULL when none follows."""
+    return G.next_known_time(_holed(spark, sf_dir)).select("audio_id", "pos", "next_time")
 
 
 def median_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,36 @@ def silence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.overlapping(segs, sil)
 
 
+def _long_parts(spark, sf_dir) -> DataFrame:
+    """Every third event belongs to one recording (-1), which so holds a third of all rows; times count from 2024."""
+    ev = table(spark, sf_dir, "events")
+    ms = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_2024_US) / 1000).cast("long")
+    audio = F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.floor(F.col("event_id") / AUDIO_SIZE)).cast("long")
+    return ev.select(
+        "event_id", "event_type", audio.alias("audio_id"), F.col("event_id").alias("pos"), (ms / 1000.0).alias("start"),
+        ((ms + F.round(F.col("value") * 100).cast("long")) / 1000.0).alias("end"),
+        F.concat(F.col("event_type"), F.when(F.col("event_id") % 4 == 3, F.lit(".")).otherwise(F.lit(""))).alias("word"))
+
+
+def long_recording_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 where one recording holds a third of all rows."""
+    p = _long_parts(spark, sf_dir)
+    segs = p.where(F.col("event_type") != "error").select("audio_id", F.col("event_id").alias("seg_id"), "start", "end")
+    return G.overlapping(segs, p.where(F.col("event_type") == "error").select("audio_id", F.col("event_id").alias("sil_id"), "start", "end"))
+
+
+def long_recording_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 where one recording holds a third of all rows."""
+    return G.regroup(_long_parts(spark, sf_dir), MAX_GAP)
+
+
+def long_recording_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 where one recording holds a third of all rows; starts and ends are missing as in ``lookahead_times``."""
+    p = _long_parts(spark, sf_dir)
+    holed = p.select("audio_id", "pos", F.when(F.col("event_id") % 5 != 0, F.col("start")).alias("start"), F.when(F.col("event_id") % 7 != 0, F.col("end")).alias("end"))
+    return G.next_known_time(holed).select("audio_id", "pos", "next_time")
+
+
 # ---- oracles ------------------------------------------------------------------------------------------------------
 _BASE = f"""b0 AS (SELECT event_id, event_type, event_id // {AUDIO_SIZE} AS audio_id, event_id % {AUDIO_SIZE} AS pos,
         (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY event_id // {AUDIO_SIZE})) // 1000 AS start_ms,
@@ -119,6 +149,11 @@ SELECT audio_id, unnest(poss) AS pos, unnest(r.s) AS start, unnest(r.e) AS "end"
 _HOLED = """h AS (SELECT audio_id, pos, CASE WHEN event_id % 5 = 0 THEN NULL ELSE start END AS start,
              CASE WHEN event_id % 7 = 0 THEN NULL ELSE "end" END AS "end" FROM base)"""
 
+_LONG = f"""l0 AS (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id // {AUDIO_SIZE} END AS audio_id, event_id AS pos,
+        (epoch_us(ts) - {EPOCH_2024_US}) // 1000 AS ms, round(value * 100)::BIGINT AS dur_ms FROM events),
+base AS (SELECT event_id, event_type, audio_id, pos, ms / 1000.0 AS start, (ms + dur_ms) / 1000.0 AS "end",
+        event_type || CASE WHEN event_id % 4 = 3 THEN '.' ELSE '' END AS word FROM l0)"""
+
 SQL = {
     "lookahead_times": f"""WITH {_BASE}, {_HOLED}
 SELECT audio_id, pos, first(coalesce(nullif(start, 0.0), "end") IGNORE NULLS) OVER (PARTITION BY audio_id ORDER BY pos
@@ -139,3 +174,5 @@ SELECT s.audio_id, s.event_id AS seg_id, q.event_id AS sil_id, greatest(s.start,
 FROM base s JOIN base q ON s.audio_id = q.audio_id AND s.start < q."end" AND q.start < s."end"
 WHERE s.event_type <> 'error' AND q.event_type = 'error'""",
 }
+SQL |= {f"long_recording_{new}": SQL[old].replace(_BASE, _LONG) for new, old in (
+    ("overlap", "silence_overlap"), ("regroup", "regroup_segments"), ("lookahead", "lookahead_times"))}
