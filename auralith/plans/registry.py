@@ -77,6 +77,7 @@ QUERIES = {
     "routed_corpora": cleaning.routed_corpora,
     "incremental_ingest": streams.incremental_ingest,
     "stream_join": streams.stream_join,
+    "stream_buffered_join": streams.stream_buffered_join,
     "stream_metrics": streams.stream_metrics,
     "missing_chunks": audit.missing_chunks,
     "segment_audio": audit.segment_audio,

@@ -44,10 +44,17 @@ def _epoch_writer(sink: str, transform: Callable[[DataFrame], DataFrame]):
     return write
 
 
-def run_available(query: StreamingQuery) -> None:
-    query.awaitTermination()
+def run_available(query: StreamingQuery) -> int:
+    """Run to the end; returns how many rows stateful operators dropped because they were older than the watermark."""
+    dropped: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(2)  # progress is kept for the last hundred triggers only
+        for progress in query.recentProgress:
+            dropped[progress["batchId"]] = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
     if query.exception() is not None:
         raise query.exception()
+    return sum(dropped.values())
 
 
 def incremental_apply(spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
@@ -61,8 +68,10 @@ def incremental_apply(spark: SparkSession, stream: DataFrame, transform: Callabl
 
 
 def stream_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-                watermark: str, tolerance: str, name: str, run: str | None = None) -> DataFrame:
-    """R2: inner stream-stream join with watermarks on both sides and a time-range condition that bounds state."""
+                watermark: str, tolerance: str, name: str, run: str | None = None, late: str = "fail") -> DataFrame:
+    """R2: inner stream-stream join with watermarks on both sides and a time-range condition that bounds state. Rows that
+    come later than the watermark allows find no state any more: they fail the run at its end (``late="drop"``: they are left
+    out). Where no bound is known, ``buffered.buffered_join`` keeps rows until their group is complete."""
     lw = left.withWatermark(left_time, watermark).alias("l")
     rw = right.withWatermark(right_time, watermark).alias("r")
     cond = F.expr(
@@ -71,7 +80,9 @@ def stream_join(spark: SparkSession, left: DataFrame, right: DataFrame, key: str
     sink, ckpt = stream_paths(spark, name, run)
     q = (joined.writeStream.foreachBatch(_epoch_writer(sink, lambda b: b)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
-    run_available(q)
+    dropped = run_available(q)
+    if dropped and late == "fail":
+        raise RuntimeError(f"{name}: {dropped} rows came later than the watermark ({watermark}) allows and were left out")
     return spark.read.parquet(sink).drop("batch_id")
 
 
