@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import audit, cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, timing
+from auralith.plans import audit, cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, tars, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -75,6 +75,8 @@ QUERIES = {
     "gigaspeech_rows": cleaning.gigaspeech_rows,
     "earnings_rows": cleaning.earnings_rows,
     "routed_corpora": cleaning.routed_corpora,
+    "tar_round_trip": tars.tar_round_trip,
+    "tar_audit": tars.tar_audit,
     "incremental_ingest": streams.incremental_ingest,
     "stream_join": streams.stream_join,
     "stream_buffered_join": streams.stream_buffered_join,
@@ -87,7 +89,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit, tars):
     ORACLE_SQL.update(_mod.SQL)
 
 _unknown = set(ORACLE_SQL) - set(QUERIES)

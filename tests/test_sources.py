@@ -38,7 +38,11 @@ def test_tar_shards_and_audit(spark, tmp_path):
     _tar(tmp_path / "000.tar", {"./x/a.flac": b"aaa", "b.flac": b"bb"})
     _tar(tmp_path / "001.tar", {"c.flac": b"c"})
     (tmp_path / "002.tar").write_bytes(b"this is not a tar file")
-    members = sorted((r.member, r.size) for r in R.read_tar_shards(spark, str(tmp_path)).collect())
+    with pytest.raises(Exception, match="broken shard"):
+        R.read_tar_shards(spark, str(tmp_path)).collect()
+    rows = R.read_tar_shards(spark, str(tmp_path), on_broken="report").collect()
+    assert [r.shard[-7:] for r in rows if r.status != "ok"] == ["002.tar"]
+    members = sorted((r.member, r.size) for r in rows if r.status == "ok")
     assert members == [("b.flac", 2), ("c.flac", 1), ("x/a.flac", 3)]
     expected = R.shard_catalog(spark, "small")  # 000.tar .. 00b.tar
     audit = {r.shard: (r.status, r.members) for r in R.audit_shards(spark, str(tmp_path), expected).collect()}
@@ -132,14 +136,20 @@ def test_config_names(spark, tmp_path):
 
 
 def test_streamed_tar_reader_matches_binaryfile(spark, tmp_path):
-    from auralith.sources.tarshards import read_tar_shards_streamed
+    from auralith.sources.tarshards import read_tar_members, read_tar_shards_streamed
 
     _tar(tmp_path / "000.tar", {"./x/a.flac": b"aaa", "b.flac": b"bb"})
     _tar(tmp_path / "001.tar", {"c.flac": b"c"})
     (tmp_path / "002.tar").write_bytes(b"this is not a tar file")
-    a = sorted((r.member, r.size, bytes(r.bytes)) for r in R.read_tar_shards(spark, str(tmp_path)).collect())
-    b = sorted((r.member, r.size, bytes(r.bytes)) for r in read_tar_shards_streamed(spark, str(tmp_path)).collect())
-    assert a == b == [("b.flac", 2, b"bb"), ("c.flac", 1, b"c"), ("x/a.flac", 3, b"aaa")]
+    def got(rows):
+        rows = rows.collect()
+        assert [r.shard[-7:] for r in rows if r.member is None] == ["002.tar"]
+        return sorted((r.member, r.size, bytes(r.bytes)) for r in rows if r.member is not None)
+
+    a = got(R.read_tar_shards(spark, str(tmp_path), on_broken="report"))
+    b = got(read_tar_shards_streamed(spark, str(tmp_path), on_broken="report"))
+    c = got(read_tar_members(spark, str(tmp_path), task_bytes=600, on_broken="report"))
+    assert a == b == c == [("b.flac", 2, b"bb"), ("c.flac", 1, b"c"), ("x/a.flac", 3, b"aaa")]
 
 
 def test_manifest_last_wins_across_splits(spark, tmp_path):
@@ -162,3 +172,50 @@ def test_route_corpus_and_additional(spark):
     assert out.columns == R.BENCHMARK_SCHEMA and sorted(r.dataset for r in out.collect()) == ["ami", "ted"]
     df = spark.createDataFrame([("s",), ("xl",), ("dev",)], "n string")
     assert [r.o for r in df.select(R.is_additional(F.col("n")).alias("o")).collect()] == ["_additional", "_additional", ""]
+
+
+def test_half_broken_shards_keep_their_sound_members_and_say_so(spark, tmp_path):
+    from auralith.sources import tarshards as TS
+
+    _tar(tmp_path / "000.tar", {f"m{i}": bytes([i]) * 700 for i in range(5)})
+    whole = (tmp_path / "000.tar").read_bytes()
+    for name, size in (("001", 3000), ("002", 512 + 1024 + 512 + 300), ("003", 5 * 1536), ("004", 100), ("005", 0)):
+        (tmp_path / f"{name}.tar").write_bytes(whole[:size])
+    rows = TS.tar_index(spark, str(tmp_path)).collect()
+    sound = {f"00{k}.tar": sorted(r.member for r in rows if r.shard.endswith(f"00{k}.tar") and r.status == "ok") for k in range(6)}
+    assert [len(v) for v in sound.values()] == [5, 2, 1, 5, 0, 0]
+    problems = {r.shard[-7:]: r.status.split(":")[0] for r in rows if r.status != "ok"}
+    assert problems == {"001.tar": "truncated", "002.tar": "truncated", "003.tar": "truncated", "004.tar": "unreadable", "005.tar": "unreadable"}
+    for read in (TS.read_tar_shards_streamed, TS.read_tar_members, R.read_tar_shards):
+        with pytest.raises(Exception, match="broken shard"):
+            read(spark, str(tmp_path)).collect()
+    got = TS.read_tar_members(spark, str(tmp_path), task_bytes=2048, on_broken="report").collect()
+    assert all(bytes(r.bytes) == bytes([int(r.member[1])]) * 700 for r in got if r.member) and len(got) == 18
+
+
+def test_tar_writer_commits_whole_jobs_and_aborts_without_traces(spark, tmp_path):
+    from auralith.sources import tarshards as TS
+
+    folder = str(tmp_path / "out")
+    rows = spark.range(100).selectExpr("concat('d/', id, '.txt') AS member", "cast(repeat('x', cast(id as int)) AS binary) AS bytes")
+    TS.write_tar_shards(rows.repartition(4), folder, shard_bytes=400)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert "_SUCCESS" in names and sum(n.endswith(".tar") for n in names) > 8
+    got = {r.member: len(r.bytes) for r in TS.read_tar_members(spark, folder, task_bytes=1000).collect()}
+    assert got == {f"d/{i}.txt": i for i in range(100)}
+    failing = rows.withColumn("bytes", F.when(F.col("member") == "d/99.txt", F.raise_error(F.lit("half-way"))).otherwise(F.col("bytes")).cast("binary"))
+    with pytest.raises(Exception):
+        TS.write_tar_shards(failing.repartition(4), folder)
+    left = sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file())
+    assert left == names[:1] + [n for n in names if n.endswith(".tar")] or set(left) == {n for n in names if n != "_temporary"}
+    TS.write_tar_shards(rows.limit(3), folder)  # appends
+    assert TS.read_tar_members(spark, folder).count() == 103
+
+
+def test_named_tar_shards(spark, tmp_path):
+    from auralith.sources import tarshards as TS
+
+    rows = spark.createDataFrame([("b", b"1", "x.tar"), ("a", b"22", "x.tar"), ("c", None, "y.tar")], "member string, bytes binary, shard string")
+    TS.write_tar_shards(rows, str(tmp_path))
+    index = [(r.shard.split("/")[-1], r.member, r.size) for r in TS.tar_index(spark, str(tmp_path)).orderBy("shard", "place").collect()]
+    assert index == [("x.tar", "a", 2), ("x.tar", "b", 1), ("y.tar", "c", 0)]
