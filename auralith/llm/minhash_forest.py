@@ -10,7 +10,7 @@ until its parts are small (or its values end). In each part the longest common n
 forest by estimated similarity. A pair that survives the estimate is confirmed on the full sets. Round 2 takes the
 components of round 1 and, in every whole region that holds more than one, compares the sets of all pairs that lie in
 different components, so that nothing round 1 passed over (deep parting, forests, cuts between tasks) is lost. A region of
-more than ``BLOCK`` rows is dealt into blocks of about that many, large components into blocks of their own, and every two
+more than ``BLOCK`` rows (a long text counts as several) is dealt into blocks of about that many, large components into blocks of their own, and every two
 blocks meet in one task group unless both hold the same single component; a group returns the links it finds, never the
 pairs it looks at, and they are confirmed like the others. Estimates cut a pair only ``CUT`` standard
 deviations below the threshold. At similarity 0.85 two documents share a region of one of the 16 trees with probability over
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralith.llm import blocks
@@ -37,7 +37,7 @@ from auralith.llm.columns import Carried
 from auralith.llm.graphs import components
 from auralith.llm.store import shuffle_partitions, stored
 
-TREES, DEPTH, ROOT, CROWD, CUT, PIECE, BLOCK = 16, 8, 4, 64, 4.5, 20_000, 2048
+TREES, DEPTH, ROOT, CROWD, CUT, PIECE, BLOCK, HEAVY = 16, 8, 4, 64, 4.5, 20_000, 2048, 2000
 _HASHES = TREES * DEPTH
 _draw = np.random.default_rng(811)
 _MUL = _draw.integers(1, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,9 +135,8 @@ def _forest(rep: np.ndarray, low: np.ndarray, n: np.ndarray, rest: np.ndarray, p
 
 def _crossing(rep: np.ndarray, low: np.ndarray, n: np.ndarray, group: np.ndarray, block: np.ndarray, sets: list[np.ndarray],
               percent: int) -> Iterator[tuple[int, int]]:
-    """Links between different components (and, where the rows are of two blocks, between these), found by comparing the
-    (32-bit) sets of every pair that the estimate leaves possible; pairs that a link found here has already joined are
-    passed over."""
+    """Links between different components (and, where the rows are of two blocks, between these), found by comparing the full
+    sets of every pair that the estimate leaves possible; pairs that a link found here has already joined are passed over."""
     within = bool((block == block[0]).all())
     groups, group, size = np.unique(group, return_inverse=True, return_counts=True)
     cut, into = least_estimate(percent), np.arange(len(groups))
@@ -164,7 +163,7 @@ def _packer(width: int) -> Callable:
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in blocks.batches(frames):
             sets, begin = shingle_sets(piece.column("text"), width)
-            packed = [np.unique((sets[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(begin[:-1], begin[1:])]
+            packed = [sets[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])]  # whole hashes: the comparison decides
             yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(packed, pa.binary())], ["rep", "packed"])
 
     return pack
@@ -184,7 +183,7 @@ def _walker(percent: int, crossing: bool) -> Callable:
         rep, n = (np.asarray(rows.column(c), np.int64) for c in ("rep", "n"))
         low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(rep), _HASHES)
         if crossing:
-            sets = [np.frombuffer(x, np.uint32) for x in rows.column("packed").to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("packed").to_pylist()]
             return list(_crossing(rep, low, n, *(np.asarray(rows.column(c), np.int64) for c in ("component", "block")), sets, percent))
         rest = np.frombuffer(b"".join(rows.column("rest").to_pylist()), np.uint8).reshape(len(rep), DEPTH - ROOT)
         return list(_forest(rep, low, n, rest, percent))
@@ -215,13 +214,18 @@ def _walker(percent: int, crossing: bool) -> Callable:
     return walk
 
 
+def _weight() -> Column:
+    return F.sum(1 + F.col("n") / F.lit(float(HEAVY)))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, size of the region, rep, component, ...) with the task groups (key, lo, hi) each goes to, and its
-    ``block``. Components of ``BLOCK`` rows or more have blocks of their own (``own``); all others of a region share blocks."""
+    """``rows`` (key, size of the region, rep, n, component, ...) with the task groups (key, lo, hi) each goes to, and its
+    ``block``. Sizes are weights: a row counts one, and one more for every ``HEAVY`` shingles, so that a block is bounded in bytes.
+    Components of ``BLOCK`` or more have blocks of their own (``own``); all others of a region share blocks."""
     one = F.lit(0).cast("long")
     whole = rows.filter(F.col("size") <= BLOCK).drop("size").withColumns({"block": one, "lo": one, "hi": one})
     wide = rows.filter(F.col("size") > BLOCK).drop("size")
-    cells = wide.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    cells = wide.groupBy("key", "component").agg(_weight().alias("c"))
     cells = cells.withColumn("own", F.when(F.col("c") >= BLOCK, F.col("component"))).groupBy("key", "own").agg(
         F.ceil(F.sum("c") / F.lit(float(BLOCK))).cast("long").alias("blocks"))
     cells = stored(cells.withColumn("first", F.sum("blocks").over(Window.partitionBy("key").orderBy("own")) - F.col("blocks")), "blocks")
@@ -284,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stored(_confirmed(votes.withColumn("r", rank).filter("r <= 2").select("a", "b"), texts, percent, width), "links")
     groups = components(first)
     marked = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_regions = marked.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"))
+    open_regions = marked.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), _weight().alias("size"))
     marked = stored(marked.drop("rest").join(open_regions.filter("least < most").select("key", "size"), "key"), "open")
     packed = texts.join(marked.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").mapInArrow(_packer(width), "rep long, packed binary")
     met = _dealt(marked).join(packed.dropDuplicates(["rep"]), "rep").repartition(parts, "key", "lo", "hi")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auralith.llm import embed_dedup, graphs, minhash_forest, substring_dedup
 from auralith.llm.queries import QUERIES
@@ -143,6 +144,35 @@ def test_minhash_round_two_sees_regions_whole_that_tasks_and_blocks_cut(spark, m
     assert len(set(want.values())) > 30 and got == want
 
 
+def test_round_two_counts_whole_hashes_at_the_threshold():
+    """85 of 100 shingles in common, two of them alike in their upper 32 bits; and a pair that only such bits would let in."""
+    def crossing(a, b):
+        sets = [np.sort(np.array(x, np.uint64)) for x in (a, b)]
+        low, n = np.zeros((2, minhash_forest._HASHES), np.uint8), np.array([len(x) for x in sets])
+        return list(minhash_forest._crossing(np.array([1, 2]), low, n, np.array([1, 2]), np.zeros(2, np.int64), sets, 85))
+
+    def spread(numbers):
+        return [(x << 40) + 7 for x in numbers]
+
+    shared = spread(range(83)) + [(500 << 40) + 1, (500 << 40) + 2]
+    a, b = shared + spread(range(1000, 1008)), shared + spread(range(2000, 2007))
+    assert len({*a} & {*b}) == 85 and len({*a} | {*b}) == 100 and crossing(a, b) == [(1, 2)]
+    alike = [x + 1 for x in spread(range(83))] + shared[83:]
+    assert crossing(spread(range(83)) + shared[83:], alike) == []
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Texts of many shingles take up several rows' room, so a block of them holds fewer."""
+    monkeypatch.setattr(minhash_forest, "BLOCK", 64)
+    rows = [(1, i, 20_000 if i % 2 else 10, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, rep long, n long, component long")
+    df = df.withColumn("size", F.lit(1e9))
+    dealt = minhash_forest._dealt(df).select("block", "rep", "n").distinct().groupBy("block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    sizes = dealt.collect()
+    assert sum(r.rows for r in sizes) == 200 and len(sizes) >= 17
+    assert max(r.n for r in sizes) <= 3 * 64 * minhash_forest.HEAVY
+
+
 def test_minhash_edges(spark):
     rows = [(3, "a b c d e f g", 1.5), (3, "a b c d e f g", 2.5), (None, "a b c d e f g", 0.5), (9, "A b C d e f g", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept double")
