@@ -3,7 +3,7 @@ timestamp dropping (L2/T14/T15), batch padding (L7/L8/A11) and the decoder colla
 
 Teacher output per row: ``[SOT, en, transcribe, <|notimestamps|>] + ids + [EOT]``; every third row
 (``(conv_id + turn) % 3 = 0``) instead carries timestamps ``[SOT, en, transcribe, <|0.00|>] + ids + [<|t|>, EOT, EOT]``.
-Draws are md5-seeded per row (O8), so reruns and both engines agree.
+Text ids are longest matches over a vocabulary table (T17). Draws are md5-seeded per row (O8), so reruns and both engines agree.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from auralith.functions import labels as L
 from auralith.functions import text as T
 from auralith.operators import labels as LO
+from auralith.operators import vocabulary as V
 from auralith.operators.ordering import unit_draw
-from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
 
 P_TIMESTAMP = 0.2
@@ -25,7 +25,8 @@ MAX_LABEL_LENGTH = 448
 
 def _teacher(spark, sf_dir) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
-    ids = L.toy_token_ids(F.col("text"))
+    conv = conv.withColumn("text_ids", V.Vocabulary(V.letter_vocabulary(spark)).ids(F.col("text")))
+    ids = F.col("text_ids")
     with_ts = F.concat(
         F.array(*[F.lit(x) for x in (L.SOT, L.LANG["en"], L.TRANSCRIBE, L.TIMESTAMP_FIRST)]), ids,
         F.array((F.lit(L.TIMESTAMP_FIRST) + F.least(F.size(ids), F.lit(L.TIMESTAMP_COUNT - 1))).cast("int"), F.lit(L.EOT), F.lit(L.EOT)),
@@ -53,6 +54,14 @@ def prompt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(L.labels_in_range("labels", MAX_LABEL_LENGTH)).select("conv_id", "turn", "labels")
 
 
+def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T17 over every whole document: its number of ids, the first sixteen, and the digest of the text read back from all."""
+    vocabulary = V.Vocabulary(V.letter_vocabulary(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = docs.withColumns({"ids": vocabulary.ids(F.col("text")), "first_ids": vocabulary.ids(F.col("text"), max_length=16)})
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), "first_ids", F.sha2(vocabulary.text(F.col("ids")), 256).alias("sha256"))
+
+
 def drop_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14 + L1 + L2 + T15: ids serialised as ``"[1 2 3]"`` text are parsed back, EOT normalised, timestamps
     removed (the no-timestamp branch) and the first timestamp token of the row spelled from the 1501-token vocab."""
@@ -84,7 +93,7 @@ def _draw(tag: str) -> str:
     return f"(('0x' || substr(md5(conv_id || ':' || turn || ':{tag}'), 1, 8))::BIGINT / 4294967296.0)"
 
 
-_IDS = f"list_transform({S.words('text')}, lambda w: (length(w) + 100)::INTEGER)"
+_IDS = V.letter_ids_sql("text")
 _TEACHER = f"""CASE WHEN (conv_id + turn) % 3 = 0
   THEN list_concat([{L.SOT}, {L.LANG['en']}, {L.TRANSCRIBE}, {L.TIMESTAMP_FIRST}], {_IDS},
                    [({L.TIMESTAMP_FIRST} + least(len({_IDS}), {L.TIMESTAMP_COUNT - 1}))::INTEGER, {L.EOT}, {L.EOT}])
@@ -116,6 +125,8 @@ p AS (SELECT conv_id, turn, CASE WHEN {_draw('prev')} < {P_PREV} AND prev IS NOT
                                  THEN list_concat({_PROMPT}, ids) ELSE ids END AS labels FROM pv)"""
 
 SQL = {
+    "token_round_trip": f"""SELECT doc_id, len(ids)::INTEGER AS n_ids, list_slice(ids, 1, 16) AS first_ids, sha256(text) AS sha256
+FROM (SELECT doc_id, text, {V.letter_ids_sql("text")} AS ids FROM documents)""",
     "prompt_labels": f"WITH {_PROMPTED} SELECT * FROM p WHERE len(labels) > 0 AND len(labels) <= {MAX_LABEL_LENGTH}",
     "drop_timestamps": f"""WITH t AS (SELECT conv_id, turn, {_TEACHER} AS teacher FROM conversations),
 x AS (SELECT conv_id, turn, '[' || array_to_string(teacher, ' ') || ']' AS as_text FROM t),

@@ -14,6 +14,7 @@ from auralith.functions import text as T
 from auralith.functions.text import pandas_round
 from auralith.operators import profile as PR
 from auralith.operators import segments as G
+from auralith.operators import vocabulary as V
 from auralith.plans import derived as D
 from auralith.plans.tables import table
 
@@ -26,7 +27,7 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     rows = emb.join(docs, "vec_id")
-    return PR.profile(rows, "label", "embedding", RATE, "text", L.toy_token_ids)
+    return PR.profile(rows, "label", "embedding", RATE, "text", V.Vocabulary(V.letter_vocabulary(spark)).ids)
 
 
 def slice_by_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def _r6(x: str) -> str:
 SQL = {
     "corpus_profile": f"""WITH r AS (SELECT e.label, len(e.embedding) / {RATE}.0 AS duration, list_max(e.embedding)::DOUBLE AS amax,
        list_min(e.embedding)::DOUBLE AS amin, list_reduce(list_transform(e.embedding, lambda v: v::DOUBLE), lambda a, b: a + b, 0.0::DOUBLE) / len(e.embedding) AS amean,
-       length(d.text) AS n_chars, len(list_filter(string_split(regexp_replace(regexp_replace(d.text, '{T.WS}{T.WS}+', ' ', 'g'), '^{T.WS}+|{T.WS}+$', '', 'g'), ' '), lambda w: w <> '')) AS n_tokens
+       length(d.text) AS n_chars, len({V.letter_ids_sql('d.text')}) AS n_tokens
      FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)
 SELECT label, count(*) AS total_data_size,
   {_r6('sum(duration)')} AS total_audio_duration, sum(n_chars)::BIGINT AS total_characters,

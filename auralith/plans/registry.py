@@ -43,6 +43,7 @@ QUERIES = {
     "runtime_pivot": leaderboard.runtime_pivot,
     "optional_eq": leaderboard.optional_eq,
     "prompt_labels": labelling.prompt_labels,
+    "token_round_trip": labelling.token_round_trip,
     "drop_timestamps": labelling.drop_timestamps,
     "batch_pad": labelling.batch_pad,
     "packed_labels": labelling.packed_labels,
