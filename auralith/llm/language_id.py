@@ -5,8 +5,8 @@ frequency. A text's own most frequent n-grams are compared with every profile by
 n-gram stands from its place in the profile, or ``size`` if it is not there. The nearest profile wins; the score is one
 minus its distance as a share of the largest possible.
 
-Letters are lower-cased and drawn from an alphabet of 127 symbols (a-z and Latin-1 letters one each, other letters by
-code point, so that a script's neighbours stay apart). Profiles count every letter of every training text: tasks merge
+Letters are whatever Unicode calls alphabetic, lower-cased, each by its own code point in every script: an n-gram is three
+places of 21 bits in one number. Profiles count every letter of every training text: tasks merge
 their counts and send one row per language and n-gram. Scoring is one pass without a shuffle.
 
 Defined cases: a text that is null or has no letters is ``und`` with score 0, and so is every text if nothing was
@@ -16,6 +16,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,80 +29,105 @@ from pyspark.sql import types as T
 from auralith.llm import blocks
 from auralith.llm.columns import Carried
 
-SYMBOLS = 128
-_BI, _TRI = SYMBOLS, SYMBOLS + SYMBOLS ** 2
-GRAMS = _TRI + SYMBOLS ** 3
-_GRAM_BITS = 22
-_alphabet: np.ndarray | None = None
+_BITS, _BLANK = 21, 1  # of a code point; a blank inside an n-gram, which is no letter's code point
+_letters: np.ndarray | None = None
 
 
-def alphabet() -> np.ndarray:
-    """Symbol of every code point below 0x32000; 0 for what is no letter (all above, too)."""
-    global _alphabet
-    if _alphabet is None:
-        table = np.zeros(0x32001, np.uint8)
-        for point in range(0x32000):
+def letters() -> np.ndarray:
+    """The lower-case code point of every letter; 0 for what is no letter."""
+    global _letters
+    if _letters is None:
+        table = np.zeros(sys.maxunicode + 1, np.int32)
+        for point in range(sys.maxunicode + 1):
             letter = chr(point)
             if letter.isalpha():
-                low = ord(letter.lower()[0])
-                table[point] = low - 96 if 97 <= low <= 122 else low - 196 if 223 <= low <= 255 else 60 + low % 68
-        _alphabet = table
-    return _alphabet
+                table[point] = ord(letter.lower()[0])
+        _letters = table
+    return _letters
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, n-gram) of every n-gram of the texts."""
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram, count) of every n-gram of the texts, sorted by row."""
     strings = [t or "" for t in texts.to_pylist()]
-    points = np.frombuffer(("\n" + "\n".join(strings) + "\n").encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(("\n" + "\n".join(strings) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(strings) + 1), [len(t) + 1 for t in strings] + [1])
-    codes = alphabet()[np.minimum(points, 0x32000)]
-    keep = codes > 0
-    keep[1:] |= codes[:-1] > 0  # one blank for a run of them
+    table = letters()
+    found = table[points]
+    keep = found > 0
+    keep[1:] |= found[:-1] > 0  # one blank for a run of them
     keep[0] = True
-    c, row = codes[keep].astype(np.int32), row[keep]
+    found, row = found[keep], row[keep]
+    here = np.zeros(len(table), bool)
+    here[found] = True
+    here[0] = True
+    distinct = np.flatnonzero(here)  # the letters of these texts, the blank first: n-grams are short numbers while they are counted
+    number = np.zeros(len(table), np.int32)
+    number[distinct] = np.arange(len(distinct))
+    c, size = number[found].astype(np.int64), len(distinct)
     one = np.flatnonzero(c)
     two = np.flatnonzero((c[:-1] > 0) | (c[1:] > 0))
     three = one[(one > 0) & (one < len(c) - 1)]
-    found = np.concatenate([c[one], _BI + c[two] * SYMBOLS + c[two + 1], _TRI + (c[three - 1] * SYMBOLS + c[three]) * SYMBOLS + c[three + 1]])
-    return np.concatenate([row[one], np.where(c[two] > 0, row[two], row[two + 1]), row[three]]), found
+    gram = np.concatenate([c[one], size + c[two] * size + c[two + 1], size + size ** 2 + (c[three - 1] * size + c[three]) * size + c[three + 1]])
+    row = np.concatenate([row[one], np.where(c[two] > 0, row[two], row[two + 1]), row[three]])
+    most = size + size ** 2 + size ** 3
+    if (len(strings) + 1) * most < 1 << 63:
+        keys = np.sort(row * most + gram)
+        row, gram = keys // most, keys % most
+    else:
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    at = np.flatnonzero(new)
+    return row[at], _named(gram[at], distinct), np.diff(np.append(at, len(row)))
 
 
-def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, n-gram, count), sorted by row."""
-    row, gram = grams(texts)
-    keys = np.sort((row << _GRAM_BITS) | gram)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    return keys[at] >> _GRAM_BITS, keys[at] & ((1 << _GRAM_BITS) - 1), np.diff(np.append(at, len(keys)))
+def _named(gram: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The n-grams by code points."""
+    size = len(distinct)
+    point = np.where(distinct > 0, distinct, _BLANK).astype(np.int64)
+    three, two = gram - size - size ** 2, gram - size
+    out = point[np.where(two < 0, gram, 0)]
+    pair, triple = (two >= 0) & (three < 0), three >= 0
+    out[pair] = (point[two[pair] // size] << _BITS) | point[two[pair] % size]
+    x = three[triple]
+    out[triple] = (point[x // size ** 2] << 2 * _BITS) | (point[x // size % size] << _BITS) | point[x % size]
+    return out
+
+
+def spelled(gram: int) -> str:
+    """An n-gram as text, its blanks as blanks."""
+    return "".join(" " if p == _BLANK else chr(p) for p in (gram >> 2 * _BITS, (gram >> _BITS) & (1 << _BITS) - 1, gram & (1 << _BITS) - 1) if p)
 
 
 def _counter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict[str, int] = {}
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[tuple] = []
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    waiting = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        value, inverse = np.unique(np.concatenate([keys, *(h[0] for h in held)]), return_inverse=True)
-        return value, np.bincount(inverse, weights=np.concatenate([counts, *(h[1] for h in held)]), minlength=len(value)).astype(np.int64)
+    def merge() -> None:
+        for lang, parts in held.items():
+            value, inverse = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+            held[lang] = [(value, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(value)))]
 
     for piece in blocks.batches(frames):
-        lang = np.array([names.setdefault(x, len(names)) for x in piece.column("lang").to_pylist()], np.int64)
         row, gram, n = counted(piece.column("text"))
-        value, inverse = np.unique((lang[row] << _GRAM_BITS) | gram, return_inverse=True)
-        held.append((value, np.bincount(inverse, weights=n, minlength=len(value))))
-        if sum(len(h[0]) for h in held) > 1_000_000:
-            keys, counts = merged()
-            held = []
-    keys, counts = merged()
-    of = pa.array(list(names), pa.string()).take(pa.array(keys >> _GRAM_BITS)) if len(keys) else pa.array([], pa.string())
-    yield pa.RecordBatch.from_arrays([of, pa.array(keys & ((1 << _GRAM_BITS) - 1)), pa.array(counts)], ["lang", "gram", "n"])
+        names, lang = np.unique(np.array(piece.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+        for k, name in enumerate(names.tolist()):
+            mine = lang[row] == k
+            held.setdefault(name, []).append((gram[mine], n[mine].astype(float)))
+        waiting += len(gram)
+        if waiting > 2_000_000:
+            merge()
+            waiting = 0
+    merge()
+    for lang, [(value, n)] in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
 @dataclass
 class Profiles:
     languages: list[str]
-    place: np.ndarray  # of each n-gram in ``ranks``; the last column is the unlisted one's
+    listed: np.ndarray  # the n-grams of all profiles, sorted; each has a column in ``ranks``, the last is that of all others
     ranks: np.ndarray  # languages x listed n-grams: place in the profile, ``size`` where it is not
     size: int
 
@@ -114,11 +140,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     lang, gram, place = top.column("lang").to_pylist(), np.asarray(top.column("gram"), np.int64), np.asarray(top.column("rank"), np.int64)
     languages = sorted(set(lang))
     listed = np.unique(gram)
-    of = np.full(GRAMS, len(listed), np.int32)
-    of[listed] = np.arange(len(listed))
     ranks = np.full((len(languages), len(listed) + 1), size, np.int32)
-    ranks[[languages.index(x) for x in lang], of[gram]] = place
-    return Profiles(languages, of, ranks, size)
+    ranks[[languages.index(x) for x in lang], np.searchsorted(listed, gram)] = place
+    return Profiles(languages, listed, ranks, size)
 
 
 def distances(texts: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +153,8 @@ def distances(texts: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarr
     place = np.arange(len(row)) - np.searchsorted(row, row)
     top = place < profiles.size
     row, gram, place = row[top], gram[top], place[top]
-    ranks = profiles.ranks[:, profiles.place[gram]]
+    at = np.minimum(np.searchsorted(profiles.listed, gram), len(profiles.listed) - 1)
+    ranks = profiles.ranks[:, np.where(profiles.listed[at] == gram, at, len(profiles.listed))]
     out = np.where(ranks < profiles.size, np.abs(ranks - place), profiles.size)
     return np.stack([np.bincount(row, weights=d, minlength=len(texts)) for d in out]), np.bincount(row, minlength=len(texts))
 
@@ -158,5 +183,5 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", columns
     carried.only(docs.columns if columns is None else columns)
     rows = rows.select(*carried.names, "__text")
     schema = T.StructType([*rows.select(*carried.names).schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast((profiles.languages, profiles.place, profiles.ranks, profiles.size))
+    shared = docs.sparkSession.sparkContext.broadcast((profiles.languages, profiles.listed, profiles.ranks, profiles.size))
     return carried.back(rows.mapInArrow(_predictor(shared, carried.names), schema), "lang_pred", "score")

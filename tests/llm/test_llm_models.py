@@ -198,10 +198,11 @@ def grams_by_brute_force(text):
 
 
 def test_ngrams_and_out_of_place_distance(spark):
-    texts = ["", "a", "Ab1ba!! cc\n", "Straße übel", None, "x" * 300]
+    texts = ["", "a", "Ab1ba!! cc\n", "Straße übel", None, "x" * 300, "Добрый день, ΚΑΛΗ μέρα", "東京 \U00031350\U00031351", " \U0001F600 "]
     row, gram, n = language_id.counted(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
-        assert sorted(n[row == i].tolist()) == sorted(grams_by_brute_force(t or "").values())
+        got = {language_id.spelled(g): k for g, k in zip(gram[row == i].tolist(), n[row == i].tolist())}
+        assert got == dict(grams_by_brute_force(t or ""))
     train = spark.createDataFrame([("l1", "abab abab ab"), ("l2", "cdcd cd"), (None, "zzzz"), ("l3", None)], "lang string, text string")
     profiles = language_id.fit(train, size=5)
     assert profiles.languages == ["l1", "l2"]
@@ -210,6 +211,22 @@ def test_ngrams_and_out_of_place_distance(spark):
     assert far[0, 1] == 5 * count[1]  # nothing of it is in the first profile
 
 
+def test_languages_of_one_script_and_letters_beyond_the_first_planes(spark):
+    train = spark.createDataFrame([("ru", "что это такое и как это было " * 9), ("uk", "що це таке і як це було її " * 9), ("el", "τι είναι αυτό και πώς " * 9)], "lang string, text string")
+    texts = ["это было так", "це було її", "αυτό είναι", "\U00031350\U00031351", "123", "\U0001F600"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(train)).collect()}
+    assert [got[i] for i in range(3)] == ["ru", "uk", "el"] and got[3] != "und" and got[4] == got[5] == "und"
+
+
+def test_ngram_numbers_that_do_not_fit_beside_their_rows():
+    """Very many different letters in one batch."""
+    letters = [chr(p) for p in range(0x4E00, 0x9F00)] + [chr(p) for p in range(0xAC00, 0xD700)]
+    texts = ["".join(letters)] + ["ab"] * 300_000
+    row, gram, n = language_id.counted(pa.array(texts, pa.string()))
+    assert (np.bincount(row)[1:] == 7).all() and (row == 0).sum() == len(grams_by_brute_force(texts[0]))
+
+
 def test_language_id_edges(spark):
     train = spark.createDataFrame([("b", "abc abc"), ("a", "abc abc")], "lang string, text string")
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "123 !", "x"), (4, "abc", "x"), (None, "abc " * 30000, None), (4, "abc", "x"), (5, "日本 \U0001F600", "x")],
