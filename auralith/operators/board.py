@@ -18,6 +18,10 @@ from auralith.operators.ordering import dense_index
 PRETTY_DATASET_NAMES = [
     ("corpus/ja.jsut_basic5000", "JSUT Basic 5000"),
     ("corpus/ja.common_voice_8_0", "CommonVoice 8 (Japanese test set)"),
+    ("corpus/ja.reazonspeech_test", "ReazonSpeech (held out test set)"),
+    ("corpus/en.esb_eval", "ESB"),
+    ("corpus/ja2en.s2t_translation", "Translation (Ja->En)"),
+    ("corpus/en2ja.s2t_translation", "Translation (En->Ja)"),
 ]
 SORT_KEYS = ["dataset", "model", "chunk_length_s", "translation_model", "punctuator", "stable_ts"]
 DEDUP_KEYS = ["dataset", "dataset_config", "dataset_split", "model", "chunk_length_s", "translation_model",

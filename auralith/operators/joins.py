@@ -46,6 +46,15 @@ def strict_lookup(df: DataFrame, dim: DataFrame, key: str, dim_cols: list[str],
     return out.drop("_found")
 
 
+def checked_join(left: DataFrame, right: DataFrame, key: str, what: str = "join") -> DataFrame:
+    """Inner join of which neither side may be empty, nor the result: a corpus that matches nothing is an error."""
+    out = left.join(right, key, "inner")
+    for side, df in (("left", left), ("right", right), ("joined", out)):
+        if not df.select(key).head(1):
+            raise ValueError(f"{what}: no {side} rows")
+    return out
+
+
 def quarantine(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """J2 alternative: the rows a strict lookup would fail on, instead of failing."""
     return df.join(dim.select(key), key, "left_anti")

@@ -7,6 +7,7 @@ is cleaned (the whole text), the injected variants only decide which rule a line
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from auralith.operators.ordering import balance
 from auralith.plans import derived as D
 from auralith.plans import sqlkit as S
 from auralith.plans.tables import table
+from auralith.session import ensure_checkpoint_dir
 from auralith.sources import readers as R
+from auralith.sources import sinks as K
 
 def _k():
     return F.col("doc_id") + F.col("line_no")
@@ -82,9 +85,7 @@ def librispeech_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + K3 + A15: every line written to a tab-separated manifest below the checkpoint folder, each third one twice
     with a later text, and read back (two fields or an error, last line wins)."""
-    import uuid
 
-    from auralith.session import ensure_checkpoint_dir
 
     flat = F.regexp_replace(_l(), "[\\t\\r\\n\\x{0B}\\f\\x{85}\\x{2028}\\x{2029}]", " ")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("line_no").cast("string"))
@@ -104,10 +105,6 @@ def _keyed(spark, sf_dir) -> DataFrame:
 
 def _written_as(df: DataFrame, sep: str, quote: str | None = None) -> str:
     """The rows as separated text files with a header, below the checkpoint folder."""
-    import uuid
-
-    from auralith.session import ensure_checkpoint_dir
-
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/metadata-{uuid.uuid4().hex}"
     options = {"sep": sep, "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} | ({"quote": quote} if quote is not None else {})
     df.write.options(**options).csv(path)
@@ -160,12 +157,24 @@ def routed_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gigaspeech": lambda: shaped(gigaspeech_rows(spark, sf_dir), "sid", "text_tn", F.lit(""), "gigaspeech"),
         "earnings22": lambda: shaped(earnings_rows(spark, sf_dir), "file", "sentence", F.col("file"), "earnings22"),
         "librispeech": lambda: shaped(librispeech_lines(spark, sf_dir), "id", "text", F.concat("id", F.lit(".flac")), "librispeech"),
+        "tedlium": lambda: shaped(clean_ted(spark, sf_dir), "id", "text", F.concat("fn", F.lit(".sph")), "tedlium"),
         "ami": lambda: shaped(ami_lines(spark, sf_dir).withColumn("text", F.when(F.col("line_no") == 0, F.lit("")).otherwise(F.col("text"))),
                               "id", "text", F.col("audio_filename"), "ami"),
     }
     return R.route_corpus(loaders, list(loaders))
 
 
+def config_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + S3: all documents stored under two configs of one table, one of them stored again with other values; both read back
+    by config."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/configs-{uuid.uuid4().hex[:12]}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    K.write_config(docs, root, "raw", "train")
+    K.write_config(docs, root, "final", "train")
+    K.write_config(docs.withColumn("n_chars", F.col("n_chars") * 2), root, "final", "train")
+    return R.read_config(spark, root, "raw,final", "train").select("doc_id", "n_chars", F.col("config").cast("string").alias("config"))
+
+
 def clean_giga(spark: SparkSession, sf_dir: str) -> DataFrame:
     _K, _L = _k(), _l()
     text_tn = (
@@ -276,6 +285,7 @@ _KEYED = rf"""WITH f AS (SELECT source || '_' || doc_id || '_' || line_no AS k,
 """
 _LINE = f"FROM ({D.SQL_UTTERANCES}) u"
 SQL = {
+    "config_rewrite": """SELECT doc_id, n_chars, 'raw' AS config FROM documents UNION ALL SELECT doc_id, n_chars * 2, 'final' FROM documents""",
     "ami_lines": rf"""SELECT doc_id, line_no, id, text, 'train_' || lower(id) || '.wav' AS audio_filename, len(string_split(id, '_')) = 6 AS well_formed
 FROM (SELECT doc_id, line_no, 'AMI_ES' || doc_id || '_H00_MEE_' || lpad((line_no * 300)::VARCHAR, 7, '0') || '_' || lpad((line_no * 300 + 299)::VARCHAR, 7, '0')
         || CASE WHEN (doc_id + line_no) % 17 = 0 THEN '_x' ELSE '' END AS id,
@@ -325,4 +335,4 @@ SQL["routed_corpora"] = " UNION ALL ".join(f"SELECT {i} AS id, {t} AS text, '{n}
     ("spgispeech", "spgispeech_rows", "wav_filename", "transcript", "wav_filename"), ("voxpopuli", "voxpopuli_rows", "id", "text", "id || '.ogg'"),
     ("common_voice", "common_voice_rows", "path", "sentence", "path"), ("gigaspeech", "gigaspeech_rows", "sid", "text_tn", "''"),
     ("earnings22", "earnings_rows", "file", "sentence", "file"), ("librispeech", "librispeech_lines", "id", "text", "id || '.flac'"),
-    ("ami", "ami_lines", "id", "CASE WHEN line_no = 0 THEN '' ELSE text END", "audio_filename")))
+    ("tedlium", "clean_ted", "id", "text", "fn || '.sph'"), ("ami", "ami_lines", "id", "CASE WHEN line_no = 0 THEN '' ELSE text END", "audio_filename")))

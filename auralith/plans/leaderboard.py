@@ -9,12 +9,16 @@ runtime log: model = event_type; attention sdpa / eager / NULL; duration 10/30/6
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralith.functions.text import pandas_round
 from auralith.operators import board as B
 from auralith.plans.tables import table
+from auralith.session import ensure_checkpoint_dir
+from auralith.sources.metriclog import MetricLog
 
 DATASETS = ["corpus/ja.jsut_basic5000", "corpus/ja.common_voice_8_0", "local/extra_set"]
 CONFIGS = [None, "cfg0", "cfg1"]
@@ -69,6 +73,18 @@ def metric_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.compact_metric_log(metric_log(spark, sf_dir), "ja", "transcribe")
 
 
+def metric_log_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 + K5b + S13: the log arrives in two appends (by file position), each followed by a compaction; the rows of the last
+    version, without their positions, are those of ``metric_dedup``."""
+    rows = metric_log(spark, sf_dir)
+    log = MetricLog(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/metric-log-{uuid.uuid4().hex[:12]}")
+    half = (rows.agg(F.max("file_pos")).first()[0] or 0) // 2
+    for part in (rows.filter(F.col("file_pos") <= half), rows.filter(F.col("file_pos") > half)):
+        log.append(part.repartitionByRange("file_pos").sortWithinPartitions("file_pos").drop("file_pos"))
+        log.compact(lambda held: B.compact_metric_log(held, "ja", "transcribe").drop("file_pos"))
+    return log.read().drop("file_pos")
+
+
 def leaderboard_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.leaderboard(metric_dedup(spark, sf_dir), "wer_norm", dataset_labels())
 
@@ -186,6 +202,7 @@ SQL = {
 SELECT *, row_number() OVER (ORDER BY {", ".join(f"{c} ASC NULLS LAST" for c in B.SORT_KEYS)}, file_pos) - 1 AS row_idx FROM d""",
     "trial_times": f"WITH {_RUN} SELECT model, attention, duration, event_id, time FROM r",
     "metric_dedup": f"WITH {_LOG} SELECT * FROM d",
+    "metric_log_versions": f"WITH {_LOG} SELECT * EXCLUDE (file_pos) FROM d",
     "leaderboard_pivot": _pivot_sql(),
     "trial_stats": f"WITH {_RUN} SELECT * FROM st",
     "runtime_pivot": f"""WITH {_RUN}

@@ -32,6 +32,7 @@ QUERIES = {
     "strict_lookup": manifests.strict_lookup,
     "split_semi": manifests.split_semi,
     "metric_dedup": leaderboard.metric_dedup,
+    "metric_log_versions": leaderboard.metric_log_versions,
     "leaderboard_pivot": leaderboard.leaderboard_pivot,
     "leaderboard_cer_raw": leaderboard.leaderboard_of("cer_raw"),
     "leaderboard_wer_raw": leaderboard.leaderboard_of("wer_raw"),
@@ -76,6 +77,7 @@ QUERIES = {
     "gigaspeech_rows": cleaning.gigaspeech_rows,
     "earnings_rows": cleaning.earnings_rows,
     "routed_corpora": cleaning.routed_corpora,
+    "config_rewrite": cleaning.config_rewrite,
     "tar_round_trip": tars.tar_round_trip,
     "tar_audit": tars.tar_audit,
     "incremental_ingest": streams.incremental_ingest,

@@ -9,27 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _replacing_partitions(df: DataFrame, columns: list[str], root: str) -> None:
+    """Overwrite only the partitions that ``df`` holds rows of: an option of this write, not a setting of the session."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(root)
+
+
 def write_config(df: DataFrame, root: str, config: str, split: str = "train") -> None:
     """K1: store a table as ``config=<name>/split=<split>`` under ``root``, replacing only that partition."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("config", F.lit(config)).withColumn("split", F.lit(split))
-         .write.mode("overwrite").partitionBy("config", "split").parquet(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _replacing_partitions(df.withColumns({"config": F.lit(config), "split": F.lit(split)}), ["config", "split"], root)
 
 
 def write_chunks(df: DataFrame, root: str, config: str, chunk_col: str = "chunk_id") -> None:
     """K7: one partition per chunk (``config.chunk`` naming of the reference becomes a partition column)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.withColumn("config", F.lit(config)).write.mode("overwrite").partitionBy("config", chunk_col).parquet(root)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _replacing_partitions(df.withColumn("config", F.lit(config)), ["config", chunk_col], root)
 
 
 def save_table(df: DataFrame, path: str) -> None:

@@ -82,3 +82,15 @@ def test_orphans_reports_null_keys_once_for_each_side(spark):
     assert sides(["a", "b", "b", None, None], ["a", "c", None]) == [("None", member), ("None", transcript), ("b", member), ("c", transcript)]
     assert sides(["a", None], ["a"]) == [("None", member)]
     assert sides(["a"], ["a", None, None]) == [("None", transcript)]
+
+
+def test_checked_join_refuses_empty_sides(spark):
+    import pytest
+
+    from auralith.operators import joins as J
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    assert J.checked_join(a, a.select("k"), "k").count() == 2
+    for left, right, what in ((a, a.limit(0), "right"), (a.limit(0), a, "left"), (a, a.selectExpr("k + 9 AS k"), "joined")):
+        with pytest.raises(ValueError, match=what):
+            J.checked_join(left, right.select("k"), "k", "meta")

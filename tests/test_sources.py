@@ -219,3 +219,15 @@ def test_named_tar_shards(spark, tmp_path):
     TS.write_tar_shards(rows, str(tmp_path))
     index = [(r.shard.split("/")[-1], r.member, r.size) for r in TS.tar_index(spark, str(tmp_path)).orderBy("shard", "place").collect()]
     assert index == [("x.tar", "a", 2), ("x.tar", "b", 1), ("y.tar", "c", 0)]
+
+
+def test_writes_do_not_touch_the_session_and_reads_prune_partitions(spark, tmp_path):
+    before, root = spark.conf.get("spark.sql.sources.partitionOverwriteMode"), str(tmp_path / "t")
+    K.write_config(spark.range(3), root, "a")
+    K.write_config(spark.range(4), root, "b")
+    K.write_config(spark.range(5), root, "b")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    got = R.read_config(spark, root, "b", "train")
+    assert got.count() == 5 and R.read_config(spark, root, ["a", "b"]).count() == 8
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [" in plan and "config" in plan.split("PartitionFilters: [")[1].split("]")[0]
