@@ -5,15 +5,18 @@ The probability of a text is the product, over its words and one end token, of `
 moves to the class that raises the class-bigram likelihood most. The statistics behind the moves, each item's counts with
 the classes left and right of it, are recounted over the whole training text's item pairs in every round.
 
-An item is a word that makes up at least ``item_share`` of the training tokens, or the spelling pattern (last three
+This first clustering is of items. An item is a word that makes up at least ``item_share`` of the training tokens, or the spelling pattern (last three
 bytes, stop mark, digit at either end) of all rarer words that share it and together make up as much; patterns below that fall back
 to a coarse pattern. So every word, seen or not, has a class, and there are at most ``2 / item_share`` items whatever
-the size of the corpus. Class transitions are trigrams with Witten-Bell smoothing down to single classes; within a class
+the size of the corpus. Then every other word of at least ``word_count`` occurrences (an absolute count) is exchanged by itself: its
+counts with the classes beside it are a Spark table, and tasks choose its best class against the broadcast class table.
+Such words are as many as can be broadcast (``hot_share``, below); the likelihood must rise, or the words stay with their
+patterns. Class transitions are trigrams with Witten-Bell smoothing down to single classes; within a class
 a word has ``(count + 1) / (tokens + words + 1)`` and one unseen word ``1 / (tokens + words + 1)``, which is the
 convention of the unigram base score, so the two compare.
 
 Counts cover every training token: per-task partial counts are aggregated by word, and the table is stored. Words above
-``hot_share`` of the tokens (at most ``1 / hot_share``, 16 MB) are broadcast; the other words of a text are joined to the
+``hot_share`` of the tokens (at most ``1 / hot_share``: a million words, 24 MB) are broadcast; the other words of a text are joined to the
 stored table by their hash and summed by document. The driver sees only tables bounded by the shares and the number of
 classes. Words are identified by 64-bit hashes.
 
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auralith.llm import blocks
-from auralith.llm.store import stored
+from auralith.llm.store import shuffle_partitions, stored
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord("."), ord(",")]] = True
@@ -200,6 +203,10 @@ def likelihood(after: np.ndarray, of: np.ndarray, classes: int) -> float:
     """Class-bigram log likelihood (up to the words' own entropy)."""
     both = np.zeros((classes, classes))
     np.add.at(both, of, after)
+    return table_likelihood(both)
+
+
+def table_likelihood(both: np.ndarray) -> float:
     return float(_xlogx(both).sum() - _xlogx(both.sum(axis=1)).sum() - _xlogx(both.sum(axis=0)).sum())
 
 
@@ -229,6 +236,101 @@ def exchange(after: np.ndarray, before: np.ndarray, of: np.ndarray, classes: int
     return of
 
 
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each of some words, each moved alone: ``after`` and ``before`` are words x
+    classes, ``own`` their classes now, ``both`` the class table that holds them there."""
+    rows = np.arange(len(own))
+    table = np.repeat(both[None], len(own), axis=0)
+    table[rows, own] -= after
+    table[rows, :, own] -= before
+    table = np.maximum(table, 0)
+    gain = (_xlogx(table + after[:, None, :]) - _xlogx(table)).sum(axis=2) + (_xlogx(table + before[:, :, None]) - _xlogx(table)).sum(axis=1)
+    same = np.arange(table.shape[1])
+    inner = table[:, same, same]  # takes both a class's followers and its predecessors
+    gain += _xlogx(inner + after + before) - _xlogx(inner + after) - _xlogx(inner + before) + _xlogx(inner)
+    row, column = table.sum(axis=2) + before, table.sum(axis=1) + after  # whichever class the word joins
+    gain -= _xlogx(row + after.sum(axis=1, keepdims=True)) - _xlogx(row) + _xlogx(column + before.sum(axis=1, keepdims=True)) - _xlogx(column)
+    gain[:, END_CLASS] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def _contexts(classes: int, first: int, shared) -> Callable:
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of each item from ``first`` on with the class after it (cells from 0) and before it (cells from ``classes``)."""
+        items, of, held = Items(*shared.value[0]), shared.value[1], []
+
+        def flush() -> pa.RecordBatch:
+            value, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([h[1] for h in held]), minlength=len(value)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(value // (2 * classes)), pa.array(value % (2 * classes)), pa.array(n)], ["item", "cell", "n"])
+
+        for piece in blocks.batches(frames):
+            tokens = _sequences(piece, items)[0]
+            now = of[tokens]
+            at = np.flatnonzero(tokens >= first)  # never a text's end: there is a token after each
+            left = now[np.maximum(at - 1, 0)]
+            left[at == 0] = END_CLASS
+            cells = np.concatenate([tokens[at] * 2 * classes + now[np.minimum(at + 1, len(now) - 1)], (tokens[at] * 2 + 1) * classes + left])
+            held.append(np.unique(cells, return_counts=True))
+            if sum(len(h[0]) for h in held) > 1_500_000:
+                yield flush()
+        if held:
+            yield flush()
+
+    return count
+
+
+def _chooser(classes: int, tasks: int, shared) -> Callable:
+    def choose(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Best class of each item, from its cells (rows sorted by item). The task's class table follows every move, as if
+        each of the other tasks made the like of it: else all would crowd into the same class."""
+        of, both = shared.value
+        both = both.copy()
+        held = [np.zeros(0, np.int64)] * 3
+
+        def done(item: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            names, first = np.unique(item, return_index=True)
+            found = np.empty(len(names), np.int64)
+            for k, (lo, hi) in enumerate(zip(first, np.append(first[1:], len(item)))):
+                cells = np.zeros((2, classes))
+                cells.ravel()[cell[lo:hi]] = n[lo:hi]
+                own = of[names[k]]
+                found[k] = c = best_classes(cells[:1], cells[1:], np.array([own]), both)[0]
+                if c != own:
+                    for to, sign in ((own, -tasks), (c, tasks)):
+                        both[to] += sign * cells[0]
+                        both[:, to] += sign * cells[1]
+                    np.maximum(both, 0, out=both)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(found)], ["item", "class"])
+
+        for frame in frames:
+            held = [np.concatenate([h, np.asarray(frame.column(c), np.int64)]) for h, c in zip(held, ("item", "cell", "n"))]
+            if len(held[0]) > 200_000:
+                last = np.searchsorted(held[0], held[0][-1])  # the last item may go on
+                yield done(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        yield done(*held)
+
+    return choose
+
+
+def _own_classes(texts: DataFrame, items: Items, of: np.ndarray, both: np.ndarray, mid: np.ndarray, pattern_item: np.ndarray, classes: int) -> tuple[Items, np.ndarray]:
+    """``items`` and their classes with an item of its own for each hot word in ``mid``, in its best class."""
+    spark, item = texts.sparkSession, items.item.copy()
+    item[mid] = items.size + np.arange(len(mid))
+    more = Items(items.word, items.count, item, items.pattern, items.pattern_item, items.size + len(mid))
+    of = np.concatenate([of, of[pattern_item]])
+    counted = texts.mapInArrow(_contexts(classes, items.size, spark.sparkContext.broadcast((more.plain(), of))), "item long, cell long, n long")
+    counted = counted.groupBy("item", "cell").agg(F.sum("n").alias("n"))
+    parts = shuffle_partitions(spark)
+    rows = counted.repartition(parts, "item").sortWithinPartitions("item")
+    chosen = rows.mapInArrow(_chooser(classes, parts, spark.sparkContext.broadcast((of, both))), "item long, class long").toArrow()  # hot words only
+    of = of.copy()
+    of[np.asarray(chosen.column("item"), np.int64)] = np.asarray(chosen.column("class"), np.int64)
+    return more, of
+
+
 def _trigrams(classes: int, shared) -> Callable:
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, of = Items(*shared.value[0]), shared.value[1]
@@ -292,7 +394,8 @@ def _cells(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int = 9, item_share: float = 5e-5, hot_share: float = 1e-6) -> Model:
+def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int = 9, item_share: float = 5e-5, hot_share: float = 1e-6,
+        word_count: int = 50) -> Model:
     spark = train.sparkSession
     texts = train.select(F.col(text_col).cast("string").alias("text"))
     partial = texts.mapInArrow(_counter, "word long, fine long, coarse long, n long, texts long")
@@ -301,7 +404,7 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int
     head = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     tokens, many, distinct = int(head[0] + head[1]), int(head[1]), int(head[2]) + (head[1] > 0)
     words = counts.filter("n > 0").drop("texts")
-    hot = words.filter(F.col("n") >= hot_share * tokens).select("word", "n").toArrow()
+    hot = words.filter(F.col("n") >= hot_share * tokens).select("word", "n", "fine", "coarse").toArrow()
     frequent = item_share * tokens
     rare = words.filter(F.col("n") < frequent)
     fine = rare.groupBy("fine").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent).toArrow()
@@ -309,6 +412,7 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int
     word, n = np.asarray(hot.column("word"), np.int64).view(np.uint64), np.asarray(hot.column("n"), np.int64)
     order = np.argsort(word)
     word, n = word[order], n[order]
+    spelling = [np.asarray(hot.column(c), np.int64)[order] for c in ("fine", "coarse")]
     item = np.full(len(word), -1, np.int64)
     item[n >= frequent] = 2 + np.arange(int((n >= frequent).sum()))
     size = 2 + int((n >= frequent).sum())
@@ -323,17 +427,25 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = 48, rounds: int
     of = np.empty(items.size, np.int64)
     of[np.argsort(-total, kind="stable")] = 1 + np.arange(items.size) % (classes - 1)
     of[0] = END_CLASS
-    best, best_of = -np.inf, of
+    best, best_of, best_both = -np.inf, of, np.zeros((classes, classes))
     for turn in range(rounds + 1):
         cells = _cells(pairs.mapInArrow(_neighbours(items.size, classes, spark.sparkContext.broadcast(of)), "cell long, n long"), 2 * items.size * classes)
         after, before = cells.reshape(2, items.size, classes).astype(float)
         value = likelihood(after, of, classes)
         if value > best:
-            best, best_of = value, of
+            best, best_of, best_both = value, of, np.zeros((classes, classes))
+            np.add.at(best_both, of, after)
         if turn < rounds:
             of = exchange(after, before, of, classes, turn)
-    shared = spark.sparkContext.broadcast((items.plain(), best_of))
-    trigrams = _cells(texts.mapInArrow(_trigrams(classes, shared), "cell long, n long"), classes ** 3).reshape((classes,) * 3)
+    mid = np.flatnonzero((item < 0) & (n >= word_count))
+    choices = [(items, best_of)]
+    if len(mid):
+        choices.append(_own_classes(texts, items, best_of, best_both, mid, items.by_pattern(*(x[mid] for x in spelling)), classes))
+    for items, best_of in reversed(choices):
+        shared = spark.sparkContext.broadcast((items.plain(), best_of))
+        trigrams = _cells(texts.mapInArrow(_trigrams(classes, shared), "cell long, n long"), classes ** 3).reshape((classes,) * 3)
+        if table_likelihood(trigrams.sum(axis=0).astype(float)) >= best:
+            break
     got = words.mapInArrow(_totals(shared), "class long, n long, words long").groupBy("class").agg(F.sum("n"), F.sum("words")).toArrow()
     norm = np.ones(classes)
     norm[np.asarray(got.column(0), np.int64)] += np.asarray(got.column(1), np.int64) + np.asarray(got.column(2), np.int64)

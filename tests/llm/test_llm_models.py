@@ -1,6 +1,7 @@
 """Language-model scoring, toxicity and language ID: held-out quality, exact parts by brute force, and edge cases."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -180,6 +181,45 @@ def test_op9_and_op10_cover_every_document(spark):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == out) and 0 <= r.score <= 1 for r in got)
 
 
+def test_best_classes_are_those_of_the_largest_likelihood():
+    """Each word moved alone, by counting everything anew."""
+    rng = np.random.default_rng(5)
+    size, classes = 40, 6
+    pairs = rng.poisson(rng.gamma(0.4, 3, (size, size)))
+    of = np.concatenate([[0], 1 + rng.integers(0, classes - 1, size - 1)])
+
+    def table(of):
+        both = np.zeros((classes, classes))
+        np.add.at(both, (of[:, None], of[None, :]), pairs)
+        return both
+
+    np.fill_diagonal(pairs, 0)  # a word beside itself counts with its class as it was
+    after, before = np.zeros((size, classes)), np.zeros((size, classes))
+    for c in range(classes):
+        after[:, c], before[:, c] = pairs[:, of == c].sum(axis=1), pairs[of == c].sum(axis=0)
+    got = brown_lm.best_classes(after[1:], before[1:], of[1:], table(of))
+    for w, c in enumerate(got, 1):
+        value = [brown_lm.table_likelihood(table(np.where(np.arange(size) == w, k, of))) for k in range(1, classes)]
+        assert value[c - 1] >= max(value) - 1e-9
+
+
+def test_words_of_an_absolute_count_get_classes_of_their_own(spark):
+    """Rare words of one spelling pattern that stand in the places of two groups of frequent words."""
+    rng = random.Random(3)
+    left, right = [f"l{i}xyz" for i in range(20)], [f"r{i}xyz" for i in range(20)]
+    groups = [["alpha", "beta"] * 20 + left, ["gamma", "delta"] * 20 + right]
+    texts = [" ".join(rng.choice(g) for _ in range(60) for g in groups) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = brown_lm.fit(docs, classes=5, item_share=0.05, word_count=10 ** 9)
+    own = brown_lm.fit(docs, classes=5, item_share=0.05, word_count=50)
+    assert own.items.size == plain.items.size + 40
+    of = own.class_of[own.items.find(brown_lm.blocks.scan(pa.array([" ".join(left + right)])))[2]]
+    most = [Counter(x.tolist()).most_common(1)[0][0] for x in (of[:20], of[20:])]
+    assert most[0] != most[1]
+    gain = [brown_lm.score(docs, m).agg({"score": "sum"}).first()[0] for m in (plain, own)]
+    assert gain[1] > gain[0]
+
+
 def test_language_id_on_held_out_documents(spark):
     sf = SF.replace("0.001", "0.01")
     got = QUERIES["op10_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
