@@ -12,8 +12,8 @@ the window itself and finds its first start.
 Per level, tasks first settle what they can see (a sub-window that repeats inside the task, a window that is not
 first inside the task) and send one entry for each distinct hash, so a passage in a third of all rows costs one
 entry per task. Entries travel as packed arrays, one row for each task piece and bucket. The text is shuffled once,
-by document id; every level joins its verdicts to that same layout. Hashes have 64 bits; a window is removed only
-if its own hash and those of all shorter levels agree.
+by document id; every level joins its verdicts to that same layout. Hashes have 64 bits; the last level compares the
+window's own hash alone, and words are not compared.
 
 Defined cases: a null text is empty (0 words, empty text); a null id is never a copy and its text stays whole; rows
 that share an id count as one document whose rows follow each other, windows never crossing rows; an empty table
