@@ -3,17 +3,18 @@
 A window is ``window`` consecutive words of one document. Every word covered by a window whose word sequence also
 starts earlier (smaller id, or earlier in the same document) is removed; all windows are judged on the input.
 
-Levels are ``window / 2**k ... window / 2, window`` words. At a level shorter than ``window``, each still possible
+Levels double from a first length, as long as they are shorter than ``window``; the last level is ``window`` itself, so
+where that is no doubling its two sub-windows overlap. At a level shorter than ``window``, each still possible
 window is looked up by the smallest-hash sub-window of the level's length that it holds: equal windows hold the equal
-one, so nothing repeated is lost while only about two in twelve positions travel. Windows whose sub-window repeats,
-and those alone, are looked up again at twice the length; once nothing repeats, nothing travels. The last level is
-the window itself and finds its first start.
+one, so nothing repeated is lost while only about one position in eight travels (windows of 20 words, first level 5). Windows whose sub-window repeats,
+and those alone, are looked up again at twice the length; once nothing repeats, nothing travels. The last level finds
+the window's first start.
 
 Per level, tasks first settle what they can see (a sub-window that repeats inside the task, a window that is not
 first inside the task) and send one entry for each distinct hash, so a passage in a third of all rows costs one
 entry per task. Entries travel as packed arrays, one row for each task piece and bucket. The text is shuffled once,
-by document id; every level joins its verdicts to that same layout. Hashes have 64 bits; the last level compares the
-window's own hash alone, and words are not compared.
+by document id; every level joins its verdicts to that same layout. Hashes have 64 bits; the last level compares two of
+them, computed from the words' bytes with different bases, so that windows count as equal by 128 bits.
 
 Defined cases: a null text is empty (0 words, empty text); a null id is never a copy and its text stays whole; rows
 that share an id count as one document whose rows follow each other, windows never crossing rows; an empty table
@@ -34,16 +35,17 @@ from pyspark.sql import types as T
 from auralith.llm import blocks
 from auralith.llm.store import shuffle_partitions
 
-_ENTRY = "bucket int, doc long, hash binary, docs binary, at binary"
+_ENTRY = "bucket int, doc long, hash binary, docs binary, at binary, second binary"
+_SECOND = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd bases of the last level's other hash: of a word, of a window
 PIECE_BYTES = 2 << 20  # larger pieces settle more where they are and send fewer rows
 
 
 def levels_of(window: int, first: int) -> list[int]:
-    """Lengths doubled from at least ``first`` words up to ``window``."""
-    lengths = [window]
-    while lengths[0] % 2 == 0 and lengths[0] // 2 >= first:
-        lengths.insert(0, lengths[0] // 2)
-    return lengths
+    """Lengths doubled from ``first`` words (half the window, if that is less) while shorter than ``window``, then ``window``."""
+    lengths = [max(1, min(first, window // 2))]
+    while 2 * lengths[-1] < window:
+        lengths.append(2 * lengths[-1])
+    return [*lengths, window] if lengths[-1] < window else [window]
 
 
 def _deltas(values: np.ndarray) -> bytes:
@@ -91,13 +93,20 @@ def _lists(column: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", dtype) for x in column.to_pylist()]
 
 
-def _bucketed(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray | None) -> Iterator[tuple]:
+def _bucketed(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, second: np.ndarray | None = None) -> Iterator[tuple]:
     order = np.argsort(bucket, kind="stable")
-    bucket, hashes, docs = bucket[order], hashes[order], docs[order]
-    at = None if at is None else at[order]
+    bucket, hashes, docs, at = bucket[order], hashes[order], docs[order], at[order]
+    second = None if second is None else second[order]
     ids, begins = np.unique(bucket, return_index=True)
     for b, lo, hi in zip(ids.tolist(), begins, [*begins[1:], len(bucket)]):
-        yield b, None, hashes[lo:hi].tobytes(), _deltas(docs[lo:hi]), None if at is None else _deltas(at[lo:hi])
+        yield b, None, hashes[lo:hi].tobytes(), _deltas(docs[lo:hi]), _deltas(at[lo:hi]), None if second is None else second[lo:hi].tobytes()
+
+
+def _news(*keys: np.ndarray) -> np.ndarray:
+    """Places of sorted rows where any of ``keys`` differs from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -112,7 +121,8 @@ def _frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("hash", pa.binary()), ("docs", pa.binary()), ("at", pa.binary())])
+_ENTRY_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("hash", pa.binary()), ("docs", pa.binary()), ("at", pa.binary()),
+                          ("second", pa.binary())])
 _PACKED = "part int, docs binary, counts binary, found binary"
 _PACKED_ARROW = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("found", pa.binary())])
 _FLAG_ARROW = pa.schema([("doc", pa.int64()), ("found", pa.binary())])
@@ -148,13 +158,13 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
             row = words.row[at]
             if final:
                 where = base[row] + at - words.first[row]
-                _, first = np.unique(best, return_index=True)
+                second = blocks.span_hashes(words.hashes(_SECOND[0]), at, at + lengths[-1], _SECOND[1])
+                order = np.lexsort((second, best))  # stable: the first start of equal windows leads
                 mine = np.zeros(len(best), bool)
-                mine[first] = True
-                late, docs = np.flatnonzero(~mine), ids[row]
+                mine[order[_news(best[order], second[order])]] = True
+                late, first, docs = np.flatnonzero(~mine), np.flatnonzero(mine), ids[row]
                 flags = list(_by_doc(docs[late], where[late]))
-                first = np.sort(first)
-                rows = list(_bucketed((key[first] % np.uint64(buckets)).astype(np.int32), best[first], docs[first], where[first]))
+                rows = list(_bucketed((key[first] % np.uint64(buckets)).astype(np.int32), best[first], docs[first], where[first], second[first]))
             else:
                 _, only = np.unique(place, return_index=True)  # one entry for each sub-window's place
                 best, docs = best[only], ids[row[only]]
@@ -165,7 +175,7 @@ def _sender(lengths: list[int], level: int, buckets: int) -> Callable:
                 known = (count > 1).astype(np.int64)
                 order = np.sort(first)
                 rows = list(_bucketed((best[order] % np.uint64(buckets)).astype(np.int32), best[order], docs[order], known[inverse[order]]))
-            rows += [(int(d) % buckets, d, found, None, None) for d, found in flags]
+            rows += [(int(d) % buckets, d, found, None, None, None) for d, found in flags]
             yield _frame(rows, _ENTRY_ARROW)
 
     return send
@@ -188,27 +198,28 @@ def _settler(final: bool, parts: int) -> Callable:
     """Verdicts of the entries of whole buckets: hashes that repeat or, at the last level, late starts, by document."""
 
     def settle(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, docs, ats, ready_docs, ready = [], [], [], [], []
+        hashes, docs, ats, seconds, ready_docs, ready = [], [], [], [], [], []
         for frame in frames:
-            for one, h, d, a in zip(*(frame.column(c).to_pylist() for c in ("doc", "hash", "docs", "at"))):
+            for one, h, d, a, s in zip(*(frame.column(c).to_pylist() for c in ("doc", "hash", "docs", "at", "second"))):
                 if one is None:
                     hashes.append(np.frombuffer(h, np.uint64))
                     docs.append(_undelta(d))
                     ats.append(_undelta(a))
+                    seconds.append(np.frombuffer(s or b"", np.uint64))
                 else:
                     ready.append(np.frombuffer(h, np.uint64))
                     ready_docs.append(np.full(len(ready[-1]), one, np.int64))
         if hashes:
             h, d, a = np.concatenate(hashes), np.concatenate(docs), np.concatenate(ats)
-            order = np.lexsort((a, d, h)) if final else np.argsort(h, kind="stable")
-            h, d, a = h[order], d[order], a[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
             if final:
-                late = ~new
-                value = a.view(np.uint64)
+                s = np.concatenate(seconds)
+                order = np.lexsort((a, d, s, h))
+                d, late = d[order], ~_news(h[order], s[order])
+                value = a[order].view(np.uint64)
             else:
-                group = np.cumsum(new) - 1
+                order = np.argsort(h, kind="stable")
+                h, d, a = h[order], d[order], a[order]
+                group = np.cumsum(_news(h)) - 1
                 late = ((np.bincount(group) > 1) | (np.bincount(group, weights=a) > 0))[group]
                 value = h
             ready_docs.append(d[late])
@@ -266,7 +277,7 @@ def _remover(names: list[str], text: str, window: int, schema: pa.Schema) -> Cal
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, first_level: int = 10) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, first_level: int = 5) -> DataFrame:
     """``docs`` with the columns ``kept_text`` (the text itself if nothing is removed, else the kept words joined by one
     space), ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space) and ``removed_spans``
     (``[first, end)`` word ranges). ``first_level``: fewest words of the shortest level."""

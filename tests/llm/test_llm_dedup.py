@@ -36,7 +36,7 @@ def removed_by_brute_force(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,first", [(20, 10), (20, 5), (6, 3), (7, 3)])
+@pytest.mark.parametrize("window,first", [(20, 5), (20, 10), (21, 5), (50, 5), (7, 10), (1, 5)])
 def test_substring_dedup_equals_brute_force(spark, window, first):
     rng = random.Random(window)
     shared = [words_of(100 + i, rng.randrange(4, 60), 400) for i in range(8)]
@@ -50,6 +50,29 @@ def test_substring_dedup_equals_brute_force(spark, window, first):
     assert got == {d: v[0] for d, v in removed_by_brute_force(rows, window).items()}
 
 
+def test_substring_levels_double_up_to_any_window():
+    assert substring_dedup.levels_of(20, 5) == [5, 10, 20] and substring_dedup.levels_of(50, 5) == [5, 10, 20, 40, 50]
+    assert substring_dedup.levels_of(21, 5) == [5, 10, 20, 21] and substring_dedup.levels_of(7, 10) == [3, 6, 7]
+    assert [substring_dedup.levels_of(w, 5) for w in (1, 2, 3)] == [[1], [1, 2], [1, 2, 3]]
+
+
+def test_substring_windows_of_one_hash_and_other_words_stay(spark, monkeypatch):
+    whole = substring_dedup.blocks.span_hashes
+    # every hash but the last level's second one is the same for all spans of one length
+    blind = lambda values, start, end, base: whole(values, start, end, base) if base in substring_dedup._SECOND else (end - start).astype("uint64")
+    pieces = substring_dedup.blocks.pa.array([" ".join(f"a{i}" for i in range(8)), " ".join(f"b{i}" for i in range(8)), " ".join(f"a{i}" for i in range(8))])
+    monkeypatch.setattr(substring_dedup.blocks, "span_hashes", blind)
+    frame = substring_dedup.blocks.pa.RecordBatch.from_arrays(
+        [substring_dedup.blocks.pa.array([1, 2, 3]), pieces], ["__doc", "__text"])
+    sent = list(substring_dedup._sender([8], 0, 4)(iter([frame])))
+    settled = {int(d): f for batch in substring_dedup._gather(substring_dedup._settler(True, 4)(iter(sent)))
+               for d, f in zip(batch.column("doc").to_pylist(), batch.column("found").to_pylist())}
+    assert {d: np.frombuffer(f, np.uint64).tolist() for d, f in settled.items()} == {3: [0]}
+    halves = [list(substring_dedup._sender([8], 0, 4)(iter([frame.slice(i, 1)])))[0] for i in range(3)]  # settled elsewhere
+    settled = [d for batch in substring_dedup._gather(substring_dedup._settler(True, 4)(iter(halves))) for d in batch.column("doc").to_pylist()]
+    assert settled == [3]
+
+
 def test_substring_dedup_edges(spark):
     line = " ".join(words_of(1, 40, 999))
     rows = [(5, line, "x", 1), (5, line, "x", 1), (None, line, "y", 2), (7, "z " + line, "z", 3)]
