@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spark = docs.sparkSession
     lengths = levels_of(window, first_level)
-    buckets = 4 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    buckets = 4 * parts
     names = [f"__c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     doc, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             source = placed.sortWithinPartitions("__doc", "__order")
         entries = source.mapInArrow(_sender(lengths, level, buckets), _ENTRY).repartition("bucket")
-        verdicts = entries.mapInArrow(_settler(final, buckets), _PACKED).repartition("part")
+        verdicts = entries.mapInArrow(_settler(final, parts), _PACKED).repartitionById(parts, F.col("part"))
         found = verdicts.mapInArrow(_gather, "doc long, found binary")
         name = "__late" if final else f"__v{level}"
         placed = placed.join(found.withColumnsRenamed({"doc": "__found", "found": name}), F.col("__doc") == F.col("__found"), "left").drop("__found")
