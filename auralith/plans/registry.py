@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auralith.plans import audit, cleaning, evaluation, labelling, leaderboard, manifests, profile, scoring, shards, streams, tars, timing
+from auralith.plans import audit, cleaning, evaluation, labelling, leaderboard, manifests, profile, reports, scoring, shards, streams, tars, timing
 
 QUERIES = {
     "eval_metrics": evaluation.eval_metrics,
@@ -78,6 +78,8 @@ QUERIES = {
     "earnings_rows": cleaning.earnings_rows,
     "routed_corpora": cleaning.routed_corpora,
     "config_rewrite": cleaning.config_rewrite,
+    "report_refresh": reports.report_refresh,
+    "learned_labels": reports.learned_labels,
     "tar_round_trip": tars.tar_round_trip,
     "tar_audit": tars.tar_audit,
     "incremental_ingest": streams.incremental_ingest,
@@ -92,7 +94,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {}
-for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit, tars):
+for _mod in (evaluation, cleaning, shards, manifests, leaderboard, labelling, timing, profile, scoring, streams, audit, tars, reports):
     ORACLE_SQL.update(_mod.SQL)
 
 _unknown = set(ORACLE_SQL) - set(QUERIES)
