@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that an earlier document, or an earlier place, already has."""
-    cut = substring_dedup.remove_repeats(docs, window=50).withColumn("text", F.col("kept_text"))
+    cut = substring_dedup.remove_repeats(docs, window=50, first_level=25).withColumn("text", F.col("kept_text"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
