@@ -77,7 +77,10 @@ class Pieces:
         key = [*self.group, "_part"]
         inside = Window.partitionBy(*key).orderBy("_at")
         pieces = Window.partitionBy(*self.group).orderBy("_part")  # at most one row per partition
-        before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+        # what comes after a row is what came before it from behind: Spark computes a frame that ends at unboundedFollowing anew for
+        # every row (quadratic in a piece), one that begins at unboundedPreceding grows by a row
+        inside_back, pieces_back = (Window.partitionBy(*k).orderBy(F.col(o).desc()) for k, o in ((key, "_at"), (self.group, "_part")))
+        before = (Window.unboundedPreceding, -1)
         ends, carried, own = [], {}, {}
         for name, scan in wanted.items():
             x, carry = scan.value, f"_carry_{name}"
@@ -89,8 +92,8 @@ class Pieces:
                                 lambda x=x: F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, 0))),
                 "last_before": (F.max_by(x, known), lambda c: F.last(c, ignorenulls=True).over(pieces.rowsBetween(*before)),
                                 lambda x=x: F.last(x, ignorenulls=True).over(inside.rowsBetween(*before))),
-                "first_after": (F.min_by(x, known), lambda c: F.first(c, ignorenulls=True).over(pieces.rowsBetween(*after)),
-                                lambda x=x: F.first(x, ignorenulls=True).over(inside.rowsBetween(*after))),
+                "first_after": (F.min_by(x, known), lambda c: F.last(c, ignorenulls=True).over(pieces_back.rowsBetween(*before)),
+                                lambda x=x: F.last(x, ignorenulls=True).over(inside_back.rowsBetween(*before))),
             }[scan.kind]
             ends.append(end.alias(carry))
             carried[carry] = over(F.col(carry))
