@@ -50,9 +50,10 @@ MSP_RE = "[\\p{M}\\p{S}\\p{P}]"
 TIMESTAMP_TOKEN_RE = "<\\|\\d+\\.\\d+\\|>"
 ANY_TAG_RE = "<[^>]*>"
 ASCII_ONLY_RE = "^[\\x{00}-\\x{7F}]*$"
+ASCII_MSP = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())  # the ASCII characters of MSP_RE
 
 
-from auralith.functions.numbers import ANY_NUMBER_RE, spoken_numbers  # noqa: E402
+from auralith.functions.numbers import FAST_NUMBER_RE, any_of, spoken_numbers  # noqa: E402
 
 
 def _c(c) -> Column:
@@ -99,8 +100,14 @@ def _without_marked(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(c)), BRACKETS_RE, ""), PARENS_RE, "")
 
 
+def _msp_to_space(s: Column, wide: Column, keep: str = "") -> Column:
+    """``wide``; for ASCII strings the same by a character table, without a pattern."""
+    marks = "".join(c for c in ASCII_MSP if c not in keep)
+    return F.when(s.rlike(ASCII_ONLY_RE), F.translate(s, marks, " " * len(marks))).otherwise(wide)
+
+
 def _basic_end(s: Column) -> Column:
-    return _replace_ws(F.lower(F.regexp_replace(s, MSP_RE, " ")), "{WS}+")
+    return _replace_ws(F.lower(_bind(s, lambda x: _msp_to_space(x, F.regexp_replace(x, MSP_RE, " ")))), "{WS}+")
 
 
 def basic_normalize(c) -> Column:
@@ -325,18 +332,17 @@ def remove_symbols_and_diacritics(c, keep: str = ENGLISH_KEEP_SYMBOLS) -> Column
     c = _c(c)
     # ASCII text has nothing to decompose, no ligatures and no combining marks: only the symbol step applies
     wide = F.regexp_replace(replace_all(F.translate(nfkd(c), keep, standins), ADDITIONAL_DIACRITICS), "\\p{Mn}", "")
-    s = F.when(c.rlike(ASCII_ONLY_RE), F.translate(c, keep, standins)).otherwise(wide)
-    s = F.regexp_replace(s, MSP_RE, " ")
-    return F.translate(s, standins, keep)
+    return _msp_to_space(c, F.translate(F.regexp_replace(wide, MSP_RE, " "), standins, keep), keep)
 
 
 def _rule_core(pattern: str) -> str:
     return pattern[2 if pattern.startswith("\\b") else 0: -2 if pattern.endswith("\\b") else None]
 
 
-# one pass that tells whether any filler/contraction/title rule can fire at all (most lines: none)
-_ANY_RULE_RE = (f"(?<!{WORD_CHAR})(hmm|mm|mhm|mmm|uh|um|"
-                + "|".join(_rule_core(p) for p, _ in ENGLISH_REPLACERS if p.startswith("\\b")) + f")(?!{WORD_CHAR})|'")
+# one pass that tells whether any filler/contraction/title rule can fire at all (most lines: none); inside an ASCII word the
+# first look-behind, a plain table, ends the trial
+_ANY_RULE_RE = (f"(?<![0-9a-z_])(?<!{WORD_CHAR})"
+                + any_of("hmm mm mhm mmm uh um".split() + [_rule_core(p) for p, _ in ENGLISH_REPLACERS if p.startswith("\\b")]) + f"(?!{WORD_CHAR})|'")
 
 
 def _english_rules(s: Column) -> Column:
@@ -368,7 +374,7 @@ def _english_points(s: Column) -> Column:
 
 
 def _english_numbers(s: Column) -> Column:
-    return F.when(s.rlike(ANY_NUMBER_RE), spoken_numbers(s)).otherwise(s)
+    return F.when(s.rlike(FAST_NUMBER_RE), spoken_numbers(s)).otherwise(s)
 
 
 def _english_end(s: Column, spelling: dict[str, str] | None = None) -> Column:
