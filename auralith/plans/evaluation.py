@@ -94,9 +94,11 @@ def wer_filter_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = utts.select(*keys, F.posexplode(F.split("prediction_raw", " ")).alias("p", "token"))
     vocab = dense_index(words.select("token").distinct(), ["token"], name="i").select((F.col("i") + 100).alias("token_id"), "token", F.lit(False).alias("special"))
     vocab = vocab.union(spark.range(100).select("id", F.concat(F.lit("<|"), F.col("id").cast("string"), F.lit("|>")), F.lit(True)))
-    ids = words.join(vocab, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "token_id"))).alias("ids"))
+    prints = (F.col("doc_id") + F.col("line_no")) % 2 == 0  # only these lines' words have to meet their ids
+    ids = words.where(prints).join(vocab, "token").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "token_id"))).alias("ids"))
     printed = F.concat(F.lit("[1 50 "), F.array_join(F.transform("ids", lambda x: x["token_id"].cast("string")), " "), F.lit(" 2]"))
-    mixed = utts.join(ids, keys).withColumn("prediction_raw", F.when((F.col("doc_id") + F.col("line_no")) % 2 == 0, printed).otherwise(F.col("prediction_raw")))
+    complete = F.col("doc_id").isNotNull() & F.col("prediction_raw").isNotNull()
+    mixed = utts.where(complete).join(ids, keys, "left").withColumn("prediction_raw", F.when(prints, printed).otherwise(F.col("prediction_raw")))
     decoded = LO.decode_token_text(mixed.drop("ids"), keys, "prediction_raw", vocab)
     df = T.with_normalized(decoded, "lang", stage="filter", reference_norm="reference_raw", prediction_norm="prediction_raw")
     kept = M.wer_filter(df, "reference_norm", "prediction_norm", WER_THRESHOLD)
