@@ -104,9 +104,10 @@ def _keyed(spark, sf_dir) -> DataFrame:
 
 
 def _written_as(df: DataFrame, sep: str, quote: str | None = None) -> str:
-    """The rows as separated text files with a header, below the checkpoint folder."""
+    """The rows as separated text files with a header, below the checkpoint folder; gzipped, as plain text is several times the size
+    of the tables it comes from."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/metadata-{uuid.uuid4().hex}"
-    options = {"sep": sep, "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} | ({"quote": quote} if quote is not None else {})
+    options = {"sep": sep, "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "compression": "gzip"} | ({"quote": quote} if quote is not None else {})
     df.write.options(**options).csv(path)
     return path
 
