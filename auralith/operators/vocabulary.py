@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def longest_matches(data: bytes, root: dict, unknown: int | None, most: int | No
     return out
 
 
+def slices(parts: Iterator[pd.Series], rows: int = 256) -> Iterator[pd.Series]:
+    """The batches in pieces of ``rows`` at most: a worker holds the ids of few texts at a time, however many Arrow sends together."""
+    for part in parts:
+        for at in range(0, len(part), rows):
+            yield part.iloc[at:at + rows]
+
+
+def ids_of(text: str, root: dict, unknown: int | None, most: int | None) -> np.ndarray:
+    """``longest_matches`` of a text at four bytes an id (a Python list takes about forty)."""
+    return np.array(longest_matches(text.encode(), root, unknown, most), dtype=np.int32)
+
+
 class Vocabulary:
     def __init__(self, table: DataFrame, max_tokens: int = 1 << 20, unknown: int | None = None):
         """``table``: (token_id, token: binary or string). More than ``max_tokens`` rows, an empty token, or an id or token that
@@ -65,8 +78,8 @@ class Vocabulary:
         def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             held = shared.value
             root = held.get("trie") or held.setdefault("trie", trie_of(held["tokens"]))
-            for texts in parts:
-                yield pd.Series([None if t is None else longest_matches(t.encode(), root, unknown, max_length) for t in texts], dtype=object)
+            for texts in slices(parts):
+                yield pd.Series([None if t is None else ids_of(t, root, unknown, max_length) for t in texts], dtype=object)
 
         return encode(text)
 
@@ -79,7 +92,7 @@ class Vocabulary:
         def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             held = shared.value
             names = held.get("names") or held.setdefault("names", {n: t for t, n in held["tokens"].items()})
-            for lists in parts:
+            for lists in slices(parts):
                 yield pd.Series([None if x is None else b"".join(names[i] for i in x).decode(errors="replace") for x in lists], dtype=object)
 
         return decode(ids)
