@@ -16,7 +16,9 @@ Character edit distance defaults to the numpy kernel; ``method="native"`` keeps
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -362,9 +364,8 @@ def _word_distances(pairs):
     """Word lists by splitting cleaned strings at single blanks; the words of a pair are numbered."""
     coded = []
     for a, b in pairs:
-        numbers = {}
-        x, y = ([numbers.setdefault(w, len(numbers)) for w in s.split(" ")] if s else [] for s in (a, b))
-        coded.append((np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)))
+        number = defaultdict(count().__next__).__getitem__
+        coded.append(tuple(np.fromiter(map(number, s.split(" ") if s else ()), dtype=np.int64) for s in (a, b)))
     return batch_levenshtein(coded)
 
 
